@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrid.llm import bpe, jpeg_media, langid, mixing, secrets
+from veilgrid.llm import bpe, jpeg_media, langid, mixing, quality, secrets, topk, toxicity
 from veilgrid.llm.common import in_remainder, read_table
 
 
@@ -15,6 +15,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a label, one row for each pair of rows."""
+    return read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels"), "doc_id")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = in_remainder(F.col("doc_id"), 4, 2)
+    model = toxicity.fit(labelled(spark, sf_dir).where(~held), F.col("toxic"), F.col("doc_id"))
+    columns = [F.col("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out")]
+    scored = toxicity.score(read_table(spark, sf_dir, "documents"), model, columns, "doc_id bigint, held_out boolean")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "clauses")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -35,6 +48,18 @@ def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.store(read_table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = in_remainder(F.col("doc_id"), 3, 1)
+    model = quality.fit(labelled(spark, sf_dir).where(~held), F.col("quality"), F.col("doc_id"))
+    columns = [F.col("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out")]
+    scored = quality.score(read_table(spark, sf_dir, "documents"), model, columns, "doc_id bigint, held_out boolean")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents"))
     counts = [secrets.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
@@ -42,10 +67,13 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
     "op5_jpeg": op5_jpeg,
+    "op7_topk": op7_topk,
+    "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
 }
 ORACLES: dict[str, str] = {}
