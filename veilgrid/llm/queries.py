@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrid.llm import bpe, jpeg_media, langid, mixing, quality, secrets, topk, toxicity
+from veilgrid.llm import bpe, jpeg_media, langid, mixing, ngram_join, quality, secrets, topk, toxicity
 from veilgrid.llm.common import in_remainder, read_table
 
 
@@ -48,6 +48,10 @@ def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.store(read_table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(read_table(spark, sf_dir, "documents"), words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
     "op5_jpeg": op5_jpeg,
+    "op6_ngram_join": op6_ngram_join,
     "op7_topk": op7_topk,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
