@@ -289,7 +289,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             "n_tokens": [x.count(",") + 1 if x else 0 for x in ids],
             "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in ids],
             "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in texts],
-            "ids": [[int(i) for i in x.split(",")] if x else [] for x in ids] if with_ids else None,
+            "ids": [np.array(x.split(","), dtype=np.int32) if x else [] for x in ids] if with_ids else None,
             "decoded": texts if with_text else None,
         }
 

@@ -295,12 +295,12 @@ def similar(df: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: s
     """Components of texts whose n-gram sets have a Jaccard similarity of ``num / den`` or more.
 
     Returns of each row its id, ``n_shingles`` (set size), ``component_id`` (the smallest
-    id reachable by links) and ``node``, ``check``: the fingerprint of its set.
+    id reachable by links), ``component`` (its name where ids are null) and ``mark`` (the text's xxhash64).
     """
     bound_batches(df.sparkSession)
     described = materialize(_describe(df, id_col, text_col, words), "sets")
     classes = _bucket_classes(described)
-    docs = described.where("n >= 0").select("id", "n", "node", "check")
+    docs = described.where("n >= 0").select("id", "mark", "n", "node")
     prefixes = materialize(_prefixes(df, text_col, words, num, den, classes), "prefixes")
     postings = prefixes.select("node", F.explode("members").alias("token"))
     shared = postings.groupBy("token").count().where("count > 1").select("token")
@@ -322,7 +322,7 @@ def similar(df: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: s
     grouped = docs.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     out = grouped.join(least, "component", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "node", "check")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "component", "mark")
 
 
 def _texts(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrid.llm import bpe, jpeg_media, langid, mixing, ngram_join, quality, secrets, topk, toxicity
+from veilgrid.llm import bpe, jpeg_media, langid, line_dedup, mixing, ngram_join, quality, secrets, topk, toxicity
 from veilgrid.llm.common import in_remainder, read_table
 
 
+#: Toxicity scores from here on count as toxic.
+TOXIC_FROM = 0.3
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -25,7 +29,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(labelled(spark, sf_dir).where(~held), F.col("toxic"), F.col("doc_id"))
     columns = [F.col("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out")]
     scored = toxicity.score(read_table(spark, sf_dir, "documents"), model, columns, "doc_id bigint, held_out boolean")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "clauses")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "clauses")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +74,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.delete_later_copies(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", "kept_lines", "deleted_lines", "deleted_runs")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -80,5 +89,6 @@ QUERIES = {
     "op7_topk": op7_topk,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {}
