@@ -1,11 +1,10 @@
 """Language identification by compression.
 
-Every language has zstandard dictionaries of raw content, cut from a bounded sample of
-labelled texts. A text is compressed with the dictionaries of each language, and the
-language whose total is smallest wins. Texts are cut into pieces of a few thousand bytes,
-each compressed on its own, so that the whole text weighs in the choice and not only its
-beginning; short texts are tried with several dictionaries of each language, because a
-difference of one byte decides little.
+Every language has a zstandard dictionary of raw content: the words that most of its
+sampled documents use, the commonest last, where a match is cheapest. A text, reduced to
+its letters in lower case, is compressed with the dictionary of each language, and the
+smallest size wins. Texts are cut into pieces of a few thousand bytes, each compressed on
+its own, so that the whole text weighs in the choice and not only its beginning.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; so is every text if
 nothing could be learned; ties go to the language with more training rows, then by name;
@@ -17,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,50 +29,71 @@ from veilgrid.llm.common import bound_batches, map_rows
 
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
+BETWEEN = regex.compile(r"[^\p{L}\p{M}]+")
+
+
+def letters(text: str) -> str:
+    """The words of a text in lower case, a space between them."""
+    return " ".join(BETWEEN.split(text.lower()))
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``dictionaries``: for each language, raw contents; languages by falling number of rows."""
+    """``dictionaries``: raw content for each language, languages by falling number of rows."""
 
-    dictionaries: tuple[tuple[str, tuple[bytes, ...]], ...]
-    level: int = 3
+    dictionaries: tuple[tuple[str, bytes], ...]
     piece_bytes: int = 4096
-    short_bytes: int = 2048
     #: Bytes by which the runner-up must be larger for each 100 bytes of the best.
     least_margin: float = 1.0
 
 
-def fit(df: DataFrame, label: Column, text_col: str = "text", rows_per_language: int = 240, most_chars: int = 4096, dictionaries: int = 4, dictionary_bytes: int = 48 * 1024) -> LanguageModel:
-    """Learn from at most ``rows_per_language`` rows of each label, texts of at most ``most_chars``.
+def fit(df: DataFrame, label: Column, text_col: str = "text", rows_per_language: int = 2000, most_chars: int = 4096, dictionary_bytes: int = 8192) -> LanguageModel:
+    """Learn from about ``rows_per_language`` different texts of each label, of at most ``most_chars``.
 
-    The rows are those of smallest text hash, so a rerun learns the same.
+    The texts are those of smallest hash, so a rerun learns the same. What comes to the
+    driver is a count and a dictionary for each label.
     """
-    rows = df.select(label.alias("label"), F.col(text_col).alias("body")).where("label is not null and length(body) between 1 and " + str(most_chars))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("body"), "body")
-    picked = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language).orderBy("label", "n").collect()
-    counts = {r.label: r["count"] for r in df.select(label.alias("label")).where("label is not null").groupBy("label").count().collect()}
-    texts: dict[str, list[bytes]] = {}
-    for r in picked:
-        texts.setdefault(r.label, []).append(r.body.encode())
+    bound_batches(df.sparkSession)
+    rows = df.select(label.cast("string").alias("label"), F.col(text_col).cast("string").alias("body")).where("label is not null")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    usable = rows.where(f"length(body) between 1 and {most_chars}").withColumn("mark", F.xxhash64("body"))
+    shares = {r["label"]: min(1.0, rows_per_language / r["count"]) for r in usable.groupBy("label").count().collect()}
+    if not shares:
+        return LanguageModel(())
+    share = F.element_at(F.create_map(*(F.lit(x) for pair in sorted(shares.items()) for x in pair)), F.col("label"))
+    sample = usable.where(F.pmod("mark", F.lit(1 << 20)) < share * (1 << 20)).groupBy("label", "mark").agg(F.first("body").alias("body"))
+
+    def words(batch: pa.RecordBatch) -> dict:
+        seen: Counter[tuple[str, str]] = Counter()
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen.update((name, w) for w in set(letters(text).split()))
+        return {"label": [k[0] for k in seen], "word": [k[1] for k in seen], "n": list(seen.values())}
+
+    total = map_rows(sample, [F.col("label"), F.col("body")], words, "label string, word string, n bigint").groupBy("label", "word").agg(F.sum("n").alias("n"))
+    best = Window.partitionBy("label").orderBy(F.desc("n"), "word")
+    common = total.withColumn("place", F.row_number().over(best)).where(F.col("place") <= dictionary_bytes // 2)
+    chosen: dict[str, list[str]] = {}
+    for r in common.orderBy("label", "place").collect():
+        chosen.setdefault(r["label"], []).append(r["word"])
     made = []
-    for name in sorted(texts, key=lambda x: (-counts[x], x)):
-        parts = [b"\n".join(dict.fromkeys(texts[name][k::dictionaries]))[:dictionary_bytes] for k in range(dictionaries)]
-        made.append((name, tuple(p for p in parts if len(p) >= 8)))
-    return LanguageModel(tuple(m for m in made if m[1]))
+    for name in sorted(chosen, key=lambda x: (-counts[x], x)):
+        content = (" " + " ".join(chosen[name][::-1]) + " ").encode()[-dictionary_bytes:]
+        if len(content) >= 8:
+            made.append((name, content))
+    return LanguageModel(tuple(made))
 
 
 @functools.lru_cache(maxsize=2)
-def compressors(model: LanguageModel) -> list[tuple[str, list[zstandard.ZstdCompressor]]]:
-    """Prepared once for each worker process."""
+def compressors(model: LanguageModel) -> list[tuple[str, zstandard.ZstdCompressor]]:
+    """Prepared once for each worker process; short matches count, as words are short."""
+    params = zstandard.ZstdCompressionParameters(
+        strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=4, window_log=16, hash_log=15, chain_log=15, write_content_size=0, write_dict_id=0
+    )
     out = []
-    for name, contents in model.dictionaries:
-        made = []
-        for content in contents:
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=model.level)
-            made.append(zstandard.ZstdCompressor(dict_data=d, level=model.level, write_content_size=False, write_dict_id=False))
-        out.append((name, made))
+    for name, content in model.dictionaries:
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        out.append((name, zstandard.ZstdCompressor(dict_data=d, compression_params=params)))
     return out
 
 
@@ -80,12 +101,9 @@ def classify(model: LanguageModel, text: str | None) -> tuple[str, float, bool]:
     """Language, score, and whether the margin is too narrow to rely on."""
     if text is None or not model.dictionaries or not LETTER.search(text):
         return UNDETERMINED, 0.0, True
-    data = text.lower().encode()
+    data = letters(text).encode()
     pieces = [data[i : i + model.piece_bytes] for i in range(0, len(data), model.piece_bytes)]
-    sizes = []
-    for name, made in compressors(model):
-        used = made if len(data) <= model.short_bytes else made[:1]
-        sizes.append(sum(len(c.compress(p)) for c in used for p in pieces) / len(used))
+    sizes = [sum(len(c.compress(p)) for p in pieces) for _, c in compressors(model)]
     best = min(range(len(sizes)), key=sizes.__getitem__)
     heat = max(1.5, 0.01 * sizes[best])
     score = 1 / sum(math.exp((sizes[best] - s) / heat) for s in sizes)

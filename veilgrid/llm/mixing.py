@@ -6,8 +6,10 @@ method moves the probabilities of three documents at a time along a vector in th
 space of the constraints (words and documents keep their totals) until one of them is 0
 or 1. Blocks of documents of one source are worked off in parallel; the at most two
 documents that a block leaves open meet in the blocks of the next round, and the last
-block of a source lands: words are balanced first, the document count is given up.
-Documents go from large to small, so what is left to land is small.
+block of a source lands: words are balanced first, the document count is given up, and of
+the few ways to round what is left the one with the smallest error in words is taken,
+after documents of the block made good for what they can. Documents go from large to
+small, so what is left to land is small.
 
 Cases: a null text has size 0, and documents of size 0 are never taken; a null source is
 a source of its own, the last in order; repeated rows are documents of their own; an
@@ -63,8 +65,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return ranked.select("source", "source_size", "documents", F.least(full.cast("double"), F.col("weight") * F.lit(float(max(level, 0.0)))).alias("target"))
 
 
-def flight(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """Move ``chance`` to 0 or 1, keeping its sum and its sum weighted by ``size``; at most two stay open unless it lands."""
+def flight(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Move ``chance`` to 0 or 1, keeping its sum and its sum weighted by ``size``; at most two stay open."""
     out = chance.tolist()
     sizes = size.tolist()
     draws = iter(rng.random(2 * len(out) + 8).tolist())
@@ -87,17 +89,35 @@ def flight(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, land:
         if len(held) == 3:
             a, b, c = (sizes[i] for i in held)
             move(held, [b - c, c - a, a - b] if not a == b == c else [1, -1, 0])
-        elif len(held) == 2 and (land or sizes[held[0]] == sizes[held[1]]):
-            a, b = (sizes[i] for i in held)
-            move(held, [1, -1] if a == b else [b / max(a, b), -a / max(a, b)])
-        elif len(held) == 1 and land:
-            out[held[0]] = float(next(draws) < out[held[0]])
+        elif len(held) == 2 and sizes[held[0]] == sizes[held[1]]:
+            move(held, [1, -1])
         else:
             break
         held = [i for i in held if 0.0 < out[i] < 1.0]
     return np.array(out)
 
 
+def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Round the chances that are still open, so that the words taken come closest to the words expected.
+
+    Every rounding of the open ones is tried; documents of the block, from large to small,
+    are taken or left where that lessens the error.
+    """
+    expected, best, least = float(chance @ size), np.rint(chance), np.inf
+    is_open = np.flatnonzero((chance > LANDED) & (chance < 1 - LANDED))
+    for ups in range(1 << len(is_open)):
+        out = np.rint(chance)
+        out[is_open] = [ups >> k & 1 for k in range(len(is_open))]
+        error = float(out @ size) - expected
+        for i in np.argsort(-size, kind="stable").tolist():
+            change = size[i] if out[i] == 0 else -size[i]
+            if abs(error + change) < abs(error):
+                out[i], error = 1 - out[i], error + change
+        if abs(error) < least:
+            best, least = out, abs(error)
+    return best
+
+
 def mix(df: DataFrame, keys: list[str], source_col: str = "source", size: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 1) -> DataFrame:
     """Choose how often each row is taken.
 
@@ -119,30 +139,25 @@ def mix(df: DataFrame, keys: list[str], source_col: str = "source", size: Column
     )
     schema = rows.schema
 
-    def work(land: bool):
-        def run(block: pd.DataFrame) -> pd.DataFrame:
-            block = block.sort_values(["size", "mark"], ascending=[False, True], kind="stable")
-            first = block["mark"].iloc[0]
-            rng = np.random.default_rng([seed, int(first) & 0xFFFFFFFF, int(first) >> 32 & 0xFFFFFFFF, len(block)])
-            block["chance"] = flight(block["chance"].to_numpy(), block["size"].to_numpy(dtype=float), rng, land)
-            return block.drop(columns=["block", "blocks"])
-
-        return run
+    def work(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["size", "mark"], ascending=[False, True], kind="stable")
+        first = block["mark"].iloc[0]
+        rng = np.random.default_rng([seed, int(first) & 0xFFFFFFFF, int(first) >> 32 & 0xFFFFFFFF, len(block)])
+        sizes = block["size"].to_numpy(dtype=float)
+        chance = flight(block["chance"].to_numpy(), sizes, rng)
+        block["chance"] = land(chance, sizes) if block["blocks"].iloc[0] == 1 else chance
+        return block.drop(columns=["block", "blocks"])
 
     is_open = (F.col("chance") > LANDED) & (F.col("chance") < 1 - LANDED)
     done, left, round_no = rows.where(~is_open), rows.where(is_open), 0
     while True:
         counts = left.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        most_blocks = counts.agg(F.max("blocks")).first()[0]
-        if most_blocks is None:
+        if counts.isEmpty():
             break
         dealt = left.join(counts.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("mark", F.lit(round_no)), F.col("blocks")))
-        last = most_blocks == 1
-        worked = materialize(dealt.groupBy("source", "block").applyInPandas(work(last), schema), "flight")
+        worked = materialize(dealt.groupBy("source", "block").applyInPandas(work, schema), "flight")
         done, left = done.unionByName(worked.where(~is_open)), worked.where(is_open)
-        if last:
-            break
         round_no += 1
     copies = (F.col("base") + F.rint("chance").cast("int")).alias("copies")
     return done.select(*(F.col(n).alias(c) for c, n in zip(keys, names, strict=True)), "source", "size", "source_size", "target", copies, (copies * F.col("size")).cast("long").alias("taken"))
