@@ -234,8 +234,8 @@ class Codec:
                 memory.clear()
         known, by_piece = self.by_chunk, self.by_piece
         known |= {x: str(i) for x, i in self.added.items()}
-        new = {x: self.pieces.findall(x) for x in set().union(*cut) - known.keys()}
-        self._learn_pieces(set().union(*new.values()) - by_piece.keys())
+        new = {x: self.pieces.findall(x) for x in set().union(*cut).difference(known)}
+        self._learn_pieces(set().union(*new.values()).difference(by_piece))
         for x, pieces in new.items():
             known[x] = by_piece[pieces[0]] if len(pieces) == 1 else ",".join([by_piece[p] for p in pieces])
         out = [list(map(known.__getitem__, chunks)) for chunks in cut]
@@ -251,7 +251,7 @@ class Codec:
     def decode_batch(self, texts: list[list[str]]) -> list[str]:
         """The texts of lists of comma-joined ids; bytes that are no UTF-8 become U+FFFD."""
         known, token = self.by_ids, self.bytes_of.__getitem__
-        new = set().union(*texts) - known.keys()
+        new = set().union(*texts).difference(known)
         for ids in new:
             known[ids] = b"".join(map(token, ids.split(",")))
         out = [b"".join(map(known.__getitem__, chunks)).decode("utf-8", "replace") for chunks in texts]

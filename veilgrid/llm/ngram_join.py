@@ -63,7 +63,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_known) > REMEMBERED:
         _known.clear()
-    for w in set(found) - _known.keys():
+    for w in set(found).difference(_known):
         _known[w] = xxhash.xxh3_64_intdigest(w)
     ids = np.fromiter(map(_known.__getitem__, found), np.uint64, len(found))
     width = min(words, len(ids))

@@ -118,7 +118,7 @@ class Reader:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         seen = self.seen
-        for word in set(tokens) - seen.keys():
+        for word in set(tokens).difference(seen):
             seen[word] = self.kind(word)
         kinds = bytes(map(seen.__getitem__, tokens))
         if INSULT not in kinds and THREAT not in kinds:
