@@ -8,17 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from veilgrid.llm.common import in_remainder, materialize, read_table
-from veilgrid.llm.queries import TOXIC_FROM, tokenizer_path
+from veilgrid.llm.common import in_remainder, labelled_sample, materialize, read_table
+from veilgrid.llm.queries import LEARNED_ROWS, TOXIC_FROM, tokenizer_path
 
 MARK = F.xxhash64(F.col("text"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go."""
-    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("of"), "toxic")
-    learned = docs.join(labels, F.col("doc_id") == F.col("of")).where(~in_remainder(F.col("doc_id"), 4, 2))
-    model = toxicity.fit(learned, F.col("toxic"), F.col("doc_id"))
+    labels = read_table(spark, sf_dir, "labels").where(~in_remainder(F.col("doc_id"), 4, 2))
+    model = toxicity.fit(labelled_sample(docs, labels, "toxic", LEARNED_ROWS), F.col("label__"), F.col("doc_id"))
     kinds = dict(docs.dtypes)
     scored = toxicity.score(docs, model, [F.col(c) for c in docs.columns], ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns))
     return scored.where(F.col("score") < TOXIC_FROM).select(*docs.columns)

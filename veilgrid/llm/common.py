@@ -66,6 +66,12 @@ def in_remainder(doc_id: Column, mod: int, remainder: int) -> Column:
     return F.crc32(doc_id.cast("string")) % mod == remainder
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """``rows`` rows of smallest key hash: the same rows each time, whatever the partitions."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id") -> DataFrame:
+    """Documents with the ``label`` of at most ``rows`` label rows: those of smallest id hash.
+
+    The sample is drawn from the label table alone, so that no text is moved for it; its
+    bound is what makes the broadcast safe. Rows without an id or a label are left out.
+    """
+    usable = labels.select(F.col(id_col).alias("labelled_id"), F.col(label).cast("int").alias("label__")).where("labelled_id is not null and label__ is not null")
+    drawn = usable.orderBy(F.xxhash64("labelled_id"), "labelled_id", "label__").limit(rows)
+    return docs.join(F.broadcast(drawn), F.col(id_col) == F.col("labelled_id")).drop("labelled_id")

@@ -10,8 +10,10 @@ share opens no candidates. Members shared by two nodes or more become lists.
    most members of a group of near copies are joined by that, in linear work.
 2. Tiles: only lists that still hold several components go on. Those outside the list's
    largest component meet all members of the same and the neighbouring size bands, in
-   tiles of bounded size. Hashed bitmaps whose width follows the size bound the overlap
-   from above by bit counts, and what passes is intersected exactly.
+   tiles of bounded size, where sizes and places in the order rule most pairs out.
+
+In both steps hashed bitmaps, whose width follows the size of the set, bound the overlap
+from above by bit counts, and what passes is intersected exactly.
 
 Both steps only add links that the exact intersection confirms, and together they see
 every pair of different components, so the components are exact.
@@ -30,7 +32,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,8 @@ from veilgrid.llm.components import components
 BUCKET_BITS = 16
 #: Rows of either side of a tile.
 BLOCK = 1024
+#: Pairs that a task looks at together.
+AT_ONCE = 1 << 20
 #: Words whose hashes a worker remembers.
 REMEMBERED = 500_000
 ODD = 0x9E3779B97F4A7C15
@@ -118,23 +121,25 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(a) + len(b) - shared)
 
 
-def tile_pairs(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of different components whose sizes and bitmaps leave a link possible."""
-    width = min(map(len, (*left["bits"], *right["bits"])))
-    words = max(8, width)
-    pack = lambda column: np.stack([np.pad(folded(x, width), (0, words - width)) for x in column]).view(np.uint64)
-    marks = pack(right["bits"])
-    nodes, sizes, comps = (right[c].to_numpy() for c in ("node", "n", "comp"))
-    out = []
-    for node, n, comp, own in zip(left["node"].to_numpy(), left["n"].to_numpy(), left["comp"].to_numpy(), pack(left["bits"]), strict=True):
-        fit = np.flatnonzero((comps != comp) & (den * np.minimum(sizes, n) >= num * np.maximum(sizes, n)))
-        if not len(fit):
-            continue
-        other = marks[fit]
-        most = np.minimum(n - np.bitwise_count(own & ~other).sum(axis=1, dtype=np.int64), sizes[fit] - np.bitwise_count(other & ~own).sum(axis=1, dtype=np.int64))
-        for k in fit[most >= least_overlap(sizes[fit], n, num, den)]:
-            out.append((min(int(node), int(nodes[k])), max(int(node), int(nodes[k]))))
-    return out
+def tile_pairs(key: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Pairs (two columns, smaller first) of side 0 and side 1 of each tile, of different components, whose
+    sizes and places leave a link possible. Rows are sorted by ``key`` (one line each), then ``side``."""
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
+    tile, starts = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    ends = np.append(starts[1:], len(key))
+    middle = starts + np.add.reduceat((side == 0).astype(np.int64), starts)
+    left = np.flatnonzero(side == 0)
+    partners = (ends - middle)[tile[left]]
+    out, total = [np.zeros((0, 2), np.int64)], np.cumsum(partners)
+    for part in np.split(left, np.searchsorted(total, np.arange(AT_ONCE, int(total[-1]) if len(total) else 0, AT_ONCE))):
+        count = (ends - middle)[tile[part]]
+        a = np.repeat(part, count)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + middle[tile[a]]
+        least = least_overlap(n[a], n[b], num, den)
+        fit = (comp[a] != comp[b]) & (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least)
+        pair = np.stack([node[a[fit]], node[b[fit]]], axis=1)
+        out.append(np.sort(pair, axis=1))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def _describe(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -182,22 +187,23 @@ def _bucket_classes(described: DataFrame) -> np.ndarray:
 
 
 def _prefixes(df: DataFrame, text_col: str, words: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
-    """``node`` and the members of its set (``members``) one of which any linking set shares."""
+    """``node``, its set's size ``n`` and those ``members``, in order, one of which any linking set shares."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        nodes, chosen = [], []
+        nodes, sizes, chosen = [], [], []
         for text in batch.column(0).to_pylist():
             members = shingle_set(text, words)
             n = len(members)
             if n:
                 order = np.argsort(classes[(members >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], kind="stable")
                 nodes.append(fingerprint(members)[0])
+                sizes.append(n)
                 chosen.append(members[order[: n - -(-num * n // den) + 1]].view(np.int64))
         ends = np.cumsum([0, *map(len, chosen)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(chosen) if chosen else np.zeros(0, np.int64)))
-        return {"node": nodes, "members": lists}
+        return {"node": nodes, "n": sizes, "members": lists}
 
-    return map_rows(df, [F.col(text_col).cast("string")], run, "node bigint, members array<bigint>")
+    return map_rows(df, [F.col(text_col).cast("string")], run, "node bigint, n bigint, members array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -239,56 +245,48 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
 def _tiles(lists: DataFrame, num: int, den: int) -> DataFrame:
     """Rows of the tiles: ``token, band, a, b`` name a tile, ``side`` 0 or 1 of it.
 
-    ``lists`` holds ``token, node, n, comp, bits``. Members outside the largest component
-    of a list are side 0; all members of the same and the next size bands are side 1.
+    ``lists`` holds ``token, node, n, pos, comp``. All members of a list are side 1 of their
+    size band; those outside the list's largest component are side 0 of their own band
+    and of the bands beside it. Tiles of one component alone are left out.
     """
     sizes = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     band = F.floor(F.ln(F.col("n").cast("double")) / math.log(den / num)).cast("int")
-    rows = lists.join(sizes, "token").withColumn("band", band).withColumn("out", F.col("comp") != F.col("main"))
-    near = rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    blocks = lambda df, name: df.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    plan = blocks(rows.where("out"), "rows_a").join(blocks(near, "rows_b"), ["token", "band"])
+    rows = materialize(lists.join(sizes.select("token", "main"), "token").withColumn("band", band), "open-lists")
+    outer = rows.where("comp <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    extent = lambda df, x: df.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"rows_{x}"), F.min("comp").alias(f"low_{x}"), F.max("comp").alias(f"high_{x}"))
+    met = extent(outer, "a").join(extent(rows, "b"), ["token", "band"]).where("least(low_a, low_b) < greatest(high_a, high_b)")
+    plan = materialize(met.select("token", "band", "rows_a", "rows_b"), "tiles")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["node", "n", "comp", "bits"]
-    outside = rows.where("out").join(plan, ["token", "band"]).select("token", "band", F.pmod(F.hash("node"), "rows_a").alias("a"), every("rows_b").alias("b"), F.lit(0).alias("side"), *kept)
-    inside = near.join(plan, ["token", "band"]).select("token", "band", every("rows_a").alias("a"), F.pmod(F.hash("node"), "rows_b").alias("b"), F.lit(1).alias("side"), *kept)
+    kept = ["node", "n", "pos", "comp"]
+    outside = outer.join(plan, ["token", "band"]).select("token", "band", F.pmod(F.hash("node"), "rows_a").alias("a"), every("rows_b").alias("b"), F.lit(0).alias("side"), *kept)
+    inside = rows.join(plan, ["token", "band"]).select("token", "band", every("rows_a").alias("a"), F.pmod(F.hash("node"), "rows_b").alias("b"), F.lit(1).alias("side"), *kept)
     return outside.unionByName(inside)
 
 
 def _tile_candidates(tiles: DataFrame, num: int, den: int) -> DataFrame:
     key = ["token", "band", "a", "b"]
+    names = [*key, "side", "node", "n", "pos", "comp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pd.DataFrame | None = None
-
-        def work(rows: pd.DataFrame) -> list[tuple[int, int]]:
-            out = []
-            marks = rows[key].to_numpy()
-            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-                tile = rows.iloc[lo:hi]
-                split = int((tile["side"].to_numpy() == 0).sum())
-                if 0 < split < hi - lo:
-                    out += tile_pairs(tile.iloc[:split], tile.iloc[split:], num, den)
-            return out
-
-        def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = [*dict.fromkeys(pairs)]
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        held = np.zeros((0, len(names)), np.int64)
+
+        def work(rows: np.ndarray) -> pa.RecordBatch:
+            pairs = tile_pairs(rows[:, :4], *(rows[:, k] for k in range(4, len(names))), num, den)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
-            rows = batch.to_pandas()
-            if held is not None:
-                rows = pd.concat([held, rows], ignore_index=True)
-            same = (rows[key] == rows[key].iloc[-1]).all(axis=1).to_numpy()
+            rows = np.concatenate([held, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(len(names))], axis=1)])
+            if not len(rows):
+                continue
+            same = (rows[:, :4] == rows[-1, :4]).all(axis=1)
             whole = len(rows) - int(same[::-1].cumprod().sum())
             if whole:
-                yield batch_of(work(rows.iloc[:whole]))
-            held = rows.iloc[whole:]
-        if held is not None and len(held):
-            yield batch_of(work(held))
+                yield work(rows[:whole])
+            held = rows[whole:]
+        if len(held):
+            yield work(held)
 
-    return tiles.repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, "u bigint, v bigint").distinct()
+    return tiles.repartition(*key).sortWithinPartitions(*key, "side").select(*names).mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def similar(df: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,9 +300,9 @@ def similar(df: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: s
     classes = _bucket_classes(described)
     docs = described.where("n >= 0").select("id", "mark", "n", "node")
     prefixes = materialize(_prefixes(df, text_col, words, num, den, classes), "prefixes")
-    postings = prefixes.select("node", F.explode("members").alias("token"))
+    postings = prefixes.select("node", "n", F.posexplode("members").alias("pos", "token"))
     shared = postings.groupBy("token").count().where("count > 1").select("token")
-    listed = postings.join(shared.hint("shuffle_hash"), "token").groupBy("token", "node").agg(F.lit(1).alias("one")).select("token", "node")
+    listed = postings.join(shared.hint("shuffle_hash"), "token").groupBy("token", "node").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
     lists = materialize(listed, "lists")
     ends = lists.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     stars = lists.join(ends, "token").groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -315,9 +313,9 @@ def similar(df: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: s
     texts = materialize(_texts(df, nodes, id_col, text_col, words), "texts")
     first = materialize(_verified(_possible(tried, nodes, num, den), texts, words, num, den), "first-links")
     joined = components(first)
-    named = nodes.join(joined, "node", "left").select("node", "n", "bits", F.coalesce("component", "node").alias("comp"))
-    rest = _tile_candidates(_tiles(lists.join(named, "node"), num, den), num, den)
-    second = materialize(_verified(rest, texts, words, num, den), "second-links")
+    named = lists.join(joined, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
+    rest = _tile_candidates(_tiles(named, num, den), num, den)
+    second = materialize(_verified(_possible(rest, nodes, num, den), texts, words, num, den), "second-links")
     final = components(first.union(second))
     grouped = docs.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))

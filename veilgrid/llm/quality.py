@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import bound_batches, bounded_sample, map_rows
+from veilgrid.llm.common import bound_batches, map_rows
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "distinct_words", "repeated_next", "upper", "symbols", "digits",
@@ -172,15 +172,15 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 120, pair_
     return QualityModel(edges, tuple(tables), chosen, pair_edges, tuple(grids), base)
 
 
-def fit(df: DataFrame, label: Column, key: Column, text_col: str = "text", sample_rows: int = 20_000) -> QualityModel:
-    """Learn from at most ``sample_rows`` labelled rows, those of smallest key hash."""
+def fit(df: DataFrame, label: Column, text_col: str = "text") -> QualityModel:
+    """Learn from labelled rows (``common.labelled_sample`` bounds them); their features come to the driver."""
     bound_batches(df.sparkSession)
-    rows = df.select(key.alias("key"), F.col(text_col).cast("string").alias("body"), (label.cast("int") == 1).cast("int").alias("y")).where("y is not null")
+    rows = df.select(F.col(text_col).cast("string").alias("body"), (label.cast("int") == 1).cast("int").alias("y")).where("y is not null")
 
     def read(batch: pa.RecordBatch) -> dict:
         return {"y": batch.column(1), "x": [features(t) for t in batch.column(0).to_pylist()]}
 
-    points = map_rows(bounded_sample(rows, F.col("key"), sample_rows), [F.col("body"), F.col("y")], read, "y int, x array<double>").collect()
+    points = map_rows(rows, [F.col("body"), F.col("y")], read, "y int, x array<double>").collect()
     points.sort()
     return train(np.array([r["x"] for r in points], dtype=float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in points], dtype=float))
 

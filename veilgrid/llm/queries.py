@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.llm import bpe, jpeg_media, langid, line_dedup, mixing, ngram_join, quality, secrets, topk, toxicity
-from veilgrid.llm.common import in_remainder, read_table
+from veilgrid.llm.common import in_remainder, labelled_sample, read_table
 
 
 #: Toxicity scores from here on count as toxic.
@@ -19,14 +19,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a label, one row for each pair of rows."""
-    return read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels"), "doc_id")
+#: Labelled rows that a model learns from.
+LEARNED_ROWS = 20_000
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str, held: Column) -> DataFrame:
+    """Documents with ``label__``, of labels that are not held out."""
+    return labelled_sample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").where(~held), label, LEARNED_ROWS)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = in_remainder(F.col("doc_id"), 4, 2)
-    model = toxicity.fit(labelled(spark, sf_dir).where(~held), F.col("toxic"), F.col("doc_id"))
+    model = toxicity.fit(labelled(spark, sf_dir, "toxic", held), F.col("label__"), F.col("doc_id"))
     columns = [F.col("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out")]
     scored = toxicity.score(read_table(spark, sf_dir, "documents"), model, columns, "doc_id bigint, held_out boolean")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "clauses")
@@ -62,7 +66,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = in_remainder(F.col("doc_id"), 3, 1)
-    model = quality.fit(labelled(spark, sf_dir).where(~held), F.col("quality"), F.col("doc_id"))
+    model = quality.fit(labelled(spark, sf_dir, "quality", held), F.col("label__"))
     columns = [F.col("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out")]
     scored = quality.score(read_table(spark, sf_dir, "documents"), model, columns, "doc_id bigint, held_out boolean")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import bound_batches, bounded_sample, map_rows, materialize
+from veilgrid.llm.common import bound_batches, map_rows, materialize
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = b"oitynr."
 #: Fixed word lists in English, French, German and Spanish.
@@ -185,15 +185,15 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return (float(beta[0]), *(float(b) for b in beta[1:] / scale))
 
 
-def fit(df: DataFrame, label: Column, key: Column, text_col: str = "text", sample_rows: int = 20_000, least_odds: float = 2.0, least_gain: float = 18.0, most_terms: int = 50_000) -> ToxicityModel:
-    """Learn from at most ``sample_rows`` labelled rows, those of smallest key hash.
+def fit(df: DataFrame, label: Column, key: Column, text_col: str = "text", least_odds: float = 2.0, least_gain: float = 18.0, most_terms: int = 50_000) -> ToxicityModel:
+    """Learn from labelled rows (``common.labelled_sample`` bounds them).
 
     Three quarters of them teach the lexicon, the rest the curve; lexicon terms are those
     whose log-odds and G statistic reach the bounds, the ``most_terms`` of largest G.
     """
     bound_batches(df.sparkSession)
     rows = df.select(key.alias("key"), F.col(text_col).cast("string").alias("body"), (label.cast("int") == 1).cast("int").alias("y")).where("body is not null and y is not null")
-    sample = materialize(bounded_sample(rows, F.col("key"), sample_rows), "labelled")
+    sample = materialize(rows, "labelled")
     teaches = F.pmod(F.xxhash64("key", F.lit("part")), F.lit(4)) != 0
     count = {r["y"]: r["count"] for r in sample.where(teaches).groupBy("y").count().collect()}
     if len(count) < 2:
