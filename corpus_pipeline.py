@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.llm import bpe, line_dedup, mixing, ngram_join, toxicity
 from veilgrid.llm.common import in_remainder, labelled_sample, materialize, read_table
 from veilgrid.llm.queries import LEARNED_ROWS, TOXIC_FROM, tokenizer_path
 
-MARK = F.xxhash64(F.col("text"))
+
+def mark() -> Column:
+    """Names a text beside its id."""
+    return F.xxhash64(F.col("text"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +38,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = ngram_join.similar(docs, words=5, num=4, den=5).where("n_shingles > 0")
     first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("row")).select(F.col("row.doc_id").alias("of_id"), F.col("row.mark").alias("of_mark"))
     has_words = F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
-    marked = docs.where(has_words).withColumn("mark__", MARK)
+    marked = docs.where(has_words).withColumn("mark__", mark())
     one = marked.join(first, (F.col("mark__") == F.col("of_mark")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).dropDuplicates(["doc_id", "mark__"])
     return one.select(*docs.columns).unionByName(docs.where(~has_words))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents appear as often as the mix takes them."""
-    taken = mixing.mix(docs.withColumn("mark__", MARK), ["doc_id", "mark__"]).groupBy("doc_id", "mark__").agg(F.sum("copies").cast("int").alias("copies"))
+    taken = mixing.mix(docs.withColumn("mark__", mark()), ["doc_id", "mark__"]).groupBy("doc_id", "mark__").agg(F.sum("copies").cast("int").alias("copies"))
     taken = taken.where("copies > 0").select(F.col("doc_id").alias("of_id"), F.col("mark__").alias("of_mark"), "copies")
-    marked = docs.withColumn("mark__", MARK)
+    marked = docs.withColumn("mark__", mark())
     found = marked.join(taken, (F.col("mark__") == F.col("of_mark")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).dropDuplicates(["doc_id", "mark__"])
     return found.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
