@@ -65,7 +65,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("BPE", encode),
 ]
 
-#: SQL cannot express the learned, suffix-sorted and sampled stages; tests hold each to a brute-force version.
+#: SQL cannot express the learned, sampled and merged stages; their operators are tested one by one.
 ORACLE_SQL = None
 
 
