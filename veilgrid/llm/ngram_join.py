@@ -7,16 +7,17 @@ that fill an overfull bucket of a corpus-wide count last, so that what many docu
 share opens no candidates. Members shared by two nodes or more become lists.
 
 1. Stars: every node is tried against the smallest and the largest node of its lists;
-   most members of a group of near copies are joined by that, in linear work.
+   most members of a group of near copies are joined by that, in linear work. Long lists,
+   in which strangers may stand at both ends, get another turn with a few members drawn
+   by hash, the same ones in all lists that hold them.
 2. Tiles: only lists that still hold several components go on. Those outside the list's
    largest component meet all members of the same and the neighbouring size bands, in
    tiles of bounded size, where sizes and places in the order rule most pairs out.
 
-In both steps hashed bitmaps, whose width follows the size of the set, bound the overlap
+In all steps hashed bitmaps, whose width follows the size of the set, bound the overlap
 from above by bit counts, and what passes is intersected exactly.
 
-Both steps only add links that the exact intersection confirms, and together they see
-every pair of different components, so the components are exact.
+They only add links that the exact intersection confirms, and the tiles see every pair of different components, so the components are exact.
 
 Cases: a null text, an empty one and one without words have the empty set, link with
 nothing and are their own component; fewer words than ``words`` make one n-gram of the
@@ -45,6 +46,8 @@ BUCKET_BITS = 16
 BLOCK = 1024
 #: Pairs that a task looks at together.
 AT_ONCE = 1 << 20
+#: Rows from which on a list is long, and the members drawn from a long list.
+LONG, DRAWN = 32, 6
 #: Words whose hashes a worker remembers.
 REMEMBERED = 500_000
 ODD = 0x9E3779B97F4A7C15
@@ -242,6 +245,17 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     return map_rows(both, [F.col(c) for c in ("u", "v", "n_u", "n_v", "bits_u", "bits_v")], run, "u bigint, v bigint")
 
 
+def _drawn_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of every member of a list (``token, node, n, pos, comp``) with the DRAWN ones that come first by
+    as many hashes, of different components, whose sizes and places leave a link possible."""
+    member = F.struct("node", "n", "pos", "comp")
+    first = [F.min_by(member, F.xxhash64("node", F.lit(k))) for k in range(DRAWN)]
+    drawn = lists.groupBy("token").agg(F.array_distinct(F.array(*first)).alias("drawn"))
+    met = lists.join(drawn, "token").withColumn("o", F.explode("drawn")).where("comp <> o.comp")
+    fit = met.where(f"{den} * least(n, o.n) >= {num} * greatest(n, o.n) and {num + den} * least(n - pos, o.n - o.pos) >= {num} * (n + o.n)")
+    return fit.select(F.least("node", "o.node").alias("u"), F.greatest("node", "o.node").alias("v")).distinct()
+
+
 def _tiles(lists: DataFrame, num: int, den: int) -> DataFrame:
     """Rows of the tiles: ``token, band, a, b`` name a tile, ``side`` 0 or 1 of it.
 
@@ -301,8 +315,8 @@ def similar(df: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: s
     docs = described.where("n >= 0").select("id", "mark", "n", "node")
     prefixes = materialize(_prefixes(df, text_col, words, num, den, classes), "prefixes")
     postings = prefixes.select("node", "n", F.posexplode("members").alias("pos", "token"))
-    shared = postings.groupBy("token").count().where("count > 1").select("token")
-    listed = postings.join(shared.hint("shuffle_hash"), "token").groupBy("token", "node").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
+    shared = postings.groupBy("token").count().where("count > 1").select("token", (F.col("count") >= LONG).alias("long"))
+    listed = postings.join(shared.hint("shuffle_hash"), "token").groupBy("token", "node").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.first("long").alias("long"))
     lists = materialize(listed, "lists")
     ends = lists.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     stars = lists.join(ends, "token").groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -312,9 +326,11 @@ def similar(df: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: s
     tried = stars.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end").select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct()
     texts = materialize(_texts(df, nodes, id_col, text_col, words), "texts")
     first = materialize(_verified(_possible(tried, nodes, num, den), texts, words, num, den), "first-links")
-    joined = components(first)
-    named = lists.join(joined, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
-    rest = _tile_candidates(_tiles(named, num, den), num, den)
+    named = lambda df, joined: df.join(joined, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
+    long = materialize(named(lists.where("long"), components(first)), "long-lists")
+    drawn = _verified(_possible(_drawn_pairs(long, num, den), nodes, num, den), texts, words, num, den)
+    first = materialize(first.union(drawn), "star-links")
+    rest = _tile_candidates(_tiles(named(lists, components(first)), num, den), num, den)
     second = materialize(_verified(_possible(rest, nodes, num, den), texts, words, num, den), "second-links")
     final = components(first.union(second))
     grouped = docs.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
