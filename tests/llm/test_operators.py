@@ -106,6 +106,22 @@ def test_ngram_join_equals_brute_force(spark, docs, empty):
     assert ngram_join.similar(empty).count() == 0
 
 
+def test_long_lists_lose_no_link(spark):
+    rng = np.random.default_rng(8)
+    passage = [f"p{k}" for k in range(60)]
+    made = []
+    for k in range(90):
+        own = [f"o{k}x{i}" for i in range(12)] if k % 3 == 0 else [f"e{i}" for i in range(12)]
+        words = passage + own
+        words[int(rng.integers(0, 60))] = f"z{k}"
+        made.append(" ".join(words))
+    table = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar(table, words=4, num=85, den=100).collect()}
+    want = roots(sets_of(made, 4), 85, 100)
+    assert 1 < len(set(want)) < 90
+    assert [got[k] for k in range(90)] == list(want)
+
+
 def test_tiles_see_every_open_pair():
     rows = np.array([(1, 0, 0, 0, s, node, 100, pos, comp) for s in (0, 1) for node, pos, comp in ((7, 0, 7), (8, 3, 7), (9, 2, 9), (4, 90, 4))])
     pairs = ngram_join.tile_pairs(rows[:, :4], *(rows[:, k] for k in range(4, 9)), 85, 100)
