@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
+
 from pyspark.sql import functions as F
 
 from veilgrid.functions import geometry as G
 from veilgrid.operators import lookups, pixels, rates, state, temporal
+from veilgrid.plans.catalog import QUERIES
 
 
 def one(spark, column):
@@ -50,3 +54,36 @@ def test_double_gap_stays(spark):
     rows = [(0, i, False, face if i in (0, 3) else []) for i in range(4)]
     frames = spark.createDataFrame(rows, f"video_id bigint, frame_index bigint, stored boolean, faces array<{temporal.FACE}>")
     assert temporal.gap_fill(frames).where("filled").count() == 0
+
+
+def test_brush_stamps_along_a_stroke(spark):
+    rows = [(0, 2, 10, 22, 10, 2, 255), (1, 12, 0, 12, 20, 1, 0), (2, -5, 2, 3, 2, 1, 255), (3, 29, 19, 29, 19, 1, 255)]
+    strokes = spark.createDataFrame(rows, "seq int, cx int, cy int, tx int, ty int, radius int, value int")
+    want = {}
+    for _, fx, fy, tx, ty, r, value in rows:
+        far = math.hypot(tx - fx, ty - fy)
+        steps = max(1, math.ceil(far / max(1.0, r * 0.5)))
+        for i in range(steps + 1):
+            cx, cy = round(fx + i * (tx - fx) / steps), round(fy + i * (ty - fy) / steps)
+            if 0 <= cx < 30 and 0 <= cy < 20:
+                want |= {(x, y): value for x in range(30) for y in range(20) if (x - cx) ** 2 + (y - cy) ** 2 <= r * r}
+    assert {(p["x"], p["y"]): p["value"] for p in pixels.brush(strokes, 30, 20).collect()} == want
+    assert want[12, 10] == 0 and want[7, 10] == want[17, 10] == 255
+
+
+def test_brush_keeps_frames_apart(spark):
+    strokes = spark.createDataFrame([(0, f, f, 5, 5, 1, 255 * f) for f in (0, 1)], "video_id int, frame_index int, seq int, cx int, cy int, radius int, value int")
+    got = pixels.brush(strokes, 30, 20).groupBy("frame_index", "value").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 5), (1, 255, 5)]
+
+
+def thousand_events(spark):
+    """1,001 events; the last one's stroke begins at (110, 53)."""
+    path = tempfile.mkdtemp(prefix="spark-")
+    spark.range(1001).selectExpr("id event_id", "id % 50 user_id").write.parquet(f"{path}/events.parquet")
+    return path
+
+
+def test_strokes_after_the_first_hundreds_are_drawn(spark):
+    last = QUERIES["brush_segments"](spark, thousand_events(spark)).where("video_id = 0 and x = 110 and y = 53").first()
+    assert last["value"] == 255

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from veilgrid.functions.geometry import blend, blur_radius, clamp, luma, padded, skin
 
 INNER = 0.65 * 0.65
+FRAME = ("video_id", "frame_index")
+
+
+def frame_keys(df: DataFrame) -> list[str]:
+    """The columns that tell one picture from another; a table without them is one picture."""
+    return [c for c in FRAME if c in df.columns]
 
 
 def _box_rows(faces: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
@@ -111,10 +117,37 @@ def mask_decay(masks: DataFrame) -> DataFrame:
     return rows.select("x", "y", F.explode(folded).alias("f")).select("x", "y", "f.seq", "f.smooth")
 
 
+def stamps(strokes: DataFrame) -> DataFrame:
+    """The strokes from ``cx, cy`` to ``tx, ty`` as one row a stamp, max(1, radius / 2) apart at most; ``cx, cy`` are the stamp's centre.
+
+    Steps are added up one by one and centres rounded half to even, as the reference does.
+    """
+    dx, dy = F.col("tx") - F.col("cx"), F.col("ty") - F.col("cy")
+    far = F.sqrt((dx * dx + dy * dy).cast("double"))
+    sized = strokes.withColumn("far", far).withColumn("steps", F.greatest(F.lit(1), F.ceil(F.col("far") / F.greatest(F.lit(1.0), F.col("radius") * 0.5)).cast("int")))
+    first = F.struct(F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"))
+    step_x, step_y = dx / F.col("steps"), dy / F.col("steps")
+
+    def step(acc: Column, _: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.concat(acc, F.array(F.struct((last["x"] + step_x).alias("x"), (last["y"] + step_y).alias("y"))))
+
+    along = F.aggregate(F.sequence(F.lit(1), F.col("steps")), F.array(first), step)
+    end = F.array(F.struct(F.col("tx").cast("double").alias("x"), F.col("ty").cast("double").alias("y")))
+    at = sized.withColumn("at", F.explode(F.when(F.col("far") < 0.001, end).otherwise(along)))
+    rounded = at.withColumn("cx", F.rint("at.x").cast("int")).withColumn("cy", F.rint("at.y").cast("int"))
+    return rounded.select(*(c for c in strokes.columns if c not in ("tx", "ty")))
+
+
 def brush(strokes: DataFrame, width: int, height: int) -> DataFrame:
-    """Discs of ``radius`` at ``cx, cy`` in order of ``seq``; the last writer of a pixel gives its ``value``."""
-    inside = strokes.where(F.col("cx").between(0, width - 1) & F.col("cy").between(0, height - 1))
+    """Strokes in order of ``seq``; the last writer of a pixel gives its ``value``.
+
+    A stroke goes from ``cx, cy`` to ``tx, ty`` in discs of ``radius``; without ``tx, ty`` it
+    is the one disc. Stamps with their centre outside the picture are left out.
+    """
+    discs = stamps(strokes) if "tx" in strokes.columns else strokes
+    inside = discs.where(F.col("cx").between(0, width - 1) & F.col("cy").between(0, height - 1))
     r = F.col("radius")
     px = _box_rows(inside, F.greatest(F.lit(0), F.col("cx") - r), F.greatest(F.lit(0), F.col("cy") - r), F.least(F.lit(width), F.col("cx") + r + 1), F.least(F.lit(height), F.col("cy") + r + 1))
     disc = px.where((F.col("px") - F.col("cx")) * (F.col("px") - F.col("cx")) + (F.col("py") - F.col("cy")) * (F.col("py") - F.col("cy")) <= r * r)
-    return disc.groupBy(F.col("px").alias("x"), F.col("py").alias("y")).agg(F.max_by("value", "seq").alias("value"))
+    return disc.groupBy(*frame_keys(strokes), F.col("px").alias("x"), F.col("py").alias("y")).agg(F.max_by("value", "seq").alias("value"))

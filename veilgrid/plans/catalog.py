@@ -43,7 +43,7 @@ VIEWS = {
 
 def sql(name: str, body: str, *views: str, recursive: str = "") -> None:
     needed = [v for v in VIEWS if v in views]
-    parts = ", ".join(f"{v} as materialized ({VIEWS[v]})" for v in needed) + (", " + recursive if recursive else "")
+    parts = ", ".join([f"{v} as materialized ({VIEWS[v]})" for v in needed] + ([recursive] if recursive else []))
     ORACLES[name] = f"with {'recursive ' if recursive else ''}{parts} {body}" if parts else body
 
 
@@ -365,6 +365,23 @@ def brush_stroke(spark, d):
 pixel_sql("brush_stroke", "select p.x, p.y, arg_max(case when event_id%3=0 then 0 else 255 end, event_id) as value from events join pattern p on pow(p.x-event_id*7%130,2)+pow(p.y-event_id*5%97,2)<=pow(2+event_id%4,2) where event_id<400 and event_id*7%130<120 and event_id*5%97<90 group by p.x, p.y")
 
 
+@query
+def brush_segments(spark, d):
+    """Every event is a stroke on the mask of its video."""
+    e = tables.video_of(tables.events(spark, d)).select("video_id", F.col("event_id").alias("seq"), (F.col("event_id") * 7 % 130).cast("int").alias("cx"), (F.col("event_id") * 5 % 97).cast("int").alias("cy"), (2 + F.col("event_id") % 4).cast("int").alias("radius"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(255).alias("value"), "user_id")
+    to = e.withColumn("tx", (F.col("cx") + F.col("seq") % 23 - 11).cast("int")).withColumn("ty", (F.col("cy") + F.col("user_id") % 17 - 8).cast("int"))
+    return pixels.brush(to.drop("user_id"), 120, 90)
+
+
+sql("brush_segments", """select video_id, x, y, arg_max(v, seq) as value from (select *, cx+ox x, cy+oy y from (select *, unnest(range(-r, r+1)) oy from (select *, unnest(range(-r, r+1)) ox from
+    (select distinct video_id, seq, r, v, cast(round_even(x,0) as bigint) cx, cast(round_even(y,0) as bigint) cy from stamp) where cx between 0 and 119 and cy between 0 and 89)))
+    where ox*ox+oy*oy<=r*r and x between 0 and 119 and y between 0 and 89 group by all""", recursive="""stroke as materialized (select event_id%8 video_id, event_id seq,
+    event_id*7%130 fx, event_id*5%97 fy, event_id*7%130+event_id%23-11 tx, event_id*5%97+user_id%17-8 ty, 2+event_id%4 r, case when event_id%3=0 then 0 else 255 end v from events),
+    sized as materialized (select *, greatest(1, ceil(sqrt(cast((tx-fx)*(tx-fx)+(ty-fy)*(ty-fy) as double))/greatest(1.0::double, r*0.5::double)))::int steps from stroke),
+    stamp as (select video_id, seq, r, v, 0 i, steps, cast(fx as double) x, cast(fy as double) y, cast(tx-fx as double)/steps sx, cast(ty-fy as double)/steps sy from sized
+    union all select video_id, seq, r, v, i+1, steps, x+sx, y+sy, sx, sy from stamp where i<steps)""")
+
+
 @query
 def asof_frame(spark, d):
     asks = tables.frame_spine(spark, d).select("video_id", "frame_index", F.floor(F.col("frame_index") / F.col("fps") * 90000).alias("at"))
