@@ -87,3 +87,8 @@ def thousand_events(spark):
 def test_strokes_after_the_first_hundreds_are_drawn(spark):
     last = QUERIES["brush_segments"](spark, thousand_events(spark)).where("video_id = 0 and x = 110 and y = 53").first()
     assert last["value"] == 255
+
+
+def test_upsert_leaves_no_open_out(spark):
+    kept = {r["seq"] for r in QUERIES["workspace_upsert_all"](spark, thousand_events(spark)).collect()}
+    assert set(range(500, 1001)) <= kept

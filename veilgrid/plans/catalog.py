@@ -428,6 +428,18 @@ sql("workspace_upsert", "select * from o where seq%2=0 and not exists (select 1
 ORACLES["workspace_upsert"] = ORACLES["workspace_upsert"].replace(") select * from o where", "), o as (select *, case when seq%3=0 then 'Auto' else 'Manual' end mode from opens) select * from o where", 1)
 
 
+@query
+def workspace_upsert_all(spark, d):
+    """Opens before the middle of all seqs are the state, those from there on the changes."""
+    o = tables.opens(spark, d).withColumn("mode", F.when(F.col("seq") % 3 == 0, "Auto").otherwise("Manual"))
+    cut = o.agg(F.expr("(min(seq) + max(seq) + 1) div 2").alias("cut"))
+    dated = o.join(F.broadcast(cut))
+    return state.upsert(dated.where("seq < cut").drop("cut"), dated.where("seq >= cut").drop("cut"), ["path", "mode"])
+
+
+sql("workspace_upsert_all", "select path, seq, mode from o where seq<cut and not exists (select 1 from o n where n.seq>=n.cut and lower(n.path)=lower(o.path) and n.mode=o.mode) union all select path, seq, mode from o where seq>=cut", "opens", recursive="o as (select *, case when seq%3=0 then 'Auto' else 'Manual' end mode, (min(seq) over ()+max(seq) over ()+1)//2 cut from opens)")
+
+
 @query
 def path_hash(spark, d):
     return tables.opens(spark, d).select("seq", F.sha1(F.lower("path")).alias("key"))
