@@ -92,3 +92,12 @@ def test_strokes_after_the_first_hundreds_are_drawn(spark):
 def test_upsert_leaves_no_open_out(spark):
     kept = {r["seq"] for r in QUERIES["workspace_upsert_all"](spark, thousand_events(spark)).collect()}
     assert set(range(500, 1001)) <= kept
+
+
+def test_videos_below_three_frames_keep_their_faces(spark):
+    weak, strong = [(0, 0.0, 0.0, 9.0, 9.0, 0.4)], [(0, 0.0, 0.0, 9.0, 9.0, 0.9)]
+    rows = [(0, 0, False, weak), (1, 0, False, weak), (1, 1, False, []), (2, 0, False, weak), (2, 1, False, strong), (2, 2, False, strong)]
+    frames = spark.createDataFrame(rows, f"video_id bigint, frame_index bigint, stored boolean, faces array<{temporal.FACE}>")
+    got = temporal.temporal_fix(frames)
+    assert got.count() == len(rows)
+    assert sorted((r["video_id"], r["frame_index"]) for r in temporal.explode_faces(got).collect()) == [(0, 0), (1, 0), (2, 1), (2, 2)]

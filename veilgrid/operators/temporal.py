@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veilgrid.functions.geometry import centre_distance, f32, floored_area, iou
 
 WEAK, STRONG, LEAST_IOU, MOST_AREA, MOST_SHIFT = 0.5, 0.7, 0.2, 3.0, 0.5
+LEAST_FRAMES = 3
 FACE = "struct<face_idx:int,x:double,y:double,w:double,h:double,conf:float>"
 
 
@@ -91,8 +92,10 @@ def run_filter(frames: DataFrame, least: int = 2) -> DataFrame:
 
 
 def temporal_fix(frames: DataFrame) -> DataFrame:
-    """Gap filling, consistency and run filters, for videos of three frames or more."""
-    return run_filter(consistency_filter(gap_fill(frames)))
+    """Gap filling, consistency and run filters, for videos of three frames or more; shorter ones stay as they are."""
+    short = frames.groupBy("video_id").agg(F.count("*").alias("total")).where(F.col("total") < LEAST_FRAMES)
+    fixed = run_filter(consistency_filter(gap_fill(frames.join(short, "video_id", "left_anti"))))
+    return fixed.unionByName(frames.join(short, "video_id", "left_semi").select(*fixed.columns))
 
 
 def explode_faces(frames: DataFrame) -> DataFrame:
