@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 import zlib
 
 import numpy as np
@@ -211,6 +212,32 @@ def test_secrets_find_the_patterns(docs, empty):
     assert not re.search("Python|Arrow|Pandas", secrets.scan(docs)._jdf.queryExecution().toString())
 
 
+ALPHABETS = {"decimal": "0123456789", "hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": string.digits + string.ascii_letters, "base64": string.digits + string.ascii_letters + "+/"}
+ORDINARY = ["INTERNATIONALIZATION", "CHARACTERISTICALLYUNUSUAL", "DISESTABLISHMENTARIANISM", "00000000000000000000000A", "AAAAAAAABBBBBBBBCCCCCCCC", "aaaaaaaaaaaaaaaabbbbbbbbbbbb", "/usr/local/share/documents", "11111111112222222222"]
+
+
+def planted(lengths=(20, 26, 32, 40), each=40):
+    rng = np.random.default_rng(9)
+    return [(name, n, "".join(rng.choice(list(letters), n))) for name, letters in ALPHABETS.items() for n in lengths for _ in range(each)]
+
+
+def test_random_strings_of_every_encoding_are_unlike_ordinary_ones(spark):
+    rows = planted() + [("ordinary", 0, t) for t in ORDINARY]
+    got = spark.createDataFrame(rows, "encoding string, n int, token string").select("encoding", "n", secrets.ordinary_chance(F.col("token")).alias("p")).toPandas()
+    medians = got.groupby(["encoding", "n"])["p"].median()
+    assert (medians.drop("ordinary") < 2e-4).all(), medians
+    assert (got[got["encoding"] == "ordinary"]["p"] > 1e-3).all(), got[got["encoding"] == "ordinary"]
+
+
+def test_planted_random_strings_get_a_span(spark):
+    texts = [t for name, _, t in planted() if name != "decimal"] + ORDINARY * 40
+    table = spark.createDataFrame([(k, f"see {t} there") for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: any(s["kind"] == secrets.KINDS.index("random") for s in r["found"]) for r in secrets.scan(table).collect()}
+    for at in range(0, 640, 40):
+        assert sum(got[k] for k in range(at, at + 40)) >= 30, (at, texts[at])
+    assert sum(got[k] for k in range(640, len(texts))) == 0
+
+
 def test_language_by_compression(spark, empty):
     words = {"en": "the cat and dog with house over there", "de": "der hund und katze mit haus über dort", "fr": "le chien et chat avec maison sur là"}
     rng = np.random.default_rng(3)

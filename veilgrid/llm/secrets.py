@@ -2,9 +2,9 @@
 
 Three patterns find assigned passwords, access keys and hexadecimal runs. Beyond them a
 battery of randomness tests looks at every long run of token characters: its encoding is
-inferred (hex, base32, base62, base64), then come a chi-squared test of uniformity over
-that alphabet (by coinciding pairs of characters, from which chi-squared follows), a runs
-test on character classes and a serial-correlation test. Each test gives the chance that
+inferred (decimal, hex, base32, base62, base64), then come a chi-squared test of uniformity
+over that alphabet (by coinciding pairs of characters, from which chi-squared follows), a runs
+test on character classes and a serial-correlation test, each with the figures of that encoding. Each test gives the chance that
 an ordinary word or identifier looks as random; Fisher's method joins the three, and a
 Benjamini-Hochberg bound over all runs of the corpus, in which longer runs weigh more,
 holds the share of false findings. Counts by bin of significance are all that is gathered.
@@ -38,9 +38,14 @@ ENCODINGS = (
     ("base62", r"^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER),
     ("base64", r"^[A-Za-z0-9+/_=-]+$", DIGITS + UPPER + LOWER + "+/-_="),
 )
-#: Ordinary tokens: chance that two of their characters coincide, that the class of
-#: character changes from one to the next, and correlation of neighbours.
-COINCIDE, CHANGE, CORRELATE = 0.066, 0.18, 0.5
+#: Ordinary tokens: two of their characters coincide as in ordinary words, or more often where
+#: the alphabet is small: by so many times what it gives by chance.
+COINCIDE, EXCESS = 0.066, 2.1
+#: By encoding: symbols (padding aside), chance that the class of character changes from one to
+#: the next in an ordinary token (decimal has low and high digits for classes), and correlation
+#: of neighbours. Ordinary words in capitals, which fit base32, have no digits and hardly
+#: correlate; tokens of several classes do, as their alphabets list a class after the other.
+ORDINARY = {"decimal": (10, 0.25, 0.5), "hex": (16, 0.18, 0.5), "base32": (32, 0.06, 0.1), "base62": (62, 0.18, 0.5), "base64": (64, 0.18, 0.5)}
 BINS_PER_DECADE = 20
 
 
@@ -79,26 +84,34 @@ def tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * bound + 0.070566 * bound * bound * bound))
 
 
+def by_encoding(token: Column, values: dict) -> Column:
+    """The value of the token's inferred encoding: the strictest that fits."""
+    out = F.lit(values[ENCODINGS[-1][0]])
+    for name, pattern, _ in reversed(ENCODINGS[:-1]):
+        out = F.when(token.rlike(pattern), F.lit(values[name])).otherwise(out)
+    return out
+
+
 def ordinary_chance(token: Column) -> Column:
     """Chance that an ordinary token looks at least as random as this one."""
     n = F.length(token).cast("double")
     chars = F.split(token, "")
     pairs = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + (n - F.length(F.replace(token, c, F.lit("")))) * (n - F.length(F.replace(token, c, F.lit(""))) - 1) / 2)
-    usual = n * (n - 1) / 2 * COINCIDE
+    usual = n * (n - 1) / 2 * by_encoding(token, {e: max(COINCIDE, EXCESS / m) for e, (m, _, _) in ORDINARY.items()})
     p_uniform = tail((usual - pairs - 0.5) / F.sqrt(usual))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+    classes = F.when(token.rlike(ENCODINGS[0][1]), F.translate(token, DIGITS, "0000011111")).otherwise(classes)
     changes = F.length(F.regexp_replace(classes, r"(.)\1*", "x")) - 1
-    p_runs = tail((changes - 0.5 - (n - 1) * CHANGE) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE)))
-    alphabet = F.lit(ENCODINGS[-1][2])
-    for _, pattern, letters in reversed(ENCODINGS[:-1]):
-        alphabet = F.when(token.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+    change = by_encoding(token, {e: x for e, (_, x, _) in ORDINARY.items()})
+    p_runs = tail((changes - 0.5 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change)))
+    alphabet = by_encoding(token, {e: letters for e, _, letters in ENCODINGS})
     place = F.transform(chars, lambda c: F.instr(alphabet, c).cast("double"))
     mean = F.aggregate(place, F.lit(0.0), lambda a, x: a + x) / n
     off = F.transform(place, lambda x: x - mean)
     spread = F.aggregate(off, F.lit(0.0), lambda a, x: a + x * x)
     shared = F.aggregate(F.zip_with(F.slice(off, 2, F.greatest(F.length(token) - 1, F.lit(1))), F.slice(off, 1, F.greatest(F.length(token) - 1, F.lit(1))), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     r = F.when(spread > 0, shared / spread).otherwise(1.0)
-    p_serial = tail((CORRELATE - r) * F.sqrt(n - 1))
+    p_serial = tail((by_encoding(token, {e: x for e, (_, _, x) in ORDINARY.items()}) - r) * F.sqrt(n - 1))
     half = -(F.ln(p_uniform) + F.ln(p_runs) + F.ln(p_serial))
     return F.exp(-half) * (1 + half + half * half / 2)
 
