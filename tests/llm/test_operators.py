@@ -250,6 +250,16 @@ def test_language_by_compression(spark, empty):
     assert langid.classify(langid.fit(empty, F.col("lang")), "abc") == ("und", 0.0, True)
 
 
+def test_language_of_long_texts_alone_is_learned(spark):
+    words = {"en": "the cat and dog with house over there", "de": "der hund und katze mit haus über dort"}
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(rng.choice(words[x].split(), 30 if x == "en" else 1500)), x) for k, x in enumerate(["en", "de"] * 20)]
+    assert min(len(t) for _, t, x in rows if x == "de") > 4096
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(table, F.col("lang"))
+    assert {langid.classify(model, t)[0] for _, t, x in rows if x == "de"} == {"de"}
+
+
 def test_quality_tables_learn_a_bin_and_a_pair():
     rng = np.random.default_rng(0)
     x = rng.random((2000, len(quality.FEATURES)))

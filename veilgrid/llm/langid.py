@@ -47,8 +47,8 @@ class LanguageModel:
     least_margin: float = 1.0
 
 
-def fit(df: DataFrame, label: Column, text_col: str = "text", rows_per_language: int = 2000, most_chars: int = 4096, dictionary_bytes: int = 8192) -> LanguageModel:
-    """Learn from about ``rows_per_language`` different texts of each label, of at most ``most_chars``.
+def fit(df: DataFrame, label: Column, text_col: str = "text", rows_per_language: int = 2000, dictionary_bytes: int = 8192) -> LanguageModel:
+    """Learn from about ``rows_per_language`` different texts of each label, of any length.
 
     The texts are those of smallest hash, so a rerun learns the same. What comes to the
     driver is a count and a dictionary for each label.
@@ -56,7 +56,7 @@ def fit(df: DataFrame, label: Column, text_col: str = "text", rows_per_language:
     bound_batches(df.sparkSession)
     rows = df.select(label.cast("string").alias("label"), F.col(text_col).cast("string").alias("body")).where("label is not null")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    usable = rows.where(f"length(body) between 1 and {most_chars}").withColumn("mark", F.xxhash64("body"))
+    usable = rows.where("length(body) > 0").withColumn("mark", F.xxhash64("body"))
     shares = {r["label"]: min(1.0, rows_per_language / r["count"]) for r in usable.groupBy("label").count().collect()}
     if not shares:
         return LanguageModel(())
