@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilgrid.functions import geometry as G
 from veilgrid.operators import lookups, pixels, rates, state, temporal
 from veilgrid.plans.catalog import QUERIES
+from veilgrid.sources import tables
 
 
 def one(spark, column):
@@ -101,3 +102,21 @@ def test_videos_below_three_frames_keep_their_faces(spark):
     got = temporal.temporal_fix(frames)
     assert got.count() == len(rows)
     assert sorted((r["video_id"], r["frame_index"]) for r in temporal.explode_faces(got).collect()) == [(0, 0), (1, 0), (2, 1), (2, 2)]
+
+
+def test_pixel_operators_keep_frames_apart(spark):
+    """Two frames, the second brighter and with another face, give what each gives alone."""
+    frame = lambda df, k: df.select(F.lit(7).alias("video_id"), F.lit(k).alias("frame_index"), "*")
+    image = tables.pattern(spark, 30, 24)
+    images = [image, image.select("x", "y", *((F.col(c) / 2 + F.col("x")).cast("int").alias(c) for c in "bgr"))]
+    faces = [spark.createDataFrame([(k, 2.0 + 9 * k, 3.0, 6.0 + k, 5.0)], "face_idx int, x double, y double, w double, h double") for k in (0, 1)]
+    mask = lambda f: pixels.mask_raster(f, 30, 24)
+    runs = [
+        lambda i, f: mask(f), lambda i, f: pixels.mask_bounds(mask(f)), lambda i, f: pixels.radius_map(f, 30, 24, 24), lambda i, f: pixels.box_mean(i, 2),
+        lambda i, f: pixels.box_separable(i, 2, 30, 24), lambda i, f: pixels.masked_blend(i, pixels.box_mean(i, 2), mask(f)), lambda i, f: pixels.region_stats(i, 2, 2, 25, 20),
+        lambda i, f: pixels.downscale_nearest(i, 0.4, 30, 24), lambda i, f: pixels.mask_decay(mask(f).withColumn("seq", F.lit(0))),
+    ]
+    both = [frame(t[0], 0).unionByName(frame(t[1], 1)).coalesce(1) for t in (images, faces)]
+    for n, run in enumerate(runs):
+        got = sorted(map(tuple, run(*both).collect()))
+        assert got == sorted((7, k, *row) for k in (0, 1) for row in run(images[k], faces[k]).collect()), n

@@ -35,64 +35,68 @@ def mask_raster(faces: DataFrame, width: int, height: int) -> DataFrame:
     d = px.withColumn("d2", dx * dx / (rx * rx) + dy * dy / (ry * ry)).where("d2 <= 1.0")
     t = (F.col("d2") - INNER) / (1.0 - INNER)
     alpha = F.when(F.col("d2") <= INNER, 255).otherwise(F.rint((1.0 - t * t * (3.0 - 2.0 * t)) * 255.0).cast("int"))
-    return d.groupBy(F.col("px").alias("x"), F.col("py").alias("y")).agg(F.max(alpha).alias("alpha")).where("alpha > 0")
+    return d.groupBy(*frame_keys(faces), F.col("px").alias("x"), F.col("py").alias("y")).agg(F.max(alpha).alias("alpha")).where("alpha > 0")
 
 
 def mask_bounds(mask: DataFrame) -> DataFrame:
     lit = mask.where("alpha > 0")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return lit.agg(zero(F.min("x")).alias("x0"), zero(F.min("y")).alias("y0"), zero(F.max("x") + 1).alias("x1"), zero(F.max("y") + 1).alias("y1"))
+    return lit.groupBy(*frame_keys(mask)).agg(zero(F.min("x")).alias("x0"), zero(F.min("y")).alias("y0"), zero(F.max("x") + 1).alias("x1"), zero(F.max("y") + 1).alias("y1"))
 
 
 def radius_map(faces: DataFrame, width: int, height: int, base: int) -> DataFrame:
     p = padded(F.col("x"), F.col("y"), F.col("w"), F.col("h"), width, height)
     sized = faces.withColumn("radius", blur_radius(F.col("w"), F.col("h"), width, height, base))
     px = _box_rows(sized, F.floor(p["px"]), F.floor(p["py"]), F.ceil(p["px"] + p["pw"]), F.ceil(p["py"] + p["ph"]))
-    return px.groupBy(F.col("px").alias("x"), F.col("py").alias("y")).agg(F.max("radius").alias("radius"))
+    return px.groupBy(*frame_keys(faces), F.col("px").alias("x"), F.col("py").alias("y")).agg(F.max("radius").alias("radius"))
 
 
 def box_mean(pixels: DataFrame, radius: int, channels: tuple[str, ...] = ("b", "g", "r")) -> DataFrame:
     """Integer mean over a square window cropped at the edges: sums of row sums, as a summed-area table gives."""
-    across = Window.partitionBy("y").orderBy("x").rangeBetween(-radius, radius)
-    down = Window.partitionBy("x").orderBy("y").rangeBetween(-radius, radius)
-    rows = pixels.select("x", "y", *(F.sum(c).over(across).alias(c) for c in channels), F.count("*").over(across).alias("n"))
-    return rows.select("x", "y", *(F.floor(F.sum(c).over(down) / F.sum("n").over(down)).cast("int").alias(c) for c in channels))
+    keys = frame_keys(pixels)
+    across = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-radius, radius)
+    down = Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(-radius, radius)
+    rows = pixels.select(*keys, "x", "y", *(F.sum(c).over(across).alias(c) for c in channels), F.count("*").over(across).alias("n"))
+    return rows.select(*keys, "x", "y", *(F.floor(F.sum(c).over(down) / F.sum("n").over(down)).cast("int").alias(c) for c in channels))
 
 
 def box_separable(pixels: DataFrame, radius: int, width: int, height: int, channels: tuple[str, ...] = ("b", "g", "r")) -> DataFrame:
     """Integer mean across, then down, edges repeated outward."""
+    keys = frame_keys(pixels)
 
     def one(df: DataFrame, axis: str, other: str, size: int) -> DataFrame:
         lead = F.when(F.col(axis) == 0, F.sequence(F.lit(-radius), F.lit(0))).when(F.col(axis) == size - 1, F.sequence(F.lit(size - 1), F.lit(size - 1 + radius)))
         grown = df.withColumn(axis, F.explode(F.coalesce(lead, F.array(axis))))
-        w = Window.partitionBy(other).orderBy(axis).rangeBetween(-radius, radius)
-        return grown.select("x", "y", *(F.floor(F.sum(c).over(w) / (2 * radius + 1)).cast("int").alias(c) for c in channels)).where(F.col(axis).between(0, size - 1))
+        w = Window.partitionBy(*keys, other).orderBy(axis).rangeBetween(-radius, radius)
+        return grown.select(*keys, "x", "y", *(F.floor(F.sum(c).over(w) / (2 * radius + 1)).cast("int").alias(c) for c in channels)).where(F.col(axis).between(0, size - 1))
 
     return one(one(pixels, "x", "y", width), "y", "x", height)
 
 
 def masked_blend(pixels: DataFrame, blurred: DataFrame, mask: DataFrame, channels: tuple[str, ...] = ("b", "g", "r")) -> DataFrame:
-    new = blurred.select("x", "y", *(F.col(c).alias(f"new_{c}") for c in channels))
-    all_three = pixels.join(new, ["x", "y"]).join(mask, ["x", "y"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0)))
-    return all_three.select("x", "y", *(blend(F.col(f"new_{c}"), F.col(c), F.col("alpha")).alias(c) for c in channels))
+    keys = frame_keys(pixels)
+    new = blurred.select(*keys, "x", "y", *(F.col(c).alias(f"new_{c}") for c in channels))
+    all_three = pixels.join(new, [*keys, "x", "y"]).join(mask, [*keys, "x", "y"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0)))
+    return all_three.select(*keys, "x", "y", *(blend(F.col(f"new_{c}"), F.col(c), F.col("alpha")).alias(c) for c in channels))
 
 
 def region_stats(pixels: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
     """Counts, skin and edge shares and luma variance of the inclusive box, on a grid of its own step."""
     step = min(4, max(1, int((((x1 - x0 + 1) * (y1 - y0 + 1)) / 20) ** 0.5)))
+    keys = frame_keys(pixels)
     b, g, r = (F.col(c) for c in "bgr")
     grid = pixels.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1) & ((F.col("x") - x0) % step == 0) & ((F.col("y") - y0) % step == 0))
-    points = grid.select("x", "y", luma(b, g, r).alias("luma"), skin(b, g, r).cast("int").alias("skin"))
-    right, below = F.lead("luma").over(Window.partitionBy("y").orderBy("x")), F.lead("luma").over(Window.partitionBy("x").orderBy("y"))
+    points = grid.select(*keys, "x", "y", luma(b, g, r).alias("luma"), skin(b, g, r).cast("int").alias("skin"))
+    right, below = F.lead("luma").over(Window.partitionBy(*keys, "y").orderBy("x")), F.lead("luma").over(Window.partitionBy(*keys, "x").orderBy("y"))
     edges = points.withColumn("right", right).withColumn("below", below)
     edge = lambda c: (F.abs(F.col("luma") - F.col(c)) > 20).cast("int")
-    sums = edges.agg(
+    sums = edges.groupBy(*keys).agg(
         F.count("*").alias("samples"), F.sum("skin").alias("skin"), F.var_samp("luma").alias("variance"),
         (F.coalesce(F.sum(edge("right")), F.lit(0)) + F.coalesce(F.sum(edge("below")), F.lit(0))).alias("edges"),
         (F.count("right") + F.count("below")).alias("edge_samples"),
     )
     passed = (F.col("samples") >= 20) & (F.col("skin") / F.col("samples") >= 0.015) & (F.col("edges") / F.greatest(F.lit(1), "edge_samples") >= 0.02) & (F.col("variance") >= 200)
-    return sums.select("samples", "skin", "edges", "edge_samples", F.round("variance", 6).alias("variance"), F.coalesce(passed, F.lit(False)).alias("passed"))
+    return sums.select(*keys, "samples", "skin", "edges", "edge_samples", F.round("variance", 6).alias("variance"), F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def downscale_nearest(pixels: DataFrame, ratio: float, width: int, height: int) -> DataFrame:
@@ -100,12 +104,13 @@ def downscale_nearest(pixels: DataFrame, ratio: float, width: int, height: int)
     wide, high = (max(1, round(n * ratio)) for n in (width, height))
     at = pixels.sparkSession.range(wide * high).select((F.col("id") % wide).cast("int").alias("tx"), F.floor(F.col("id") / wide).cast("int").alias("ty"))
     source = at.select("tx", "ty", F.least((F.col("tx") * (1 / ratio)).cast("int"), F.lit(width - 1)).alias("x"), F.least((F.col("ty") * (1 / ratio)).cast("int"), F.lit(height - 1)).alias("y"))
-    return source.join(pixels, ["x", "y"]).select(F.col("tx").alias("x"), F.col("ty").alias("y"), "b", "g", "r")
+    return source.join(pixels, ["x", "y"]).select(*frame_keys(pixels), F.col("tx").alias("x"), F.col("ty").alias("y"), "b", "g", "r")
 
 
 def mask_decay(masks: DataFrame) -> DataFrame:
     """``smooth`` = max(alpha, 3/4 of the value before), pixel by pixel in order of ``seq`` (columns ``x, y, seq, alpha``)."""
-    rows = masks.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("seq", "alpha"))).alias("rows"))
+    keys = frame_keys(masks)
+    rows = masks.groupBy(*keys, "x", "y").agg(F.sort_array(F.collect_list(F.struct("seq", "alpha"))).alias("rows"))
 
     def step(acc: Column, r: Column) -> Column:
         before = F.coalesce(F.try_element_at(acc, F.lit(-1))["smooth"], F.lit(0))
@@ -114,7 +119,7 @@ def mask_decay(masks: DataFrame) -> DataFrame:
 
     seq_type = dict(masks.dtypes)["seq"]
     folded = F.aggregate("rows", F.array().cast(f"array<struct<seq:{seq_type},smooth:int>>"), step)
-    return rows.select("x", "y", F.explode(folded).alias("f")).select("x", "y", "f.seq", "f.smooth")
+    return rows.select(*keys, "x", "y", F.explode(folded).alias("f")).select(*keys, "x", "y", "f.seq", "f.smooth")
 
 
 def stamps(strokes: DataFrame) -> DataFrame:
