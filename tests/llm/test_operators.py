@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilgrid.llm import bpe, jpeg_media, langid, line_dedup, mixing, ngram_join, quality, secrets, topk, toxicity
+from veilgrid.llm import bpe, jpeg_media, langid, line_dedup, mixing, ngram_join, quality, secrets, shingles, topk, toxicity
 from veilgrid.llm.components import components
 from veilgrid.llm.queries import tokenizer_path
 
@@ -123,10 +123,78 @@ def test_long_lists_lose_no_link(spark):
     assert [got[k] for k in range(90)] == list(want)
 
 
-def test_tiles_see_every_open_pair():
-    rows = np.array([(1, 0, 0, 0, s, node, 100, pos, comp) for s in (0, 1) for node, pos, comp in ((7, 0, 7), (8, 3, 7), (9, 2, 9), (4, 90, 4))])
-    pairs = ngram_join.tile_pairs(rows[:, :4], *(rows[:, k] for k in range(4, 9)), 85, 100)
-    assert pairs.tolist() == [[7, 9], [8, 9]]
+def near_copies(count, seed, words=60, kinds=12):
+    """Copies of one text with none to three words changed, so that many of them nearly link."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{k}" for k in range(words)]
+    out = []
+    for k in range(count):
+        text = list(base)
+        for at in rng.integers(0, words, int(rng.integers(0, 4))):
+            text[at] = f"z{rng.integers(0, kinds)}"
+        out.append(" ".join(text) + f" t{k % 7}" * (k % 3))
+    return out
+
+
+def connected(count, pairs):
+    label = np.arange(count)
+    for i, j in pairs:
+        label[label == label[i]] = label[j]
+    return label
+
+
+@pytest.mark.parametrize("halves", [False, True])
+def test_a_tile_joins_what_links(halves):
+    texts = near_copies(150, 3) + [" ".join(f"o{k}x{i}" for i in range(5 + 3 * k)) for k in range(40)]
+    held = shingles.sets_of(texts, 4)
+    n, side = np.array([len(x) for x in held]), np.arange(len(held)) % 2 * int(halves)
+    wanted = [(i, j) for i in range(len(held)) for j in range(i) if (side[i] != side[j] or not halves) and ngram_join.linked(held[i], held[j], 85, 100)]
+    for each in (1, 8):
+        bits = [ngram_join.bitmap(x, each) for x in held]
+        loose = ngram_join.joined_pairs(n, 0 * n, side, bits, 85, 100)
+        exact = ngram_join.joined_pairs(n, 0 * n, side, bits, 85, 100, lambda i, j: ngram_join.linked(held[i], held[j], 85, 100))
+        assert len(loose) < len(held) and len(exact) < len(held)
+        one, two, three = (connected(len(held), pairs) for pairs in (wanted, exact, loose))
+        assert all((one[i] == one[j]) == (two[i] == two[j]) for i in range(len(held)) for j in range(i))
+        assert all(three[i] == three[j] for i, j in wanted)
+
+
+def test_a_tile_joins_sets_whose_bitmaps_differ_in_width():
+    held = [np.sort(np.random.default_rng(1).integers(0, 1 << 63, 129).astype(np.uint64))]
+    held.append(held[0][:127])
+    bits = [ngram_join.bitmap(x) for x in held]
+    assert len(bits[0]) == 2 * len(bits[1])
+    assert ngram_join.joined_pairs(np.array([129, 127]), np.array([0, 0]), np.array([0, 0]), bits, 85, 100) == [(1, 0)]
+
+
+def test_large_lists_and_families_are_cut_into_tiles(spark, monkeypatch):
+    """Tiles of eight rows: near copies, near misses, and one passage in many strangers of several sizes."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"p{k}" for k in range(50))
+    made = near_copies(120, 5) + [f"{passage} " + " ".join(f"s{k}x{i}" for i in range(int(rng.integers(2, 60)))) for k in range(80)]
+    made += made[:9]
+    table = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar(table, words=4, num=85, den=100).collect()}
+    want = roots(sets_of(made, 4), 85, 100)
+    assert 20 < len(set(want)) < 150
+    assert [got[k] for k in range(len(made))] == list(want)
+
+
+def test_sets_that_agree_in_64_bits_stay_apart(spark):
+    rows = spark.createDataFrame([(1, 5, 7), (2, 5, 9), (3, 6, 7)], "id int, node bigint, check bigint")
+    twins = spark.createDataFrame([(5, 7)], "of_node bigint, kept bigint")
+    got = {r["id"]: r["node"] for r in ngram_join.apart(rows, twins).collect()}
+    assert got[1] == 5 and got[3] == 6 and got[2] not in (5, 6)
+
+
+def test_shingles_of_long_texts_and_words():
+    long = "ab \t\nCd " * 50000 + "x" * 400000 + "\x0b tail" + " Q w" * 5
+    texts = [long, long.lower(), None, "", " \n", "A b", "a\x0cB", "one two three four five", "naïve Ünder ünder x y"]
+    got = shingles.sets_of(texts, 4)
+    assert [len(x) for x in got] == [len(x) for x in sets_of(texts, 4)]
+    assert (got[0] == got[1]).all() and (got[5] == got[6]).all()
+    assert (shingles.sets_of([texts[7]], 4)[0] == got[7]).all()
 
 
 def test_components_on_a_path(spark):
