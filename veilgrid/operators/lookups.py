@@ -26,7 +26,7 @@ def nearest_step(frames: DataFrame, keys: DataFrame, step: int) -> DataFrame:
         keys.select("video_id", F.col("k").alias("p"), F.lit(None).cast("bigint").alias("frame_index"), F.lit(None).cast("bigint").alias("exact"), "k")
     )
     up = Window.partitionBy("video_id").orderBy("p").rangeBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("video_id").orderBy("p").rangeBetween(0, Window.unboundedFollowing)
+    down = Window.partitionBy("video_id").orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, 0)
     near = both.withColumn("below", F.max("k").over(up)).withColumn("above", F.min("k").over(down)).where("frame_index is not null")
     closest = F.when(F.col("above").isNull() | (F.col("frame_index") - F.col("below") <= F.col("above") - F.col("frame_index")), F.col("below")).otherwise(F.col("above"))
     return near.select("video_id", "frame_index", F.coalesce("exact", closest).alias("k"))
@@ -35,7 +35,8 @@ def nearest_step(frames: DataFrame, keys: DataFrame, step: int) -> DataFrame:
 def circular_neighbours(frames: DataFrame, marks: DataFrame) -> DataFrame:
     """For each frame the next and the previous marked frame, going round at the ends."""
     both = frames.select("video_id", "frame_index", F.lit(None).cast("bigint").alias("mark")).unionByName(marks.select("video_id", "frame_index", F.col("frame_index").alias("mark")))
-    w = Window.partitionBy("video_id").orderBy("frame_index")
+    ahead = Window.partitionBy("video_id").orderBy(F.desc("frame_index")).rangeBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("video_id").orderBy("frame_index").rangeBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("video_id")
-    out = both.select("video_id", "frame_index", "mark", F.coalesce(F.min("mark").over(w.rangeBetween(1, Window.unboundedFollowing)), F.min("mark").over(every)).alias("next_mark"), F.coalesce(F.max("mark").over(w.rangeBetween(Window.unboundedPreceding, -1)), F.max("mark").over(every)).alias("prev_mark"))
+    out = both.select("video_id", "frame_index", "mark", F.coalesce(F.min("mark").over(ahead), F.min("mark").over(every)).alias("next_mark"), F.coalesce(F.max("mark").over(behind), F.max("mark").over(every)).alias("prev_mark"))
     return out.where("mark is null").drop("mark")

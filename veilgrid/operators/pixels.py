@@ -107,19 +107,22 @@ def downscale_nearest(pixels: DataFrame, ratio: float, width: int, height: int)
     return source.join(pixels, ["x", "y"]).select(*frame_keys(pixels), F.col("tx").alias("x"), F.col("ty").alias("y"), "b", "g", "r")
 
 
-def mask_decay(masks: DataFrame) -> DataFrame:
-    """``smooth`` = max(alpha, 3/4 of the value before), pixel by pixel in order of ``seq`` (columns ``x, y, seq, alpha``)."""
-    keys = frame_keys(masks)
-    rows = masks.groupBy(*keys, "x", "y").agg(F.sort_array(F.collect_list(F.struct("seq", "alpha"))).alias("rows"))
+#: Three quarters of 255, again and again, come to nothing after so many steps.
+DECAY_STEPS = 18
+
 
-    def step(acc: Column, r: Column) -> Column:
-        before = F.coalesce(F.try_element_at(acc, F.lit(-1))["smooth"], F.lit(0))
-        value = F.greatest(r["alpha"], F.floor(before * 3 / 4).cast("int"))
-        return F.concat(acc, F.array(F.struct(r["seq"].alias("seq"), value.alias("smooth"))))
+def mask_decay(masks: DataFrame) -> DataFrame:
+    """``smooth`` = max(alpha, 3/4 of the value before), pixel by pixel in order of ``seq`` (columns ``x, y, seq, alpha``).
 
-    seq_type = dict(masks.dtypes)["seq"]
-    folded = F.aggregate("rows", F.array().cast(f"array<struct<seq:{seq_type},smooth:int>>"), step)
-    return rows.select(*keys, "x", "y", F.explode(folded).alias("f")).select(*keys, "x", "y", "f.seq", "f.smooth")
+    An alpha has no effect after DECAY_STEPS further rows, so a window of that many holds all that counts.
+    """
+    keys = frame_keys(masks)
+    w = Window.partitionBy(*keys, "x", "y").orderBy("seq")
+    smooth = F.lit(0)
+    for back in range(DECAY_STEPS, -1, -1):
+        alpha = F.coalesce(F.lag("alpha", back).over(w), F.lit(0)) if back else F.col("alpha")
+        smooth = F.greatest(alpha, F.floor(smooth * 3 / 4).cast("int"))
+    return masks.select(*keys, "x", "y", "seq", smooth.alias("smooth"))
 
 
 def stamps(strokes: DataFrame) -> DataFrame:

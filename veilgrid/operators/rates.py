@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,12 +16,17 @@ def rising(samples: DataFrame) -> DataFrame:
 
 
 def sliding_eta(samples: DataFrame, total: int, window_ms: int = 10_000) -> DataFrame:
-    """Remaining milliseconds at the rate over the last ten seconds; null with one sample."""
+    """Remaining milliseconds at the rate over the last ten seconds; null with one sample.
+
+    Samples without progress are ignored; those of a finished job have no estimate either.
+    """
+    finished = samples.where(F.col("progress") >= total).select("job_id", "seq", F.lit(None).cast("bigint").alias("eta_ms"))
+    samples = samples.where((F.col("progress") > 0) & (F.col("progress") < total))
     w = Window.partitionBy("job_id").orderBy("t_ms").rangeBetween(-window_ms, 0)
     seen = rising(samples).select("job_id", "seq", "t_ms", "progress", F.first("t_ms").over(w).alias("t0"), F.first("progress").over(w).alias("p0"))
     rate = (F.col("progress") - F.col("p0")) / F.when(F.col("t_ms") > F.col("t0"), F.col("t_ms") - F.col("t0"))
     left = F.greatest(F.lit(0), F.lit(total) - F.col("progress"))
-    return seen.select("job_id", "seq", F.floor(left / F.when(rate > 0, rate)).alias("eta_ms"))
+    return seen.select("job_id", "seq", F.floor(left / F.when(rate > 0, rate)).alias("eta_ms")).unionByName(finished)
 
 
 def debounce(events: DataFrame, wait_ms: int) -> DataFrame:
@@ -27,20 +35,30 @@ def debounce(events: DataFrame, wait_ms: int) -> DataFrame:
     return events.withColumn("after", after).where(F.col("after").isNull() | (F.col("after") - F.col("t_ms") >= wait_ms)).drop("after")
 
 
+def _taken(least_ms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            job, burst, t = (batch.column(k).to_pylist() for k in range(3))
+            keep = []
+            for now, at in zip(zip(job, burst), t):  # noqa: B905
+                keep.append(now != key or at - last >= least_ms)
+                if keep[-1]:
+                    key, last = now, at
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(0), batch.column(2), batch.column(3))], names=["job_id", "t_ms", "seq"])
+
+    return run
+
+
 def throttle(events: DataFrame, least_ms: int) -> DataFrame:
     """Events taken greedily, ``least_ms`` or more after the one taken before.
 
     A gap of that length always takes the next event, so each job falls into bursts that
-    are folded on their own.
+    are passed over on their own, in order; only the time of the last event taken is carried.
     """
-    w = Window.partitionBy("job_id").orderBy("t_ms")
+    w = Window.partitionBy("job_id").orderBy("t_ms", "seq")
     fresh = F.coalesce((F.col("t_ms") - F.lag("t_ms").over(w) >= least_ms).cast("int"), F.lit(1))
-    bursts = events.withColumn("fresh", fresh).withColumn("burst", F.sum("fresh").over(w))
-    rows = bursts.groupBy("job_id", "burst").agg(F.sort_array(F.collect_list(F.struct("t_ms", "seq"))).alias("rows"))
-
-    def step(kept: Column, r: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))["t_ms"]
-        return F.when(last.isNull() | (r["t_ms"] - last >= least_ms), F.concat(kept, F.array(r))).otherwise(kept)
-
-    kept = F.aggregate("rows", F.array().cast(bursts.select(F.array(F.struct("t_ms", "seq")).alias("a")).schema["a"].dataType), step)
-    return rows.select("job_id", F.explode(kept).alias("k")).select("job_id", "k.t_ms", "k.seq")
+    bursts = events.withColumn("fresh", fresh).withColumn("burst", F.sum("fresh").over(w)).select("job_id", "burst", "t_ms", "seq")
+    kind = dict(bursts.dtypes)
+    rows = bursts.repartition("job_id", "burst").sortWithinPartitions("job_id", "burst", "t_ms", "seq")
+    return rows.mapInArrow(_taken(least_ms), ", ".join(f"{c} {kind[c]}" for c in ("job_id", "t_ms", "seq")))

@@ -6,6 +6,9 @@ of struct<face_idx,x,y,w,h,conf>; frames with a stored mask hold no faces.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -31,71 +34,98 @@ def frames(spine: DataFrame, detections: DataFrame) -> DataFrame:
 
 
 def gap_fill(frames: DataFrame) -> DataFrame:
-    """Single empty frames between two with faces take the faces before them (``filled``)."""
+    """Single empty frames between two with faces take the faces before them (``filled``); other columns pass through."""
     before, after = F.lag("faces").over(by_frame()), F.lead("faces").over(by_frame())
     empty = ~F.col("stored") & (F.size("faces") == 0) & (F.size(F.coalesce(before, F.array())) > 0) & (F.size(F.coalesce(after, F.array())) > 0)
-    return frames.select("video_id", "frame_index", "stored", F.when(empty, before).otherwise(F.col("faces")).alias("faces"), empty.alias("filled"))
+    return frames.withColumn("filled", empty).withColumn("faces", F.when(F.col("filled"), before).otherwise(F.col("faces")))
+
+
+def _overlaps(others: str) -> Column:
+    """For each face its overlap with each of ``others``; negative where area or shift speak against a continuation."""
 
+    def one(face: Column, other: Column) -> Column:
+        ratio = floored_area(face) / floored_area(other)
+        near = centre_distance(face, other) / F.greatest(F.lit(1.0), other["w"], other["h"]) <= MOST_SHIFT
+        return iou(face, other) * F.when((ratio <= MOST_AREA) & (ratio >= 1 / MOST_AREA) & near, 1.0).otherwise(-1.0)
 
-def best_match(face: Column, others: Column) -> Column:
-    """struct<iou, r> of the first face of largest overlap; iou 0 without one."""
-    start = F.struct(F.lit(0.0).alias("iou"), F.lit(None).cast(FACE).alias("r"))
+    return F.transform("faces", lambda f: F.transform(F.coalesce(others, F.array().cast(f"array<{FACE}>")), lambda o: one(f, o)))
 
-    def step(best: Column, other: Column) -> Column:
-        found = iou(face, other)
-        return F.when(found > best["iou"], F.struct(found.alias("iou"), other.alias("r"))).otherwise(best)
 
-    return F.aggregate(F.coalesce(others, F.array().cast(f"array<{FACE}>")), start, step)
+def best_overlap(overlaps: list[float], survived: list[bool] | None = None) -> float:
+    """The first of largest size among those that survived; 0 without one."""
+    best = 0.0
+    for k, x in enumerate(overlaps):
+        if abs(x) > abs(best) and (survived is None or survived[k]):
+            best = x
+    return best
 
 
-def _continues(face: Column, before: Column, after: Column) -> Column:
-    a, b = best_match(face, before), best_match(face, after)
-    top = F.when(a["iou"] >= b["iou"], a).otherwise(b)
-    m = top["r"]
-    ratio = floored_area(face) / floored_area(m)
-    near = centre_distance(face, m) / F.greatest(F.lit(1.0), m["w"], m["h"]) <= MOST_SHIFT
-    return (top["iou"] >= LEAST_IOU) & (ratio <= MOST_AREA) & (ratio >= 1 / MOST_AREA) & near
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which faces of each frame stay; frames come segment by segment, in order, and only the frame before is kept."""
+    key, last = None, None
+    for batch in batches:
+        out = []
+        for *now, ranks, before, after in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            kept = []
+            for rank, b, a in zip(ranks, before, after, strict=True):
+                if rank == 1:
+                    own, ahead = best_overlap(b, last if now == key else None), best_overlap(a)
+                    kept.append((own if abs(own) >= abs(ahead) else ahead) >= LEAST_IOU)
+                else:
+                    kept.append(rank == 2)
+            key, last = now, kept
+            out.append(kept)
+        columns = [*(batch.column(k) for k in (0, 5, 6, 7)), pa.array(out, pa.list_(pa.bool_()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["video_id", "frame_index", "row", "faces", "kept"])
 
 
 def consistency_filter(frames: DataFrame) -> DataFrame:
-    """Drop weak faces, and middling ones that neither neighbour frame confirms.
+    """Drop weak faces, and middling ones that neither neighbour frame confirms; frames marked ``exempt`` keep theirs.
 
     A frame's outcome depends on the frame before it only through faces of middling
-    confidence, so a video falls into short segments that are folded independently.
+    confidence, so a video falls into short segments. What two faces are to each other is
+    computed beforehand; the pass over a segment only carries which faces of the frame before survived.
     """
-    middling = F.exists("faces", lambda f: (f["conf"] >= f32(WEAK)) & (f["conf"] < f32(STRONG)))
-    first = ~middling | (F.size(F.coalesce(F.lag("faces").over(by_frame()), F.array())) == 0)
-    marked = frames.select("video_id", "frame_index", "stored", "faces", F.lead("faces").over(by_frame()).alias("after"), F.lag("faces").over(by_frame()).alias("prior"), first.cast("int").alias("first"))
-    cut = marked.withColumn("segment", F.sum("first").over(by_frame()))
-    row = F.struct("frame_index", "stored", "faces", "after")
-    segments = cut.groupBy("video_id", "segment").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    none = F.array().cast(f"array<{FACE}>")
-
-    def step(kept: Column, r: Column) -> Column:
-        before = F.coalesce(F.try_element_at(kept, F.lit(-1)), none)
-        passed = F.filter(r["faces"], lambda f: (f["conf"] >= f32(STRONG)) | ((f["conf"] >= f32(WEAK)) & _continues(f, before, r["after"])))
-        return F.concat(kept, F.array(passed))
-
-    folded = F.aggregate("rows", F.array().cast(f"array<array<{FACE}>>"), step)
-    done = segments.select("video_id", F.explode(F.arrays_zip(F.col("rows"), folded.alias("kept"))).alias("z"))
-    return done.select("video_id", F.col("z.rows.frame_index").alias("frame_index"), F.col("z.rows.stored").alias("stored"), F.col("z.kept").alias("faces"))
+    exempt = F.col("exempt") if "exempt" in frames.columns else F.lit(False)
+    rank = lambda f: F.when(exempt | (f["conf"] >= f32(STRONG)), 2).when(f["conf"] >= f32(WEAK), 1).otherwise(0)
+    others = [c for c in frames.columns if c not in ("video_id", "frame_index", "faces")]
+    seen = frames.withColumn("ranks", F.transform("faces", rank)).withColumn("before", F.lag("faces").over(by_frame())).withColumn("after", F.lead("faces").over(by_frame()))
+    first = ~F.array_contains("ranks", 1) | (F.size(F.coalesce("before", F.array())) == 0)
+    cut = seen.withColumn("segment", F.sum(first.cast("int")).over(by_frame()))
+    rows = cut.select("video_id", "segment", "ranks", _overlaps("before").alias("before"), _overlaps("after").alias("after"), "frame_index", F.struct(*others).alias("row"), "faces")
+    kind = rows.schema
+    schema = f"video_id {kind['video_id'].dataType.simpleString()}, frame_index {kind['frame_index'].dataType.simpleString()}, row {kind['row'].dataType.simpleString()}, faces array<{FACE}>, kept array<boolean>"
+    done = rows.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_index").mapInArrow(_survivors, schema)
+    return done.select("video_id", "frame_index", *(F.col(f"row.{c}").alias(c) for c in others), F.filter("faces", lambda _, k: F.get("kept", k)).alias("faces"))
 
 
 def run_filter(frames: DataFrame, least: int = 2) -> DataFrame:
-    """Runs of frames with faces shorter than ``least`` lose them."""
+    """Runs of frames with faces shorter than ``least`` lose them; frames marked ``exempt`` keep theirs."""
     has = F.size("faces") > 0
     order = F.row_number().over(Window.partitionBy("video_id", "has").orderBy("frame_index"))
     island = frames.withColumn("has", has).withColumn("island", F.col("frame_index") - order)
     length = F.count("*").over(Window.partitionBy("video_id", "has", "island"))
-    kept = F.when(F.col("has") & (length < least), F.array().cast(f"array<{FACE}>")).otherwise(F.col("faces"))
-    return island.select("video_id", "frame_index", "stored", kept.alias("faces"))
+    short = F.col("has") & (length < least)
+    if "exempt" in frames.columns:
+        short &= ~F.col("exempt")
+    return island.withColumn("faces", F.when(short, F.array().cast(f"array<{FACE}>")).otherwise(F.col("faces"))).select(*frames.columns)
+
+
+def temporal_fix(frames: DataFrame, every: int = 1, tracking: bool = True) -> DataFrame:
+    """Gap filling, consistency and run filters, for videos of three frames or more; shorter ones stay as they are.
+
+    Frames detected only each ``every`` frames without ``tracking`` stay as they are too.
+    """
+    if every > 1 and not tracking:
+        return frames
+    total = F.count("*").over(Window.partitionBy("video_id"))
+    fixed = run_filter(consistency_filter(gap_fill(frames.withColumn("exempt", total < LEAST_FRAMES))))
+    return fixed.select(*frames.columns)
 
 
-def temporal_fix(frames: DataFrame) -> DataFrame:
-    """Gap filling, consistency and run filters, for videos of three frames or more; shorter ones stay as they are."""
-    short = frames.groupBy("video_id").agg(F.count("*").alias("total")).where(F.col("total") < LEAST_FRAMES)
-    fixed = run_filter(consistency_filter(gap_fill(frames.join(short, "video_id", "left_anti"))))
-    return fixed.unionByName(frames.join(short, "video_id", "left_semi").select(*fixed.columns))
+def write_back(frames: DataFrame) -> DataFrame:
+    """The face data that is stored after the repair: frames with faces, with their least confidence; others are deleted."""
+    return frames.where(~F.col("stored") & (F.size("faces") > 0)).withColumn("min_conf", F.array_min(F.transform("faces", lambda f: f["conf"])))
 
 
 def explode_faces(frames: DataFrame) -> DataFrame:

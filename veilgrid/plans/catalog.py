@@ -168,18 +168,24 @@ def run_filter(spark, d):
 sql("run_filter", """select video_id, frame_index, face_idx, conf from plain join (select video_id, frame_index, count(*) over (partition by video_id, i) c from
     (select *, frame_index - row_number() over (partition by video_id order by frame_index) i from has where n>0)) using(video_id, frame_index) where c >= 2""", *FRAMES)
 
-_ISSUES = """issues as (select video_id, frame_index, 'noface' issue from around where n=0 union all select video_id, frame_index, 'lowconf' from around where n>0 and least < cast(0.5 as float)+cast(0.05 as float)
-    union all select video_id, frame_index, 'flicker' from around where n=0 and pn>0 and nn>0)"""
+#: Frames after the repair, and what is wrong with them.
+_REPAIRED = """, fixed as (select s.video_id, s.frame_index, count(f.conf) n, min(f.conf) least from spine s left join (select k.video_id, k.frame_index, k.f.conf conf from kept k join long_runs r on r.video_id=k.video_id and r.frame_index=k.frame_index where r.c>=2) f
+    on f.video_id=s.video_id and f.frame_index=s.frame_index group by all), beside as (select *, lag(n) over w pn, lead(n) over w nn from fixed window w as (partition by video_id order by frame_index)),
+    issues as (select video_id, frame_index, 'noface' issue from beside where n=0 union all select video_id, frame_index, 'lowconf' from beside where n>0 and least < cast(0.5 as float)+cast(0.05 as float)
+    union all select video_id, frame_index, 'flicker' from beside where n=0 and pn>0 and nn>0)"""
 
 
-@query
-def issues(spark, d):
-    return temporal.issues(all_frames(spark, d))
+def fixed_frames(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.temporal_fix(all_frames(spark, d))
 
 
 def issue_sql(name: str, body: str) -> None:
-    sql(name, body, *FRAMES)
-    ORACLES[name] = ORACLES[name].replace(f") {body}", f"), {_ISSUES} {body}")
+    sql(name, body, *_ALL, recursive=_FOLD + _FIXED + _REPAIRED)
+
+
+@query
+def issues(spark, d):
+    return temporal.issues(fixed_frames(spark, d))
 
 
 issue_sql("issues", "select * from issues")
@@ -187,7 +193,7 @@ issue_sql("issues", "select * from issues")
 
 @query
 def issue_counts(spark, d):
-    return temporal.issues(all_frames(spark, d)).groupBy("video_id", "issue").agg(F.count("*").alias("frames"))
+    return temporal.issues(fixed_frames(spark, d)).groupBy("video_id", "issue").agg(F.count("*").alias("frames"))
 
 
 issue_sql("issue_counts", "select video_id, issue, count(*) frames from issues group by all")
@@ -195,15 +201,15 @@ issue_sql("issue_counts", "select video_id, issue, count(*) frames from issues g
 
 @query
 def anomaly_union(spark, d):
-    return temporal.issues(all_frames(spark, d)).select("video_id", "frame_index").distinct()
+    return temporal.issues(fixed_frames(spark, d)).select("video_id", "frame_index").distinct().orderBy("video_id", "frame_index")
 
 
-issue_sql("anomaly_union", "select distinct video_id, frame_index from issues")
+issue_sql("anomaly_union", "select distinct video_id, frame_index from issues order by all")
 
 
 @query
 def anomaly_report(spark, d):
-    found = temporal.issues(all_frames(spark, d)).join(tables.video_meta(spark, d).select("video_id", "fps"), "video_id")
+    found = temporal.issues(fixed_frames(spark, d)).join(tables.video_meta(spark, d).select("video_id", "fps"), "video_id")
     return found.select("video_id", "frame_index", "issue", G.frame_time_text(F.col("frame_index"), F.col("fps")).alias("time_text"))
 
 
@@ -223,8 +229,7 @@ sql("frame_time_text", f"""select video_id, frame_index, {_TIME} time_text, case
 
 @query
 def next_prev_anomaly(spark, d):
-    f = all_frames(spark, d)
-    return lookups.circular_neighbours(f, temporal.issues(f).select("video_id", "frame_index").distinct())
+    return lookups.circular_neighbours(tables.frame_spine(spark, d), temporal.issues(fixed_frames(spark, d)).select("video_id", "frame_index").distinct())
 
 
 issue_sql("next_prev_anomaly", """select s.video_id, s.frame_index, coalesce(min(m.frame_index) filter (m.frame_index > s.frame_index), min(m.frame_index)) next_mark,
@@ -298,7 +303,8 @@ def radius_map(spark, d):
 pixel_sql("radius_map", """select p.x, p.y, max(cast(greatest(1, least(24, round_even(24*case when w*h*100.0/10800<=1 then 0.4 when w*h*100.0/10800<=3 then 0.55 when w*h*100.0/10800<=5 then 0.7 else 1.0 end::double,0))) as int)) radius
     from pattern p join squares s on p.x >= floor(greatest(0,s.x-greatest(6,w*0.15))) and p.x < ceil(least(120,s.x+w+greatest(6,w*0.15))) and p.y >= floor(greatest(0,s.y-greatest(6,h*0.25))) and p.y < ceil(least(90,s.y+h+greatest(6,h*0.25))) group by p.x, p.y""")
 
-_BOX = ", box as (select a.x, a.y, cast(sum(b.b)//count(*) as int) b, cast(sum(b.g)//count(*) as int) g, cast(sum(b.r)//count(*) as int) r from pattern a join pattern b on b.x between a.x-6 and a.x+6 and b.y between a.y-6 and a.y+6 group by a.x, a.y)"
+_BOX = """, lines as (select x, y, sum(b) over w b, sum(g) over w g, sum(r) over w r, count(*) over w n from pattern window w as (partition by y order by x range between 6 preceding and 6 following)),
+    box as (select x, y, cast(sum(b) over v//sum(n) over v as int) b, cast(sum(g) over v//sum(n) over v as int) g, cast(sum(r) over v//sum(n) over v as int) r from lines window v as (partition by x order by y range between 6 preceding and 6 following))"""
 
 
 @query
@@ -463,7 +469,7 @@ def eta_sliding(spark, d):
 
 
 sql("eta_sliding", """select job_id, seq, cast(floor(greatest(0,100000-progress)/nullif(greatest(0,(progress-p0)/nullif(t_ms-t0,0)),0)) as bigint) eta_ms from (select *, first(t_ms) over w t0, first(progress) over w p0 from
-    (select * from (select *, max(progress) over (partition by job_id order by t_ms rows between unbounded preceding and 1 preceding) m from samples) where m is null or progress>m) window w as (partition by job_id order by t_ms range between 10000 preceding and current row))""", "samples")
+    (select * from (select *, max(progress) over (partition by job_id order by t_ms rows between unbounded preceding and 1 preceding) m from samples where progress>0) where m is null or progress>m) window w as (partition by job_id order by t_ms range between 10000 preceding and current row))""", "samples")
 
 
 @query
