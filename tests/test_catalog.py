@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from veilgrid.plans.catalog import ORACLES, QUERIES
+from veilgrid.plans.editing import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,6 +38,11 @@ def test_known_counts(spark):
     assert QUERIES["temporal_filter"](spark, SF).count() == 888
 
 
+def test_known_counts_after_the_repair(spark):
+    got = {r["issue"]: r["count"] for r in QUERIES["issues"](spark, SF).groupBy("issue").count().collect()}
+    assert got == {"noface": 283, "flicker": 36, "lowconf": 69}
+
+
 def test_issue_classes(spark):
     found = QUERIES["issues"](spark, SF).toPandas()
     sets = {k: set(zip(g.video_id, g.frame_index)) for k, g in found.groupby("issue")}

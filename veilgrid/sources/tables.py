@@ -11,7 +11,8 @@ STATE_SCHEMA = (
     "Recents array<struct<Title:string,Path:string,LastOpened:timestamp>>, "
     "Workspaces array<struct<VideoPath:string,Mode:string,SelectedFrameIndex:int,ViewStartSeconds:double,SecondsPerScreen:double,"
     "LastOpened:timestamp,MaskIndices:array<int>,AutoResumeIndex:int,AutoCompleted:boolean>>, "
-    "AutoSettings struct<DownscaleRatio:double,DownscaleQuality:int,DetectionThreshold:double,ConfidenceThreshold:double,NmsThreshold:double,BlurRadius:int>"
+    "AutoSettings struct<DownscaleRatio:double,DownscaleQuality:int,AutoTrackingEnabled:boolean,AutoDetectEveryNFrames:int,ParallelSessionCount:int,"
+    "AutoUseOrtOptimization:boolean,AutoUseGpu:boolean,OrtThreads:int,AutoExportAfter:boolean,DetectionThreshold:double,ConfidenceThreshold:double,NmsThreshold:double,BlurRadius:int>"
 )
 
 
@@ -83,10 +84,14 @@ def state_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
+#: Fixed value: the first bytes of a PNG file.
+PNG = "89504E470D0A1A0A"
+
+
 def mask_files(spark: SparkSession, path: str) -> DataFrame:
-    """Mask pictures as binary rows; empty files have null content."""
+    """Mask pictures as binary rows; what is no picture has null content, and empty files have no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path)
-    return files.select("path", F.when(F.col("length") > 0, F.col("content")).alias("content"))
+    return files.select("path", F.when(F.hex(F.substring("content", 1, 8)) == PNG, F.col("content")).alias("content"))
 
 
 def videos_only(df: DataFrame, path_col: str) -> DataFrame:
