@@ -290,20 +290,69 @@ def planted(lengths=(20, 26, 32, 40), each=40):
 
 
 def test_random_strings_of_every_encoding_are_unlike_ordinary_ones(spark):
-    rows = planted() + [("ordinary", 0, t) for t in ORDINARY]
-    got = spark.createDataFrame(rows, "encoding string, n int, token string").select("encoding", "n", secrets.ordinary_chance(F.col("token")).alias("p")).toPandas()
-    medians = got.groupby(["encoding", "n"])["p"].median()
-    assert (medians.drop("ordinary") < 2e-4).all(), medians
-    assert (got[got["encoding"] == "ordinary"]["p"] > 1e-3).all(), got[got["encoding"] == "ordinary"]
+    rows = planted((20, 26, 32, 40, 64)) + [("ordinary", 0, t) for t in ORDINARY]
+    got = spark.createDataFrame(rows, "encoding string, n int, token string").select("encoding", "n", secrets.random_chance(F.col("token")).alias("p")).toPandas()
+    random, ordinary = got[got["encoding"] != "ordinary"], got[got["encoding"] == "ordinary"]
+    by = random.groupby(["encoding", "n"])["p"]
+    assert (by.median() > 0.1).all(), by.median()
+    assert (random["p"] < 0.05).mean() < 0.1 and (random["p"] < 0.001).mean() < 0.02
+    assert (ordinary["p"] < 0.002).all(), ordinary
+
+
+PARTS = "get set list user name page value index content request response manager factory service client server config option handler stream buffer table column window render update delete insert create format parse token cache queue event filter group order sort thread worker process memory network socket channel message session account profile setting language document template library package module version release branch merge commit review account billing invoice payment customer product category inventory shipping address country region".split()
+
+
+def identifiers(count, seed=12):
+    """Ordinary identifiers, paths and slugs of 20 characters and more."""
+    rng = np.random.default_rng(seed)
+    styles = [lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), "_".join, "-".join, "/".join, lambda w: "_".join(w).upper(), lambda w: "".join(x.capitalize() for x in w)]
+    out = []
+    while len(out) < count:
+        token = styles[len(out) % 6](list(rng.choice(PARTS, int(rng.integers(3, 6)))))
+        if len(token) >= 20:
+            out.append(token)
+    return out
 
 
 def test_planted_random_strings_get_a_span(spark):
-    texts = [t for name, _, t in planted() if name != "decimal"] + ORDINARY * 40
+    texts = [t for name, _, t in planted((20, 24, 32, 64)) if name != "decimal"] + identifiers(500)
     table = spark.createDataFrame([(k, f"see {t} there") for k, t in enumerate(texts)], "doc_id bigint, text string")
     got = {r["doc_id"]: any(s["kind"] == secrets.KINDS.index("random") for s in r["found"]) for r in secrets.scan(table).collect()}
     for at in range(0, 640, 40):
-        assert sum(got[k] for k in range(at, at + 40)) >= 30, (at, texts[at])
-    assert sum(got[k] for k in range(640, len(texts))) == 0
+        assert sum(got[k] for k in range(at, at + 40)) >= 36, (at, texts[at])
+    false = [texts[k] for k in range(640, len(texts)) if got[k]]
+    assert len(false) <= 5, false
+
+
+def test_ordinary_texts_alone_get_no_span(spark):
+    texts = identifiers(400, 13) + ORDINARY
+    table = spark.createDataFrame([(k, f"see {t} there") for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = [r["doc_id"] for r in secrets.scan(table).collect() if any(s["kind"] == secrets.KINDS.index("random") for s in r["found"])]
+    assert len(got) <= 3, [texts[k] for k in got]
+
+
+def test_thresholds_follow_the_share_of_ordinary_runs():
+    random = {(0, len(secrets.GRID)): 950, (0, 5): 30, (0, 4): 10, (0, 3): 5, (0, 2): 3, (0, 1): 1}
+    assert secrets.thresholds(random, 0.01)[0] == secrets.GRID[0]
+    assert secrets.thresholds(random | {(0, 1): 40}, 0.01)[0] == secrets.GRID[1]
+    assert secrets.thresholds({(1, 1): 9}, 0.01) == [secrets.GRID[-1]] * 4
+
+
+def base_spans(text):
+    """The fixed patterns by Python's own expressions."""
+    out = [(m.start(), m.end(), 0) for m in re.finditer(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 12]
+    out += [(m.start(), m.end(), 1) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), m.end(), 2) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_base_spans_equal_the_expressions(spark):
+    many = " ".join(f"token={k:012d} {k:016x} x" for k in range(700))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, many), (-2, None)], "doc_id bigint, text string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["base"]] for r in secrets.scan(docs).collect()}
+    assert got == {k: base_spans(t) for k, t in texts.items()}
+    assert len(got[-1]) == 1400
 
 
 def test_language_by_compression(spark, empty):
