@@ -236,6 +236,33 @@ def test_line_dedup_equals_brute_force(spark, empty):
     assert line_dedup.delete_later_copies(empty).count() == 0
 
 
+def test_suffix_ranks_follow_the_order_of_the_suffixes(spark):
+    rng = np.random.default_rng(7)
+    seqs = [rng.integers(0, 3, int(n)).tolist() for n in rng.integers(1, 30, 12)]
+    rows = [(k, 0, i, x, 0, [1]) for k, s in enumerate(seqs) for i, x in enumerate(s)]
+    lines = spark.createDataFrame(rows, "id bigint, mark bigint, line int, a bigint, b bigint, lengths array<int>")
+    for size, level in line_dedup.suffix_ranks(lines, 8):
+        parts = {(k, i): tuple(s[i : i + size]) for k, s in enumerate(seqs) for i in range(len(s) - size + 1)}
+        shared = {k: v for k, v in parts.items() if sum(v == w for w in parts.values()) > 1}
+        got = {(r["id"], r["line"]): r["rank"] for r in level.collect()}
+        assert got.keys() == shared.keys()
+        for x in shared:
+            for y in shared:
+                assert (got[x] < got[y]) == (shared[x] < shared[y])
+
+
+def test_line_dedup_of_long_documents_and_a_common_passage(spark):
+    """A passage in every document, a long document twice, and one that repeats within itself."""
+    passage = "\n".join(f"clause {k} of the licence says this" for k in range(12))
+    long = "\n".join(f"line {k} tells a part of it" for k in range(300))
+    texts = [f"own {k} words\n{passage}\nend {k}" for k in range(40)] + [long, f"before\n{long}\nafter", "\n".join(["again and again it goes on"] * 30)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in line_dedup.delete_later_copies(table.union(table.where("doc_id = 5"))).collect()}
+    want = brute_deletions(texts, 50)
+    assert {k: r["deleted_lines"] for k, r in got.items()} == {k: len(x) for k, x in enumerate(want)}
+    assert got[0]["deleted_lines"] == 0 and got[39]["deleted_lines"] == 12 and got[41]["text"] == "before\nafter"
+
+
 def test_line_dedup_keeps_other_columns(docs):
     got = line_dedup.delete_later_copies(docs)
     assert got.columns[: len(docs.columns)] == docs.columns

@@ -1,12 +1,16 @@
-"""Line dedup: maximal repeated runs of lines lose their later copies.
+"""Line dedup: maximal repeated runs of lines lose their later copies, found with a suffix array.
 
-The corpus is one sequence of line ids, document after document. A suffix of it begins at
-every line; suffixes that share a prefix form an interval of the suffix array, and the
-prefix is a run of lines that repeats. Runs are named by prefix doubling: the name of
-2 * k lines is made of the names of its two halves, so a run of any length is named by two
-overlapping runs of a power of two lines. Lines of one document lie in one row, so the
-doubling needs no exchange; the one exchange groups equal names, which yields the
-intervals with their first members.
+The corpus is one sequence of line ids, document after document, and a suffix begins at every
+line. Suffixes are ranked by distributed prefix doubling: ranks by the first line, then by
+pairs of ranks 1, 2, 4, ... lines apart, each round one grouping of pairs, one range sort that
+gives the groups their ranks in order, and one join back. A suffix whose rank nobody
+shares has no repeated run of that length and leaves; what is left, sorted by rank, is the part of the
+suffix array that holds repetitions. Rounds end when all have left or when runs are longer
+than ``min_words`` lines, which is deeper than any run that has to be looked up.
+
+Suffixes with the same first n lines are an interval of the array whose common prefix is n
+lines or longer. It is named by n and the ranks of its two halves of a power of two
+lines, which may overlap. Within an interval the first copy is the one of least place; the others go.
 
 A line goes if it lies in a run of ``min_words`` words or more that also occurs earlier.
 It is enough to look at two runs for each line: the shortest one of that many words that
@@ -26,16 +30,18 @@ overlap themselves; other columns pass through (``kept_lines``, ``deleted_lines`
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import bound_batches, map_rows, materialize
+from veilgrid.llm.common import bound_batches, discard, map_rows, materialize
 
-ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-HALF = np.uint64(32)
+#: Documents that a task remembers, so as not to emit repeated rows again.
+REMEMBERED = 1_000_000
 
 
 def word_lines(text: str) -> tuple[list[str], list[int], list[int]]:
@@ -46,12 +52,6 @@ def word_lines(text: str) -> tuple[list[str], list[int], list[int]]:
     return lines, places, [counts[k] for k in places]
 
 
-def _mix(a: np.ndarray, b: np.ndarray, odd: np.uint64) -> np.ndarray:
-    """A name for each pair of names; the order of the two matters."""
-    out = (a ^ (b * odd + (b >> HALF))) * odd
-    return out ^ out >> HALF
-
-
 def shortest_runs(counts: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last line of each run of ``min_words`` words that is shortest from its begin or to its end."""
     total = np.concatenate([[0], np.cumsum(counts)])
@@ -66,54 +66,96 @@ def shortest_runs(counts: list[int], min_words: int) -> tuple[np.ndarray, np.nda
     return np.divmod(both, max(n, 1))
 
 
-def run_names(lines: list[str], first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit names of the runs, as two signed integers, by prefix doubling."""
-    prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.strip()) for x in lines), np.uint64).reshape(-1, 2)
-    length = last - first + 1
-    out = []
-    for lane in (0, 1):
-        level, size, names = prints[:, lane].copy(), 1, np.zeros(len(first), np.uint64)
-        while True:
-            here = (length >= size) & (length < 2 * size)
-            joined = _mix(level[first[here]], level[last[here] - size + 1], ODD[lane])
-            names[here] = _mix(joined, length[here].astype(np.uint64), ODD[lane])
-            if not (length >= 2 * size).any():
-                break
-            level, size = _mix(level[: len(level) - size], level[size:], ODD[lane]), 2 * size
-        out.append(names.view(np.int64))
-    return out[0], out[1]
-
-
-def _runs(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``a``, ``b`` (the name) and place (``id, mark, first, last``) of all shortest runs."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        rows = []
-        for row, text in enumerate(batch.column(2).to_pylist()):
-            lines, places, counts = word_lines(text or "")
-            first, last = shortest_runs(counts, min_words)
-            if len(first):
-                for column, values in zip(columns, (*run_names([lines[k] for k in places], first, last), first, last), strict=True):
-                    column.append(values)
-            rows.append(np.full(len(first), row))
-        a, b, first, last = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
-        at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-        return {"a": a, "b": b, "id": batch.column(0).take(at), "mark": batch.column(1).take(at), "first": first.astype(np.int32), "last": last.astype(np.int32)}
+def _lines(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """All lines of documents that are long enough: place (``id, mark, line``), id of the line (``a, b``), and the
+    ``lengths`` in lines of the runs to look up that begin there."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = f"id {dict(df.dtypes)[id_col]}, mark bigint, line int, a bigint, b bigint, lengths array<int>"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            rows, places, prints, sizes, values = [], [], [], [], []
+            for row, (key, mark, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if (key, mark) in seen:
+                    continue
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen.add((key, mark))
+                lines, at, counts = word_lines(text or "")
+                first, last = shortest_runs(counts, min_words)
+                if len(first):
+                    rows.append(np.full(len(at), row))
+                    places.append(np.arange(len(at)))
+                    prints.append(b"".join(xxhash.xxh3_128_digest(lines[k].strip()) for k in at))
+                    sizes.append(np.bincount(first, minlength=len(at)))
+                    values.append(last - first + 1)
+            whole = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            at, names = pa.array(whole(rows)), np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
+            lengths = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(whole(sizes))]), pa.int32()), pa.array(whole(values), pa.int32()))
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(whole(places), pa.int32()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), lengths]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     body = F.col(text_col).cast("string")
-    return map_rows(df, [F.col(id_col), F.xxhash64(body), body], run, f"a bigint, b bigint, id {dict(df.dtypes)[id_col]}, mark bigint, first int, last int")
+    return df.select(F.col(id_col), F.xxhash64(body), body).mapInArrow(run, schema)
+
+
+def _ranks(suffixes: DataFrame, keys: list[str]) -> DataFrame:
+    """A rank for each combination of ``keys`` that two suffixes or more share, in the order of the keys."""
+    shared = suffixes.groupBy(*keys).count().where("count > 1").select(*keys)
+    return materialize(shared.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("next", F.monotonically_increasing_id()), "ranks")
+
+
+def suffix_ranks(lines: DataFrame, longest: int) -> list[tuple[int, DataFrame]]:
+    """By prefix doubling, for 1, 2, 4, ... lines up to ``longest``: the suffixes that share so many first lines with
+    another one (``id, mark, line, lengths``) and their ``rank`` in the order of these lines."""
+    place = ["id", "mark", "line"]
+    by_document = Window.partitionBy("id", "mark").orderBy("line")
+    ranks = _ranks(lines, ["a", "b"])
+    alive = materialize(lines.join(ranks, ["a", "b"]).select(*place, "lengths", F.col("next").alias("rank")), "suffixes")
+    discard(ranks)
+    out, size = [(1, alive)], 1
+    while 2 * size <= longest:
+        ahead = F.first("rank").over(by_document.rangeBetween(size, size))
+        pairs = materialize(alive.withColumn("ahead", ahead).where("ahead is not null"), "pairs")
+        ranks = _ranks(pairs, ["rank", "ahead"])
+        if ranks.isEmpty():
+            break
+        alive = materialize(pairs.join(ranks, ["rank", "ahead"]).select(*place, "lengths", F.col("next").alias("rank")), "suffixes")
+        discard(pairs, ranks)
+        size *= 2
+        out.append((size, alive))
+    return out
+
+
+def _runs(size: int, suffixes: DataFrame) -> DataFrame:
+    """The runs of ``size`` to 2 * size - 1 lines that are to be looked up, with the ranks of their halves."""
+    near = F.collect_list(F.struct("line", "rank")).over(Window.partitionBy("id", "mark").orderBy("line").rangeBetween(0, size - 1))
+    lengths = F.filter("lengths", lambda n: (n >= size) & (n < 2 * size))
+    rows = suffixes.withColumn("near", near).withColumn("n", F.explode(lengths))
+    end = F.get(F.filter("near", lambda x: x["line"] == F.col("line") + F.col("n") - size), F.lit(0))
+    last = (F.col("line") + F.col("n") - 1).cast("int")
+    return rows.withColumn("other", end["rank"]).where("other is not null").select("n", "rank", "other", "id", "mark", F.col("line").alias("first"), last.alias("last"))
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """The later copies of repeated runs: ``id, mark, first, last`` (in lines with words), ``leader`` (the first copy's place)."""
     bound_batches(df.sparkSession)
-    runs = materialize(_runs(df, id_col, text_col, min_words), "runs")
-    repeated = runs.groupBy("a", "b").count().where("count > 1").drop("count")
-    copies = materialize(runs.join(repeated, ["a", "b"]), "copies")
+    lines = materialize(_lines(df, id_col, text_col, min_words), "lines")
+    levels = suffix_ranks(lines, min_words)
+    discard(lines)
+    runs = _runs(*levels[0])
+    for level in levels[1:]:
+        runs = runs.unionByName(_runs(*level))
+    interval = ["n", "rank", "other"]
+    runs = materialize(runs, "runs")
+    discard(*(suffixes for _, suffixes in levels))
     place = F.struct("id", "mark", "first")
-    leaders = copies.groupBy("a", "b").agg(F.min(place).alias("leader"))
-    return copies.join(leaders, ["a", "b"]).where(~place.eqNullSafe(F.col("leader"))).select("id", "mark", "first", "last", "leader")
+    leaders = runs.groupBy(*interval).agg(F.min(place).alias("leader"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    return runs.join(materialize(leaders, "leaders"), interval).where(~place.eqNullSafe(F.col("leader"))).select("id", "mark", "first", "last", "leader")
 
 
 def delete_later_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
