@@ -420,6 +420,11 @@ def test_grammar_weighs_context():
     plain, near, negated, reported = (sum(r.clauses(t)) for t in ("an idiot.", "you idiot.", "no idiot.", "he said idiot."))
     assert near > plain > negated and reported < sum(r.clauses("he thinks idiot."))
     assert r.clauses("they will kill you.") and not r.clauses("kill the process.")
+    threat = lambda t: sum(r.clauses(t))
+    assert threat("they will kill you.") == threat("they killed you.") == threat("he stabbed him.") == threat("sie tötet euch.") == 2.0
+    assert threat("they will not kill you.") == threat("they never kill you.") == 2.0 * toxicity.NEGATED
+    assert threat("he said they kill you.") == 2.0 * toxicity.REPORTED
+    assert sum(r.clauses("idiot you.")) == sum(r.clauses("you idiot.")) > sum(r.clauses("idiot and so on for a while you."))
     assert r.features(None) == (0.0, 0.0, 0.0, 0.0)
 
 
