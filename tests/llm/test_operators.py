@@ -404,6 +404,17 @@ def test_language_of_long_texts_alone_is_learned(spark):
     assert {langid.classify(model, t)[0] for _, t, x in rows if x == "de"} == {"de"}
 
 
+def test_every_language_gets_a_dictionary(spark):
+    """A label of copies of one text among many rows, and one of a single short word."""
+    rng = np.random.default_rng(5)
+    rows = [(f"der hund und die katze {k} " + " ".join(rng.choice(["haus", "über", "dort", "mit"], 8)), "de") for k in range(300)]
+    rows += [("el gato come pescado en la casa", "es")] * 300 + [("ok", "zz"), ("123", "no letters")]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.fit(table, F.col("lang"), rows_per_language=20)
+    assert {name for name, _ in model.dictionaries} == {"de", "es", "zz"}
+    assert langid.classify(model, "en la casa el gato come pescado, y en la casa come el gato")[0] == "es"
+
+
 def test_quality_tables_learn_a_bin_and_a_pair():
     rng = np.random.default_rng(0)
     x = rng.random((2000, len(quality.FEATURES)))

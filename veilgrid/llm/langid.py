@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from veilgrid.llm.common import bound_batches, map_rows
 
 UNDETERMINED = "und"
+#: A raw dictionary has so many bytes at least.
+LEAST_BYTES = 8
 LETTER = regex.compile(r"\p{L}")
 BETWEEN = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -50,18 +52,22 @@ class LanguageModel:
 def fit(df: DataFrame, label: Column, text_col: str = "text", rows_per_language: int = 2000, dictionary_bytes: int = 8192) -> LanguageModel:
     """Learn from about ``rows_per_language`` different texts of each label, of any length.
 
-    The texts are those of smallest hash, so a rerun learns the same. What comes to the
-    driver is a count and a dictionary for each label.
+    The texts are drawn by their hash, by the number of different texts of the label, so a rerun
+    learns the same, copies of a text count once, and every label whose texts have a word gets a
+    dictionary: its text of smallest hash is always drawn. What comes to the driver is counts
+    and a dictionary for each label.
     """
     bound_batches(df.sparkSession)
     rows = df.select(label.cast("string").alias("label"), F.col(text_col).cast("string").alias("body")).where("label is not null")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     usable = rows.where("length(body) > 0").withColumn("mark", F.xxhash64("body"))
-    shares = {r["label"]: min(1.0, rows_per_language / r["count"]) for r in usable.groupBy("label").count().collect()}
-    if not shares:
+    told = usable.groupBy("label").agg(F.count("*").alias("rows"), F.approx_count_distinct("mark").alias("texts"), F.min("mark").alias("least")).collect()
+    if not told:
         return LanguageModel(())
-    share = F.element_at(F.create_map(*(F.lit(x) for pair in sorted(shares.items()) for x in pair)), F.col("label"))
-    sample = usable.where(F.pmod("mark", F.lit(1 << 20)) < share * (1 << 20)).groupBy("label", "mark").agg(F.first("body").alias("body"))
+    counts = {r["label"]: r["rows"] for r in told}
+    of_label = lambda values: F.element_at(F.create_map(*(F.lit(x) for pair in sorted(values.items()) for x in pair)), F.col("label"))
+    share = of_label({r["label"]: min(1.0, rows_per_language / max(1, r["texts"])) for r in told})
+    drawn = (F.pmod("mark", F.lit(1 << 20)) < share * (1 << 20)) | (F.col("mark") == of_label({r["label"]: r["least"] for r in told}))
+    sample = usable.where(drawn).groupBy("label", "mark").agg(F.first("body").alias("body"))
 
     def words(batch: pa.RecordBatch) -> dict:
         seen: Counter[tuple[str, str]] = Counter()
@@ -78,8 +84,7 @@ def fit(df: DataFrame, label: Column, text_col: str = "text", rows_per_language:
     made = []
     for name in sorted(chosen, key=lambda x: (-counts[x], x)):
         content = (" " + " ".join(chosen[name][::-1]) + " ").encode()[-dictionary_bytes:]
-        if len(content) >= 8:
-            made.append((name, content))
+        made.append((name, content.rjust(LEAST_BYTES)))
     return LanguageModel(tuple(made))
 
 
