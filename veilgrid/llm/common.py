@@ -75,12 +75,16 @@ def in_remainder(doc_id: Column, mod: int, remainder: int) -> Column:
     return F.crc32(doc_id.cast("string")) % mod == remainder
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """Documents with the ``label`` of at most ``rows`` label rows: those of smallest id hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id, text and ``label__`` for at most ``rows`` label rows: those of smallest id hash.
 
     The sample is drawn from the label table alone, so that no text is moved for it; its
-    bound is what makes the broadcast safe. Rows without an id or a label are left out.
+    bound is what makes the broadcast safe. An id that documents share gives one text, the
+    one of smallest hash, so that no more than ``rows`` come out. Rows without an id or a label are left out.
     """
     usable = labels.select(F.col(id_col).alias("labelled_id"), F.col(label).cast("int").alias("label__")).where("labelled_id is not null and label__ is not null")
-    drawn = usable.orderBy(F.xxhash64("labelled_id"), "labelled_id", "label__").limit(rows)
-    return docs.join(F.broadcast(drawn), F.col(id_col) == F.col("labelled_id")).drop("labelled_id")
+    drawn = usable.orderBy(F.xxhash64("labelled_id"), "labelled_id", "label__").limit(rows).distinct()
+    texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("own_text"))
+    found = texts.join(F.broadcast(drawn), F.col("own_id") == F.col("labelled_id"))
+    one = found.groupBy("own_id", "label__").agg(F.min_by("own_text", F.xxhash64("own_text")).alias("own_text"))
+    return one.select(F.col("own_id").alias(id_col), F.col("own_text").alias(text_col), "label__")

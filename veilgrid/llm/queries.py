@@ -95,4 +95,19 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {}
+#: What learns, samples or merges has no SQL; the others do.
+ORACLES: dict[str, str] = {
+    "op6_ngram_join": r"""with recursive words as materialized (select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+        shingles as materialized (select distinct doc_id, array_to_string(w[i:i+3], ' ') s from (select doc_id, w, unnest(range(1, greatest(len(w)-3, 1)+1)) i from words where len(w) > 0)),
+        sizes as materialized (select doc_id, count(*) n from shingles group by 1),
+        shared as (select a.doc_id u, b.doc_id v, count(*) c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+        links as materialized (select u, v from shared join sizes x on x.doc_id = u join sizes y on y.doc_id = v where 100*c >= 85*(x.n+y.n-c)),
+        ways as materialized (select u, v from links union all select v, u from links),
+        reach as (select doc_id, doc_id r from documents union select reach.doc_id, ways.v from reach join ways on ways.u = reach.r)
+        select d.doc_id, coalesce(n, 0) n_shingles, component_id from documents d left join sizes using (doc_id) join (select doc_id, min(r) component_id from reach group by 1) using (doc_id)""",
+    "op7_topk": """with whole as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(256*cast(x as double)) as bigint)) v from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1]*p[2])) as bigint) score from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
+        ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) k from scored)
+        select query_id, cast(k as int) as rank, vec_id, score from ranked where k <= 5""",
+}
