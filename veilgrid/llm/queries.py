@@ -105,6 +105,18 @@ ORACLES: dict[str, str] = {
         ways as materialized (select u, v from links union all select v, u from links),
         reach as (select doc_id, doc_id r from documents union select reach.doc_id, ways.v from reach join ways on ways.u = reach.r)
         select d.doc_id, coalesce(n, 0) n_shingles, component_id from documents d left join sizes using (doc_id) join (select doc_id, min(r) component_id from reach group by 1) using (doc_id)""",
+    "op10_line_dedup": r"""with cut as materialized (select doc_id, text, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1)-1 k from documents),
+        told as materialized (select doc_id, k, line, trim(line, E' \t\r\f\x0b') bare, len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '')) n from cut),
+        worded as materialized (select *, row_number() over w j, sum(n) over w total from told where n > 0 window w as (partition by doc_id order by k)),
+        ahead as (select a.doc_id, a.j first, min(b.j) last from worded a join worded b on a.doc_id = b.doc_id and b.j between a.j and a.j+49 and b.total-a.total+a.n >= 50 group by 1, 2),
+        back as (select b.doc_id, max(a.j) first, b.j last from worded a join worded b on a.doc_id = b.doc_id and a.j between b.j-49 and b.j and b.total-a.total+a.n >= 50 group by 1, 3),
+        runs as materialized (select r.doc_id, r.first, r.last, min(w.k) low, max(w.k) high, string_agg(bare, chr(10) order by j) content from (select * from ahead union select * from back) r join worded w on w.doc_id = r.doc_id and w.j between r.first and r.last group by 1, 2, 3),
+        later as (select doc_id, low, high from (select *, row_number() over (partition by content order by doc_id, first) place from runs) where place > 1),
+        marked as materialized (select t.*, exists (select 1 from later l where l.doc_id = t.doc_id and t.k between l.low and l.high) dead from told t),
+        stretches as (select doc_id, string_agg(low || ':' || high, ',' order by low) runs from (select doc_id, min(k) low, max(k) high from (select doc_id, k, k - row_number() over (partition by doc_id order by k) g from marked where dead) group by doc_id, g) group by 1),
+        done as (select doc_id, string_agg(line, chr(10) order by k) filter (not dead) as text, count(*) filter (n > 0 and not dead) kept, count(*) filter (n > 0 and dead) gone from marked group by 1)
+        select d.doc_id, case when gone > 0 then coalesce(done.text, '') else d.text end as text, cast(coalesce(kept, 0) as int) kept_lines, cast(coalesce(gone, 0) as int) deleted_lines, coalesce(runs, '') deleted_runs
+        from documents d left join done using (doc_id) left join stretches using (doc_id)""",
     "op7_topk": """with whole as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(256*cast(x as double)) as bigint)) v from embeddings
             where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         scored as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1]*p[2])) as bigint) score from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
