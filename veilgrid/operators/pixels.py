@@ -99,14 +99,92 @@ def region_stats(pixels: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataF
     return sums.select(*keys, "samples", "skin", "edges", "edge_samples", F.round("variance", 6).alias("variance"), F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
+#: Steps between sampled points at most, samples at least, and the shares and variance that a face needs.
+MOST_STEP, LEAST_SAMPLES, LEAST_SKIN, LEAST_EDGES, LEAST_VARIANCE = 4, 20, 0.015, 0.02, 200.0
+
+
+def face_stats(pixels: DataFrame, faces: DataFrame, width: int, height: int) -> DataFrame:
+    """Samples, skin and edge shares and luma variance of each face (``face keys, passed``), on a grid of the face's own step.
+
+    The box is cut to whole pixels of the frame; a box of a pixel's width or height fails. ``pixels``
+    without frame columns are one picture that all frames show. Only sampled points are joined.
+    """
+    keys = [*frame_keys(faces), "face_idx"]
+    low = lambda v, most: clamp(F.floor(v), F.lit(0), F.lit(max(0, most - 1))).cast("int")
+    x, y, w, h = (F.col(c) for c in "xywh")
+    boxes = faces.select(*keys, low(x, width).alias("x0"), low(y, height).alias("y0"), low(F.ceil(x + w) - 1, width).alias("x1"), low(F.ceil(y + h) - 1, height).alias("y1"))
+    area = ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)).cast("double")
+    step = F.least(F.lit(MOST_STEP), F.greatest(F.lit(1), F.floor(F.sqrt(area / LEAST_SAMPLES)).cast("int")))
+    whole = boxes.where("x1 > x0 and y1 > y0").withColumn("step", step)
+    points = whole.withColumn("y", F.explode(F.sequence("y0", "y1", "step"))).withColumn("x", F.explode(F.sequence("x0", "x1", "step")))
+    b, g, r = (F.col(c) for c in "bgr")
+    shades = pixels.select(*frame_keys(pixels), "x", "y", luma(b, g, r).alias("luma"), skin(b, g, r).cast("int").alias("skin"))
+    seen = points.join(shades, [*frame_keys(pixels), "x", "y"]).select(*keys, "x", "y", "luma", "skin")
+    right, below = F.lead("luma").over(Window.partitionBy(*keys, "y").orderBy("x")), F.lead("luma").over(Window.partitionBy(*keys, "x").orderBy("y"))
+    edge = lambda c: (F.abs(F.col("luma") - F.col(c)) > 20).cast("int")
+    sums = seen.withColumn("right", right).withColumn("below", below).groupBy(*keys).agg(
+        F.count("*").alias("samples"), F.sum("skin").alias("skin"), F.var_samp("luma").alias("variance"),
+        (F.coalesce(F.sum(edge("right")), F.lit(0)) + F.coalesce(F.sum(edge("below")), F.lit(0))).alias("edges"),
+        (F.count("right") + F.count("below")).alias("edge_samples"),
+    )
+    enough = (F.col("samples") >= LEAST_SAMPLES) & (F.col("skin") / F.col("samples") >= LEAST_SKIN) & (F.col("edges") / F.greatest(F.lit(1), "edge_samples") >= LEAST_EDGES) & (F.col("variance") >= LEAST_VARIANCE)
+    told = sums.select(*keys, "samples", "skin", "edges", F.round("variance", 6).alias("variance"), F.coalesce(enough, F.lit(False)).alias("passed"))
+    return boxes.select(*keys).join(told, keys, "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
+
+
 def downscale_nearest(pixels: DataFrame, ratio: float, width: int, height: int) -> DataFrame:
     """Each target pixel takes the source pixel at the truncated position."""
-    wide, high = (max(1, round(n * ratio)) for n in (width, height))
+    wide, high = target_size(width, height, ratio)
     at = pixels.sparkSession.range(wide * high).select((F.col("id") % wide).cast("int").alias("tx"), F.floor(F.col("id") / wide).cast("int").alias("ty"))
     source = at.select("tx", "ty", F.least((F.col("tx") * (1 / ratio)).cast("int"), F.lit(width - 1)).alias("x"), F.least((F.col("ty") * (1 / ratio)).cast("int"), F.lit(height - 1)).alias("y"))
     return source.join(pixels, ["x", "y"]).select(*frame_keys(pixels), F.col("tx").alias("x"), F.col("ty").alias("y"), "b", "g", "r")
 
 
+def target_size(width: int, height: int, ratio: float) -> tuple[int, int]:
+    """Sides rounded half to even, one pixel at least; ratios that do not shrink leave the size."""
+    return (max(1, round(width * ratio)), max(1, round(height * ratio))) if 0 < ratio < 1 else (width, height)
+
+
+def downscale_bilinear(pixels: DataFrame, ratio: float, width: int, height: int, channels: tuple[str, ...] = ("b", "g", "r")) -> DataFrame:
+    """Each target pixel mixes the four source pixels around its position (counted from the corner), as shares of 255.
+
+    A target pixel names its four corners, which are joined and summed with their weights.
+    """
+    wide, high = target_size(width, height, ratio)
+    at = pixels.sparkSession.range(wide * high).select((F.col("id") % wide).cast("int").alias("tx"), F.floor(F.col("id") / wide).cast("int").alias("ty"))
+
+    def ends(c: str, most: int) -> tuple[Column, Column]:
+        """Positions and weights of the two neighbours along one side."""
+        place = F.col(c) * (1 / ratio)
+        low = F.least(F.floor(place).cast("int"), F.lit(most - 1))
+        part = place - low
+        near, far = F.struct(low.alias("at"), (1.0 - part).alias("w")), F.struct(F.least(low + 1, F.lit(most - 1)).alias("at"), part.alias("w"))
+        return near, far
+
+    corners = at.withColumn("cx", F.explode(F.array(*ends("tx", width)))).withColumn("cy", F.explode(F.array(*ends("ty", height))))
+    named = corners.select("tx", "ty", F.col("cx.at").alias("x"), F.col("cy.at").alias("y"), (F.col("cx.w") * F.col("cy.w")).alias("weight"))
+    keys = frame_keys(pixels)
+    mixed = named.join(pixels, ["x", "y"]).groupBy(*keys, "tx", "ty").agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in channels))
+    return mixed.select(*keys, F.col("tx").alias("x"), F.col("ty").alias("y"), *((F.col(c) / 255.0).alias(c) for c in channels))
+
+
+def mask_in_bounds(mask: DataFrame) -> DataFrame:
+    """All pixels of each mask's bounding box, with alpha 0 where the mask is empty: the rows among which a mask fades."""
+    keys = frame_keys(mask)
+    box = mask_bounds(mask).where("x1 > x0 and y1 > y0")
+    pixel = box.withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1))).select(*keys, "x", "y")
+    return pixel.join(mask, [*keys, "x", "y"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0)))
+
+
+def faded_masks(mask: DataFrame) -> DataFrame:
+    """Masks of a video's frames with what is left of those before: max(alpha, 3/4 of the value before), pixel by pixel.
+
+    Only frames with a mask, and only pixels within its bounds, take a step.
+    """
+    rows = mask_in_bounds(mask).withColumn("seq", F.col("frame_index")).drop("frame_index")
+    return mask_decay(rows).withColumnRenamed("seq", "frame_index")
+
+
 #: Three quarters of 255, again and again, come to nothing after so many steps.
 DECAY_STEPS = 18
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilgrid.functions import views as V
-from veilgrid.operators import detect, export, issues, masks, temporal
+from veilgrid.operators import detect, export, issues, masks, pixels, temporal
 from veilgrid.plans.catalog import _ALL, _FIXED, _FOLD, _REPAIRED, DET, H, ORACLES, QUERIES, W, fixed_frames, query, sql
 from veilgrid.sources import tables
 
@@ -511,3 +511,109 @@ def current_results(spark, d):
 
 sql("current_results", "select job_id as key, seq as stamp, done_ms from (select *, t_ms+seq*37%1500 done_ms, lead(t_ms) over (partition by job_id order by seq) nx from samples) where nx is null or done_ms<nx", "samples")
 
+
+
+# Masks of all frames, at a sixteenth of the size, as detection on a proxy sees them.
+
+PROXY, PW, PH = 1 / 16, 80, 45
+
+
+def proxy_faces(spark, d):
+    s = V.scale_rect(rect(), F.lit(PROXY), F.lit(PROXY))
+    return tables.detections(spark, d).select("video_id", "frame_index", "face_idx", "conf", *(s[c].alias(c) for c in "xywh"))
+
+
+_RASTER = """raster as materialized (select video_id, frame_index, x, y, max(case when d2<=0.65*0.65::double then 255 else cast(round_even((1.0-t*t*(3.0-2.0*t))*255.0,0) as int) end) alpha from (select *, (d2-0.65*0.65::double)/(1.0-0.65*0.65::double) t from
+    (select video_id, frame_index, px x, py y, (px-(x0+x1-1)/2.0::double)*(px-(x0+x1-1)/2.0::double)/(greatest(1.0::double,(x1-x0)/2.0::double)*greatest(1.0::double,(x1-x0)/2.0::double))+(py-(y0+y1-1)/2.0::double)*(py-(y0+y1-1)/2.0::double)/(greatest(1.0::double,(y1-y0)/2.0::double)*greatest(1.0::double,(y1-y0)/2.0::double)) d2
+    from (select *, unnest(range(y0, y1)) py from (select *, unnest(range(x0, x1)) px from (select video_id, frame_index, greatest(0,least(79,floor(x/16-greatest(6,w/16*0.15::double))))::int x0, greatest(0,least(44,floor(y/16-greatest(6,h/16*0.25::double))))::int y0,
+    greatest(0,least(80,ceil(x/16+w/16+greatest(6,w/16*0.15::double))))::int x1, greatest(0,least(45,ceil(y/16+h/16+greatest(6,h/16*0.25::double))))::int y1 from detections)))) where d2<=1.0) group by all having alpha > 0)"""
+
+
+@query
+def frame_masks(spark, d):
+    """The mask of every frame with faces: its pixels, the sum of alpha, and its bounds."""
+    mask = pixels.mask_raster(proxy_faces(spark, d), PW, PH)
+    sums = mask.groupBy("video_id", "frame_index").agg(F.count("*").alias("lit"), F.sum("alpha").alias("alpha"))
+    return sums.join(pixels.mask_bounds(mask), ["video_id", "frame_index"])
+
+
+sql("frame_masks", "select video_id, frame_index, count(*) lit, cast(sum(alpha) as bigint) alpha, min(x) x0, min(y) y0, max(x)+1 x1, max(y)+1 y1 from raster group by all", *DET, recursive=_RASTER)
+
+
+@query
+def frame_fades(spark, d):
+    """The masks of every video's frames with what is left of those before: pixels still lit, and the sum of alpha."""
+    faded = pixels.faded_masks(pixels.mask_raster(proxy_faces(spark, d), PW, PH))
+    return faded.groupBy("video_id", "frame_index").agg(F.sum((F.col("smooth") > 0).cast("bigint")).alias("lit"), F.sum("smooth").alias("alpha"))
+
+
+def _fade(steps: int) -> str:
+    out = "0"
+    for back in range(steps, 0, -1):
+        out = f"greatest(coalesce(lag(alpha, {back}) over w, 0), {out}*3//4)"
+    return f"greatest(alpha, ({out})*3//4)"
+
+
+sql("frame_fades", f"select video_id, frame_index, cast(count(*) filter (smooth > 0) as bigint) lit, cast(sum(smooth) as bigint) alpha from faded group by all", *DET, recursive=_RASTER + f""",
+    boxes as (select video_id, frame_index, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from raster group by all), inside as materialized (select b.video_id, b.frame_index, b.x, b.y, coalesce(r.alpha, 0) alpha from (select *, unnest(range(y0, y1+1)) y from (select *, unnest(range(x0, x1+1)) x from boxes)) b left join raster r using (video_id, frame_index, x, y)),
+    faded as (select video_id, frame_index, {_fade(18)} smooth from inside window w as (partition by video_id, x, y order by frame_index))""")
+
+
+@query
+def frame_radii(spark, d):
+    """The blur radii of every frame's pixels, summed by frame."""
+    radii = pixels.radius_map(proxy_faces(spark, d), PW, PH, 24)
+    return radii.groupBy("video_id", "frame_index").agg(F.count("*").alias("covered"), F.sum("radius").alias("radius"), F.max("radius").alias("most"))
+
+
+sql("frame_radii", """select video_id, frame_index, count(*) covered, cast(sum(r) as bigint) radius, max(r) most from (select video_id, frame_index, px, py, max(r) r from (select *, unnest(range(y0, y1)) py from (select *, unnest(range(x0, x1)) px from (select video_id, frame_index,
+    cast(greatest(1, least(24, round_even(24*case when a<=1 then 0.4::double when a<=3 then 0.55::double when a<=5 then 0.7::double else 1.0::double end,0))) as int) r, floor(greatest(0,x-px))::int x0, ceil(least(80,x+w+px))::int x1, floor(greatest(0,y-py))::int y0, ceil(least(45,y+h+py))::int y1
+    from (select *, w*h*100.0::double/3600 a, greatest(6.0::double,w*0.15::double) px, greatest(6.0::double,h*0.25::double) py from (select video_id, frame_index, x/16 x, y/16 y, w/16 w, h/16 h from detections))))) group by all) group by all""", *DET)
+
+
+@query
+def frame_face_stats(spark, d):
+    """Statistics of every face on the test picture, at an eighth of the size."""
+    s = V.scale_rect(rect(), F.lit(0.125), F.lit(0.125))
+    faces = tables.detections(spark, d).select("video_id", "frame_index", "face_idx", *(s[c].alias(c) for c in "xywh"))
+    return pixels.face_stats(tables.pattern(spark, 160, 90), faces, 160, 90)
+
+
+sql("frame_face_stats", """select f.video_id, f.frame_index, f.face_idx, samples, skin, edges, variance, coalesce(samples>=20 and skin/samples>=0.015 and edges/greatest(1,es)>=0.02 and v>=200, false) passed from face f left join
+    (select video_id, frame_index, face_idx, count(*) samples, cast(sum(sk) as bigint) skin, cast(count(*) filter (abs(l-rt)>20)+count(*) filter (abs(l-dn)>20) as bigint) edges, count(rt)+count(dn) es, var_samp(l) v, round(var_samp(l), 6) variance from
+    (select *, lead(l) over (partition by video_id, frame_index, face_idx, y order by x) rt, lead(l) over (partition by video_id, frame_index, face_idx, x order by y) dn from
+    (select video_id, frame_index, face_idx, p.x, p.y, (77*r+150*g+29*b)>>8 l, cast(128+floor((-43*r-85*g+128*b)/256.0) between 77 and 127 and 128+floor((128*r-107*g-21*b)/256.0) between 133 and 173 as int) sk from
+    (select *, unnest(range(y0, y1+1, st)) y from (select *, unnest(range(x0, x1+1, st)) x from sized where x1>x0 and y1>y0)) q join shown p on p.x=q.x and p.y=q.y)) group by all) t using (video_id, frame_index, face_idx)""", *DET, recursive="""shown as materialized (select x, y, case when x%12=0 or y%12=0 then 140 when (x//6+y//6)%2=0 then 120 else 90 end b, case when x%12=0 or y%12=0 then 220 when (x//6+y//6)%2=0 then 190 else 140 end g,
+    case when x%12=0 or y%12=0 then 240 when (x//6+y//6)%2=0 then 210 else 160 end r from (select unnest(range(160)) x) a cross join (select unnest(range(90)) y) c),
+    face as materialized (select video_id, frame_index, face_idx, greatest(0,least(159,floor(x/8)))::int x0, greatest(0,least(89,floor(y/8)))::int y0, greatest(0,least(159,ceil(x/8+w/8)-1))::int x1, greatest(0,least(89,ceil(y/8+h/8)-1))::int y1 from detections),
+    sized as (select *, cast(least(4, greatest(1, floor(sqrt((x1-x0+1)*(y1-y0+1)/20.0::double)))) as int) st from face)""")
+
+
+@query
+def downscale_bilinear(spark, d):
+    """The test picture at two fifths, as shares of 255."""
+    small = pixels.downscale_bilinear(tables.pattern(spark), 0.4, 120, 90)
+    return small.select("x", "y", *(F.round(c, 9).alias(c) for c in "bgr"))
+
+
+sql("downscale_bilinear", "select tx x, ty y, " + ", ".join(f"round(sum({c}*wx*wy)/255.0::double, 9) {c}" for c in "bgr") + """ from (select tx, ty, case a when 0 then lx else least(119, lx+1) end x, case o when 0 then ly else least(89, ly+1) end y, case a when 0 then 1-(qx-lx) else qx-lx end wx, case o when 0 then 1-(qy-ly) else qy-ly end wy
+    from (select cast(tx as int) tx, cast(ty as int) ty, tx*(1/0.4::double) qx, ty*(1/0.4::double) qy, least(119, cast(floor(tx*(1/0.4::double)) as int)) lx, least(89, cast(floor(ty*(1/0.4::double)) as int)) ly from (select unnest(range(48)) tx) f cross join (select unnest(range(36)) ty) g)
+    cross join (select unnest([0,1]) a) h cross join (select unnest([0,1]) o) i) q join pattern p using (x, y) group by tx, ty""", "pattern")
+
+
+@query
+def example_gallery(spark, d):
+    """The test picture blurred around squares of four sizes, each in a picture of its own."""
+    each = tables.pattern_faces(spark).select(F.lit(0).alias("video_id"), F.col("face_idx").alias("frame_index"), "face_idx", "x", "y", "w", "h")
+    image = tables.pattern(spark)
+    shown = image.join(F.broadcast(each.select("video_id", "frame_index")))
+    blurred = pixels.box_mean(image, 6).join(F.broadcast(each.select("video_id", "frame_index")))
+    done = pixels.masked_blend(shown, blurred, pixels.mask_raster(each, 120, 90))
+    return done.groupBy("frame_index").agg(*(F.sum(c).alias(c) for c in "bgr"))
+
+
+_GALLERY = """lines as (select x, y, sum(b) over w b, sum(g) over w g, sum(r) over w r, count(*) over w n from pattern window w as (partition by y order by x range between 6 preceding and 6 following)),
+    box as materialized (select x, y, cast(sum(b) over v//sum(n) over v as int) b, cast(sum(g) over v//sum(n) over v as int) g, cast(sum(r) over v//sum(n) over v as int) r from lines window v as (partition by x order by y range between 6 preceding and 6 following)),
+    lit as (select face_idx, p.x, p.y, case when d2<=0.65*0.65::double then 255 else cast(round_even((1.0-t*t*(3.0-2.0*t))*255.0,0) as int) end alpha from (select *, (d2-0.65*0.65::double)/(1.0-0.65*0.65::double) t from (select face_idx, p.x, p.y, pow(p.x-(x0+x1-1)/2.0,2)/pow(greatest(1.0,(x1-x0)/2.0),2)+pow(p.y-(y0+y1-1)/2.0,2)/pow(greatest(1.0,(y1-y0)/2.0),2) d2 from pattern p join
+    (select face_idx, greatest(0,floor(x-greatest(6,w*0.15)))::int x0, greatest(0,floor(y-greatest(6,h*0.25)))::int y0, least(120,ceil(x+w+greatest(6,w*0.15)))::int x1, least(90,ceil(y+h+greatest(6,h*0.25)))::int y1 from squares) f on p.x>=x0 and p.x<x1 and p.y>=y0 and p.y<y1) p where d2<=1.0) p)"""
+sql("example_gallery", "select frame_index, " + ", ".join(f"cast(sum((n{c}*a+{c}*(255-a)+127)//255) as bigint) {c}" for c in "bgr") + " from (select f.face_idx frame_index, p.b, p.g, p.r, o.b nb, o.g ng, o.r nr, coalesce(l.alpha, 0) a from pattern p join box o using (x, y) cross join squares f left join lit l on l.face_idx=f.face_idx and l.x=p.x and l.y=p.y) group by all", "pattern", "squares", recursive=_GALLERY)
