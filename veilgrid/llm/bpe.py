@@ -32,7 +32,7 @@ from veilgrid.llm.common import bound_batches, map_rows
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 62
 #: Entries that a worker's memory of encoded pieces may hold before it is emptied.
-REMEMBERED = 400_000
+REMEMBERED, REMEMBERED_PIECES = 300_000, 100_000
 #: Pieces of up to so many bytes are merged side by side.
 SIDE_BY_SIDE = 64
 
@@ -188,9 +188,10 @@ class Codec:
         self.by_ids: dict[str, bytes] = {}
         self.rare_space = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        """Encode pieces that are not remembered; those of like length together."""
+    def _encoded(self, pieces: set[str]) -> dict[str, str]:
+        """Ids of pieces, in decimal; those of like length together."""
         groups: dict[int, list[str]] = {}
+        out: dict[str, str] = {}
         first = self.first
         for piece in pieces:
             groups.setdefault((len(piece) - 1).bit_length(), []).append(piece)
@@ -203,7 +204,8 @@ class Codec:
                 else:
                     found = [merge_all(x, self.ranks, self.results, self.width) for x in starts]
                 for p, ids in zip(part, found, strict=True):
-                    self.by_piece[p] = ",".join(map(str, ids))
+                    out[p] = ",".join(map(str, ids))
+        return out
 
     def _chunks(self, text: str) -> list[str]:
         """Cut a text where pieces surely begin.
@@ -229,15 +231,18 @@ class Codec:
     def encode_batch(self, texts: list[str]) -> list[list[str]]:
         """For each text, the ids of its chunks in decimal, each chunk's joined by commas."""
         cut = [self._sections(t) if t else [] for t in texts]
-        for memory in (self.by_chunk, self.by_piece, self.by_ids):
-            if len(memory) > REMEMBERED:
+        for memory, most in ((self.by_chunk, REMEMBERED), (self.by_piece, REMEMBERED_PIECES), (self.by_ids, REMEMBERED)):
+            if len(memory) > most:
                 memory.clear()
         known, by_piece = self.by_chunk, self.by_piece
         known |= {x: str(i) for x, i in self.added.items()}
         new = {x: self.pieces.findall(x) for x in set().union(*cut).difference(known)}
-        self._learn_pieces(set().union(*new.values()).difference(by_piece))
+        whole = {pieces[0] for pieces in new.values() if len(pieces) == 1}
+        parts = {p for pieces in new.values() if len(pieces) > 1 for p in pieces}
+        met = self._encoded((whole | parts).difference(by_piece))
+        by_piece |= {p: met[p] for p in parts if p in met}  # a whole chunk is remembered as such
         for x, pieces in new.items():
-            known[x] = by_piece[pieces[0]] if len(pieces) == 1 else ",".join([by_piece[p] for p in pieces])
+            known[x] = (met.get(pieces[0]) or by_piece[pieces[0]]) if len(pieces) == 1 else ",".join([by_piece[p] for p in pieces])
         out = [list(map(known.__getitem__, chunks)) for chunks in cut]
         for x in new:
             if len(x) > 64:  # hardly seen again: not remembered beyond this batch

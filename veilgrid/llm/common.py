@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold: texts can be long, and a worker keeps one batch at a time.
-BATCH_ROWS = 1000
+#: Rows and bytes an Arrow batch may hold: texts can be long, and a worker keeps one batch at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -19,6 +19,7 @@ def bound_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

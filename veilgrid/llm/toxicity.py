@@ -58,7 +58,7 @@ TOKEN = re.compile(r"\w+|[.!?;:\n]+")
 THREAT_WEIGHT, NEAR_TARGET, NEGATED, REPORTED = 2.0, 1.25, 0.6, 0.75
 REACH = 4
 STEM_LENGTHS = range(3, 8)
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 @dataclass(frozen=True)
