@@ -129,3 +129,31 @@ def hold_last(frames: DataFrame, every: int, tracking: bool = True) -> DataFrame
     done = flags.repartition("video_id").sortWithinPartitions("video_id", "frame_index").mapInArrow(_held(every, tracking), "video_id bigint, frame_index bigint, detected boolean, held_from bigint")
     found = frames.select("video_id", F.col("frame_index").alias("held_from"), "faces")
     return done.join(found, ["video_id", "held_from"], "left").select("video_id", "frame_index", "detected", "held_from", "faces")
+
+
+STUB_SCHEMA = "video_id bigint, frame_index bigint, x double, y double, w double, h double, conf float"
+
+
+def stub_detector() -> Detector:
+    """A detector without a model, for tests and plans: a face whose place follows from the frame number, on most frames."""
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        frame = batch.column(1).to_numpy()
+        keep = frame % 9 != 4
+        seen = frame[keep]
+        columns = [batch.column(0).filter(pa.array(keep)), pa.array(seen), *(pa.array(v.astype("float64")) for v in (seen * 7 % 1000, seen * 3 % 500, 0 * seen + 96, 0 * seen + 128))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(((50 + seen % 50) / 100).astype("float32"))], names=["video_id", "frame_index", "x", "y", "w", "h", "conf"])
+
+    return found
+
+
+def analysis_rows(spine: DataFrame, by_frame: DataFrame) -> DataFrame:
+    """Per frame its time, whether it has a face (confidence 1 or 0), and the first face's box."""
+    rows = spine.join(by_frame, ["video_id", "frame_index"], "left").withColumn("first", F.get("faces", F.lit(0)))
+    has = F.col("first").isNotNull()
+    return rows.select("video_id", "frame_index", (F.col("frame_index") / F.col("fps")).alias("time_s"), has.alias("has_face"), has.cast("double").alias("confidence"), "first.x", "first.y", "first.w", "first.h")
+
+
+def overlays(by_frame: DataFrame) -> DataFrame:
+    """Frames whose boxes are drawn: the overlay is on and there is one at least."""
+    return by_frame.where(F.col("overlay") & (F.size("faces") > 0))

@@ -109,3 +109,9 @@ def current_results(requests: DataFrame, results: DataFrame) -> DataFrame:
 def busy_progress(exporting: Column, export: Column, detecting: Column, detect: Column, loading: Column, load: Column) -> Column:
     """The progress to show: of the export, else of detection, else of loading; null if idle."""
     return F.when(exporting, export).when(detecting, detect).when(loading, load)
+
+
+def perf_sums(log: DataFrame, stages: list[str], lot: int = 60) -> DataFrame:
+    """Calls and milliseconds of each stage and of all, by video and lot of frames."""
+    sums = log.withColumn("lot", F.expr(f"frame_index div {lot}")).groupBy("video_id", "lot").agg(F.count("*").alias("calls"), *(F.sum(c).alias(c) for c in stages))
+    return sums.withColumn("total_ms", sum((F.col(c) for c in stages), F.lit(0)))

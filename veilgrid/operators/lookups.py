@@ -40,3 +40,9 @@ def circular_neighbours(frames: DataFrame, marks: DataFrame) -> DataFrame:
     every = Window.partitionBy("video_id")
     out = both.select("video_id", "frame_index", "mark", F.coalesce(F.min("mark").over(ahead), F.min("mark").over(every)).alias("next_mark"), F.coalesce(F.max("mark").over(behind), F.max("mark").over(every)).alias("prev_mark"))
     return out.where("mark is null").drop("mark")
+
+
+def nth_frame(frames: DataFrame, n: int) -> DataFrame:
+    """The frame that is reached after ``n`` others of its video, by time stamp; videos with fewer have none."""
+    order = F.row_number().over(Window.partitionBy("video_id").orderBy("pts"))
+    return frames.withColumn("place", order).where(F.col("place") == n + 1).drop("place")

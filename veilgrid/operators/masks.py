@@ -127,3 +127,13 @@ def not_undone(actions: DataFrame) -> DataFrame:
     level = raw.withColumn("level", F.col("raw") - floor)
     later = Window.partitionBy(*KEYS).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
     return level.withColumn("least", F.min("level").over(later)).where(~F.col("undo") & (F.col("least") >= F.col("level"))).drop("raw", "level", "least")
+
+
+def dirty_rects(strokes: DataFrame, width: int, height: int) -> DataFrame:
+    """The box of each frame's strokes (``cx, cy, radius``) within the picture, half-open; none where all lie outside."""
+    r = F.col("radius")
+    box = strokes.groupBy(*KEYS).agg(
+        F.greatest(F.lit(0), F.min(F.col("cx") - r)).alias("x0"), F.greatest(F.lit(0), F.min(F.col("cy") - r)).alias("y0"),
+        F.least(F.lit(width), F.max(F.col("cx") + r + 1)).alias("x1"), F.least(F.lit(height), F.max(F.col("cy") + r + 1)).alias("y1"),
+    )
+    return box.where("x0 < x1 and y0 < y1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilgrid.functions import views as V
-from veilgrid.operators import detect, export, issues, masks, pixels, temporal
+from veilgrid.operators import detect, export, issues, lookups, masks, pixels, temporal
 from veilgrid.plans.catalog import _ALL, _FIXED, _FOLD, _REPAIRED, DET, H, ORACLES, QUERIES, W, fixed_frames, query, sql
 from veilgrid.sources import tables
 
@@ -617,3 +617,92 @@ _GALLERY = """lines as (select x, y, sum(b) over w b, sum(g) over w g, sum(r) ov
     lit as (select face_idx, p.x, p.y, case when d2<=0.65*0.65::double then 255 else cast(round_even((1.0-t*t*(3.0-2.0*t))*255.0,0) as int) end alpha from (select *, (d2-0.65*0.65::double)/(1.0-0.65*0.65::double) t from (select face_idx, p.x, p.y, pow(p.x-(x0+x1-1)/2.0,2)/pow(greatest(1.0,(x1-x0)/2.0),2)+pow(p.y-(y0+y1-1)/2.0,2)/pow(greatest(1.0,(y1-y0)/2.0),2) d2 from pattern p join
     (select face_idx, greatest(0,floor(x-greatest(6,w*0.15)))::int x0, greatest(0,floor(y-greatest(6,h*0.25)))::int y0, least(120,ceil(x+w+greatest(6,w*0.15)))::int x1, least(90,ceil(y+h+greatest(6,h*0.25)))::int y1 from squares) f on p.x>=x0 and p.x<x1 and p.y>=y0 and p.y<y1) p where d2<=1.0) p)"""
 sql("example_gallery", "select frame_index, " + ", ".join(f"cast(sum((n{c}*a+{c}*(255-a)+127)//255) as bigint) {c}" for c in "bgr") + " from (select f.face_idx frame_index, p.b, p.g, p.r, o.b nb, o.g ng, o.r nr, coalesce(l.alpha, 0) a from pattern p join box o using (x, y) cross join squares f left join lit l on l.face_idx=f.face_idx and l.x=p.x and l.y=p.y) group by all", "pattern", "squares", recursive=_GALLERY)
+
+
+# Single frames, logs and state documents.
+
+
+@query
+def nth_frame(spark, d):
+    """The fourth frame of each video by time stamp."""
+    return lookups.nth_frame(tables.frame_pts(spark, d), 3)
+
+
+sql("nth_frame", "select video_id, frame_no, pts from (select *, row_number() over (partition by video_id order by pts) r from frame_pts) where r = 4", "frame_pts")
+
+
+@query
+def analysis_rows(spark, d):
+    """Per frame the time, whether it has a face, and the first face's box."""
+    return detect.analysis_rows(tables.frame_spine(spark, d), faces_by_frame(tables.detections(spark, d)))
+
+
+sql("analysis_rows", "select s.video_id, s.frame_index, s.frame_index/s.fps as time_s, f.x is not null has_face, case when f.x is null then 0.0::double else 1.0::double end confidence, f.x, f.y, f.w, f.h from spine s left join (select * from detections where face_idx=0) f using (video_id, frame_index)", *DET, "video_meta", "spine")
+
+
+@query
+def overlays(spark, d):
+    """Frames whose boxes are drawn: the overlay is on (not on every fifth frame) and there is a box."""
+    return detect.overlays(faces_by_frame(tables.detections(spark, d)).withColumn("overlay", F.col("frame_index") % 5 > 0)).select("video_id", "frame_index")
+
+
+sql("overlays", "select distinct video_id, frame_index from detections where frame_index%5>0", *DET)
+
+
+@query
+def perf_sums(spark, d):
+    """Calls and milliseconds of each video's stages, in lots of 60 frames."""
+    e = tables.video_of(tables.events(spark, d).select("event_id")).select("video_id", "frame_index", (F.col("event_id") * 7 % 23).alias("decode_ms"), (F.col("event_id") * 11 % 37).alias("detect_ms"))
+    return export.perf_sums(e, ["decode_ms", "detect_ms"])
+
+
+sql("perf_sums", "select event_id%8 video_id, event_id//8//60 lot, count(*) calls, cast(sum(event_id*7%23) as bigint) decode_ms, cast(sum(event_id*11%37) as bigint) detect_ms, cast(sum(event_id*7%23+event_id*11%37) as bigint) total_ms from events group by all")
+
+
+@query
+def dirty_rects(spark, d):
+    """What has to be drawn anew in each frame: the box of all its strokes, within 1280 x 720."""
+    e = tables.video_of(tables.events(spark, d).select("event_id")).select("video_id", F.expr("frame_index div 10").alias("frame_index"), (F.col("event_id") * 7 % 1300 - 10).cast("int").alias("cx"), (F.col("event_id") * 5 % 740 - 10).cast("int").alias("cy"), (2 + F.col("event_id") % 9).cast("int").alias("radius"))
+    return masks.dirty_rects(e, W, H)
+
+
+sql("dirty_rects", "select * from (select event_id%8 video_id, event_id//8//10 frame_index, greatest(0, min(cx-r)) x0, greatest(0, min(cy-r)) y0, least(1280, max(cx+r+1)) x1, least(720, max(cy+r+1)) y1 from (select event_id, cast(event_id*7%1300-10 as int) cx, cast(event_id*5%740-10 as int) cy, cast(2+event_id%9 as int) r from events) group by all) where x0<x1 and y0<y1")
+
+
+@query
+def edits_persisted(spark, d):
+    """Frames whose edits were not all taken back become stored masks."""
+    a = tables.video_of(tables.events(spark, d).select("event_id")).select("video_id", F.expr("frame_index div 3").alias("frame_index"), F.col("event_id").alias("seq"), (F.col("event_id") * 11 % 7 > 3).alias("undo"))
+    return masks.persisted_edits(masks.not_undone(a).withColumn("dirty", F.lit(True)))
+
+
+sql("edits_persisted", "select video_id, frame_index, s[len(s)] seq, 'mask' op from st where last and len(s)>0", recursive="""acts as materialized (select event_id%8 video_id, event_id//8//3 frame_index, event_id seq, event_id*11%7>3 undo, row_number() over (partition by event_id%8, event_id//8//3 order by event_id) i, lead(event_id) over (partition by event_id%8, event_id//8//3 order by event_id) is null last from events),
+    st as (select video_id, frame_index, i, last, case when undo then [] else [seq] end s from acts where i=1 union all select a.video_id, a.frame_index, a.i, a.last, case when undo then st.s[1:len(st.s)-1] else list_append(st.s, a.seq) end from st join acts a on a.video_id=st.video_id and a.frame_index=st.frame_index and a.i=st.i+1)""")
+
+
+@query
+def state_documents(spark, d):
+    """The state written as one JSON document by path and read back: workspaces and masks of each."""
+    written = tables.to_state(saved_workspaces(spark, d))
+    back = written.select("path", F.from_json("document", tables.STATE_SCHEMA).alias("s"))
+    return back.select("path", F.explode("s.Workspaces").alias("w")).select("path", F.col("w.Mode").alias("mode"), F.size("w.MaskIndices").cast("bigint").alias("masks"))
+
+
+sql("state_documents", "select path, mode, count(*) masks from idx group by all", "opens", recursive=_WS)
+
+
+@query
+def opened_texts(spark, d):
+    return tables.events(spark, d).select("event_id", V.opened_text(F.col("ts")).alias("opened"))
+
+
+sql("opened_texts", "select event_id, 'Last opened: ' || strftime(ts, '%Y-%m-%d %H:%M') opened from events")
+
+
+@query
+def stub_detection(spark, d):
+    """Detection by a plug-in on every frame: the built-in stub, a face that wanders with the frame number."""
+    return detect.detect(tables.frame_spine(spark, d).select("video_id", "frame_index"), detect.stub_detector, detect.STUB_SCHEMA)
+
+
+sql("stub_detection", "select video_id, frame_index, cast(frame_index*7%1000 as double) x, cast(frame_index*3%500 as double) y, 96.0::double w, 128.0::double h, cast(cast(50+frame_index%50 as double)/100 as float) conf from spine where frame_index%9<>4", "video_meta", "spine")

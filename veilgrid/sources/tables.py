@@ -84,6 +84,12 @@ def state_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
+def to_state(workspaces: DataFrame) -> DataFrame:
+    """State documents (``path, document``) of saved workspaces (``path, mode, indices``), in the form that ``state_documents`` reads."""
+    one = F.struct(F.col("path").alias("VideoPath"), F.col("mode").alias("Mode"), F.col("indices").alias("MaskIndices"))
+    return workspaces.groupBy("path").agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("Workspaces"))).alias("document"))
+
+
 #: Fixed value: the first bytes of a PNG file.
 PNG = "89504E470D0A1A0A"
 
