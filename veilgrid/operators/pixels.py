@@ -173,7 +173,8 @@ def mask_in_bounds(mask: DataFrame) -> DataFrame:
     keys = frame_keys(mask)
     box = mask_bounds(mask).where("x1 > x0 and y1 > y0")
     pixel = box.withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1))).select(*keys, "x", "y")
-    return pixel.join(mask, [*keys, "x", "y"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0)))
+    # Pixels come from exploded boxes, whose number Spark cannot foresee: never broadcast.
+    return pixel.join(mask.hint("merge"), [*keys, "x", "y"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0)))
 
 
 def faded_masks(mask: DataFrame) -> DataFrame:
@@ -237,3 +238,22 @@ def brush(strokes: DataFrame, width: int, height: int) -> DataFrame:
     px = _box_rows(inside, F.greatest(F.lit(0), F.col("cx") - r), F.greatest(F.lit(0), F.col("cy") - r), F.least(F.lit(width), F.col("cx") + r + 1), F.least(F.lit(height), F.col("cy") + r + 1))
     disc = px.where((F.col("px") - F.col("cx")) * (F.col("px") - F.col("cx")) + (F.col("py") - F.col("cy")) * (F.col("py") - F.col("cy")) <= r * r)
     return disc.groupBy(*frame_keys(strokes), F.col("px").alias("x"), F.col("py").alias("y")).agg(F.max_by("value", "seq").alias("value"))
+
+
+def masked_export(pixels: DataFrame, faces: DataFrame, width: int, height: int, base: int, channels: tuple[str, ...] = ("b", "g", "r")) -> DataFrame:
+    """The pixels that an export changes: faces blurred by the radius of their size, blended by the fading masks.
+
+    ``pixels`` without frame columns are one picture that all frames show. A pixel outside every face's
+    padded box, where only an older mask still fades, takes the largest radius. There are four
+    radii at most, so the blurred pictures are as many copies of the pixels.
+    """
+    keys, shared = frame_keys(faces), [*frame_keys(pixels), "x", "y"]
+    faded = faded_masks(mask_raster(faces, width, height)).where("smooth > 0")
+    sized = faded.join(radius_map(faces, width, height, base).hint("merge"), [*keys, "x", "y"], "left").withColumn("radius", F.coalesce("radius", F.lit(max(1, base))))
+    radii = sorted({max(1, round(base * share)) for share in (0.4, 0.55, 0.7, 1.0)})
+    blurred = None
+    for radius in radii:
+        one = box_mean(pixels, radius, channels).select(*shared, F.lit(radius).alias("radius"), *(F.col(c).alias(f"new_{c}") for c in channels))
+        blurred = one if blurred is None else blurred.unionByName(one)
+    both = sized.join(blurred, [*shared, "radius"]).join(pixels, shared)
+    return both.select(*keys, "x", "y", *(blend(F.col(f"new_{c}"), F.col(c), F.col("smooth")).alias(c) for c in channels))

@@ -706,3 +706,22 @@ def stub_detection(spark, d):
 
 
 sql("stub_detection", "select video_id, frame_index, cast(frame_index*7%1000 as double) x, cast(frame_index*3%500 as double) y, 96.0::double w, 128.0::double h, cast(cast(50+frame_index%50 as double)/100 as float) conf from spine where frame_index%9<>4", "video_meta", "spine")
+
+
+@query
+def masked_export(spark, d):
+    """The test picture in every frame, faces blurred and blended: changed pixels and sums of their channels by frame."""
+    done = pixels.masked_export(tables.pattern(spark, PW, PH), proxy_faces(spark, d), PW, PH, 6)
+    return done.groupBy("video_id", "frame_index").agg(F.count("*").alias("changed"), *(F.sum(c).alias(c) for c in "bgr"))
+
+
+_RADII = """radii as materialized (select video_id, frame_index, px x, py y, max(rd) rd from (select *, unnest(range(y0, y1)) py from (select *, unnest(range(x0, x1)) px from (select video_id, frame_index,
+    cast(greatest(1, least(6, round_even(6*case when a<=1 then 0.4::double when a<=3 then 0.55::double when a<=5 then 0.7::double else 1.0::double end,0))) as int) rd, floor(greatest(0,x-px))::int x0, ceil(least(80,x+w+px))::int x1, floor(greatest(0,y-py))::int y0, ceil(least(45,y+h+py))::int y1
+    from (select *, w*h*100.0::double/3600 a, greatest(6.0::double,w*0.15::double) px, greatest(6.0::double,h*0.25::double) py from (select video_id, frame_index, x/16 x, y/16 y, w/16 w, h/16 h from detections))))) group by all)"""
+_SHOWN = """shown as materialized (select x, y, case when x%12=0 or y%12=0 then 140 when (x//6+y//6)%2=0 then 120 else 90 end b, case when x%12=0 or y%12=0 then 220 when (x//6+y//6)%2=0 then 190 else 140 end g,
+    case when x%12=0 or y%12=0 then 240 when (x//6+y//6)%2=0 then 210 else 160 end r from (select unnest(range(80)) x) a cross join (select unnest(range(45)) y) c)"""
+_BLURS = ", ".join(f"""lines{k} as (select x, y, sum(b) over w b, sum(g) over w g, sum(r) over w r, count(*) over w n from shown window w as (partition by y order by x range between {k} preceding and {k} following)),
+    box{k} as (select x, y, {k} rd, cast(sum(b) over v//sum(n) over v as int) nb, cast(sum(g) over v//sum(n) over v as int) ng, cast(sum(r) over v//sum(n) over v as int) nr from lines{k} window v as (partition by x order by y range between {k} preceding and {k} following))""" for k in (2, 3, 4, 6))
+sql("masked_export", "select video_id, frame_index, count(*) changed, " + ", ".join(f"cast(sum(case smooth when 255 then n{c} else (n{c}*smooth+{c}*(255-smooth)+127)//255 end) as bigint) {c}" for c in "bgr") + " from (select f.*, coalesce(q.rd, 6) rd from faded f left join radii q using (video_id, frame_index, x, y) where smooth > 0) z join blurred using (x, y, rd) join shown using (x, y) group by all", *DET, recursive=_RASTER + f""",
+    boxes as (select video_id, frame_index, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from raster group by all), inside as materialized (select b.video_id, b.frame_index, b.x, b.y, coalesce(r.alpha, 0) alpha from (select *, unnest(range(y0, y1+1)) y from (select *, unnest(range(x0, x1+1)) x from boxes)) b left join raster r using (video_id, frame_index, x, y)),
+    faded as materialized (select video_id, frame_index, x, y, {_fade(18)} smooth from inside window w as (partition by video_id, x, y order by frame_index)), {_RADII}, {_SHOWN}, {_BLURS}, blurred as materialized (select * from box2 union all select * from box3 union all select * from box4 union all select * from box6)""")
