@@ -31,7 +31,9 @@ def folder(spark, tmp_path_factory):
     docs.to_parquet(path / "documents.parquet", index=False)
     labels.to_parquet(path / "labels.parquet", index=False)
     pd.DataFrame({"vec_id": range(130), "embedding": vectors, "score": 1, "rank": 2}).to_parquet(path / "embeddings.parquet", index=False)
+    items = ["the cat and dog", None, "THE house; w5 w6 n7 grumpf", "", "  ", "katze 😀 café mit", "the cat the", "zebra"]
+    pd.DataFrame({"item_id": [0, 1, 2, 3, 4, 5, 5, 7], "text": items, "rank": 9, "doc_id": 1}).to_parquet(path / "benchmark.parquet", index=False)
     empty = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "labels", "embeddings"):
+    for name in ("documents", "labels", "embeddings", "benchmark"):
         pd.read_parquet(path / f"{name}.parquet").head(0).to_parquet(empty / f"{name}.parquet", index=False)
     return path, empty

@@ -22,7 +22,7 @@ def test_empty_tables(spark, folder, name):
     import pyarrow as pa
     import pyarrow.parquet as pq
 
-    for table in ("documents", "labels", "embeddings"):
+    for table in ("documents", "labels", "embeddings", "benchmark"):
         pq.write_table(pq.read_table(folder[0] / f"{table}.parquet").slice(0, 0), folder[1] / f"{table}.parquet")
     assert isinstance(pq.read_schema(folder[1] / "documents.parquet"), pa.Schema)
     assert QUERIES[name](spark, str(folder[1])).count() == 0
@@ -103,7 +103,7 @@ def test_base_columns_of_secrets(spark, folder, docs):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, folder, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "labels", "benchmark"):
         con.execute(f"create view {table} as select * from '{folder[0]}/{table}.parquet'")
     # The one vector whose scores leave 64 bits takes no part here, and SQL cannot cast it.
     body = ORACLES[name].replace("from embeddings", "from (select * from embeddings where vec_id <> 52)")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes an Arrow batch may hold: texts can be long, and a worker keeps one batch at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: For UTF-8 bytes: A-Z to a-z, digits, a-z and all beyond ASCII as they are, the rest to spaces.
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -23,9 +25,15 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, one of our own, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, one process alone (a local master) gets a folder of its own; anywhere else
+    executors would each write to their own disk, so that is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="veilgrid-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

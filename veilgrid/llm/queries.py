@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrid.llm import bpe, jpeg_media, langid, line_dedup, mixing, ngram_join, quality, secrets, topk, toxicity
+from veilgrid.llm import bpe, filter_audit, jpeg_media, langid, lexical, license_scan, line_dedup, mixing, ngram_join, quality, secrets, topk, toxicity
 from veilgrid.llm.common import in_remainder, labelled_sample, read_table
 
 
@@ -83,6 +83,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "kept_lines", "deleted_lines", "deleted_runs")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read_table(spark, sf_dir, "documents"), [F.col("doc_id")], "doc_id bigint")
+    base = found.select("*", F.filter("found", lambda f: f["base"]).alias("places"))
+    starts = F.transform("places", lambda f: f["first_word"])
+    return base.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        license_scan.label_text(F.col("places")).alias("base_labels"), license_scan.label_text(F.col("found")).alias("labels"), license_scan.score(F.col("found")).alias("score"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -94,6 +112,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_license_scan": op12_license_scan,
+    "op13_lexical_search": op13_lexical_search,
 }
 #: What learns, samples or merges has no SQL; the others do.
 ORACLES: dict[str, str] = {
@@ -122,4 +143,23 @@ ORACLES: dict[str, str] = {
         scored as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1]*p[2])) as bigint) score from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
         ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) k from scored)
         select query_id, cast(k as int) as rank, vec_id, score from ranked where k <= 5""",
+    "op11_filter_audit": r"""with docs as materialized (select doc_id, coalesce(source, '') part, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+        told as materialized (select doc_id, part, [len(w) < 200, 100*len(list_distinct(w)) < 50*len(w), 100*(len(t)-len(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2*len(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by t), false)] fails from docs),
+        marks as (select doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels where doc_id is not null group by 1),
+        kinds as materialized (select part, fails, coalesce(good, false) good, coalesce(toxic, false) toxic, count(*) n from told left join marks using (doc_id) group by all),
+        letters as (select unnest(['A', 'B', 'C', 'D', 'E']) c),
+        orders as (select a.c || b.c || d.c || e.c || f.c o from letters a, letters b, letters d, letters e, letters f where len(list_distinct([a.c, b.c, d.c, e.c, f.c])) = 5),
+        runs as materialized (select part, o, s, strpos('ABCDE', o[s]) f, good, toxic, n, fails[strpos('ABCDE', o[s])] own, list_bool_or(list_transform(range(1, s), lambda i: fails[strpos('ABCDE', o[i])])) seen, len(list_filter(fails, lambda x: x)) many from kinds, orders, (select unnest([1, 2, 3, 4, 5]) s)),
+        counted as materialized (select part, o, s, f, sum(n) filter (not own and not coalesce(seen, false)) kept, sum(n) filter (own and not coalesce(seen, false)) removed, sum(n) filter (own and seen) redundant, sum(n) filter (own and many = 1) unique_fails, sum(n) filter (own and good and not coalesce(seen, false)) good_lost, sum(n) filter (own and toxic and not coalesce(seen, false)) toxic_lost from runs group by all)
+        select part, o filter_order, cast(s as int) step, cast(coalesce(kept, 0) as bigint) kept, cast(coalesce(removed, 0) as bigint) removed, cast(coalesce(redundant, 0) as bigint) redundant, cast(coalesce(unique_fails, 0) as bigint) unique_fails, cast(coalesce(good_lost, 0) as bigint) good_lost, cast(coalesce(toxic_lost, 0) as bigint) toxic_lost, cast(coalesce(sum(removed) over (partition by part, f), 0) as bigint) shapley from counted""",
+    "op13_lexical_search": r"""with terms as materialized (select row_number() over () r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w from documents where text is not null),
+        asked as materialized (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark where item_id is not null),
+        whole as (select count(*) n_all, sum(len(w)) l_all from terms where len(w) > 0),
+        spread as (select r, doc_id, len(w) n, unnest(w) term from terms),
+        held as materialized (select r, doc_id, n, term, count(*) tf from spread where term in (select term from asked) group by all),
+        weighed as materialized (select term, cast(floor(1000*ln((2*n_all+2)::double/(2*count(*)+1)::double)) as bigint) w from held, whole group by term, n_all),
+        gains as (select item_id, r, doc_id, w*((1000000000*tf)//(1000*tf+20*(100-50+cast((50*n*n_all)//l_all as bigint)))) g from held join weighed using (term) join asked using (term), whole),
+        scored as (select item_id, r, doc_id, cast(sum(g) as bigint) score from gains group by all having sum(g) > 0),
+        ranked as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last) k from scored)
+        select item_id, cast(k as int) as rank, doc_id, score from ranked where k <= 50""",
 }
