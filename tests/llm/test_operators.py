@@ -7,6 +7,7 @@ import math
 import re
 import string
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -284,6 +285,47 @@ def test_topk_is_exact(spark):
     assert topk.search(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def plain_topk(rows, k=5):
+    """(query, rank) to (id, score) of all finite vectors, in Python's integers."""
+    whole = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows]
+    out = {}
+    for q, a in whole:
+        if q % 50 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole if i != q and len(a) == len(b))
+            out |= {(q, n): (i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(scores[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("vectors", [
+    [(0, [1.0, 0.0]), (1, [5e6, 0.0]), (2, [2.0, 0.0]), (3, [3e6, 0.0])],
+    [(0, [1e300, -1.7e308]), (1, [1.0, 1.0]), (2, [-2.0, 1e-300]), (50, [0.0, -1.0]), (51, [-1e300, 1.7e308]), (4, [1.0, 1.0])],
+    [(0, [3.7e9, 1.0]), (1, [3.7e9, -1.0]), (2, [3.7e9, -1.0]), (3, [-3.7e9, 1.0]), (100, [-1.0, 0.003])],
+])
+def test_topk_takes_vectors_of_any_size(spark, vectors):
+    table = spark.createDataFrame([*vectors, (7, [math.inf, 0.0]), (8, [0.0, -math.inf])], "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(table, F.col("vec_id") % 50 == 0).collect()}
+    assert got == plain_topk(vectors)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e8, 1e40])
+def test_topk_over_several_blocks_and_magnitudes(spark, scale):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(600):
+        length = 3 if k % 7 == 0 else 6
+        rows.append((k, (rng.integers(-3, 4, length) * scale * (1000.0 if k % 40 == 1 else 1.0) + (k % 2) / 256).tolist()))
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(table, F.col("vec_id") % 50 == 0, block=64).collect()}
+    assert got == plain_topk(rows)
+
+
+def test_topk_counts_repeated_rows(spark):
+    rows = [(0, [1.0, 1.0]), *[(1, [2.0, 2.0])] * 3, (2, [3.0, 0.0]), *[(3, [1.0, 1.0])] * 9, (0, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = topk.search(table, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 262144), (2, 1, 262144), (3, 1, 262144), (4, 2, 196608), (5, 3, 131072)]
+
+
 def test_mixing_comes_near_its_targets(spark, docs, empty):
     rng = np.random.default_rng(4)
     rows = [(k, " ".join(["w"] * int(n)), f"s{k % 3}") for k, n in enumerate(rng.integers(1, 60, 900))]

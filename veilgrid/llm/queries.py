@@ -138,11 +138,11 @@ ORACLES: dict[str, str] = {
         done as (select doc_id, string_agg(line, chr(10) order by k) filter (not dead) as text, count(*) filter (n > 0 and not dead) kept, count(*) filter (n > 0 and dead) gone from marked group by 1)
         select d.doc_id, case when gone > 0 then coalesce(done.text, '') else d.text end as text, cast(coalesce(kept, 0) as int) kept_lines, cast(coalesce(gone, 0) as int) deleted_lines, coalesce(runs, '') deleted_runs
         from documents d left join done using (doc_id) left join stretches using (doc_id)""",
-    "op7_topk": """with whole as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(256*cast(x as double)) as bigint)) v from embeddings
+    "op7_topk": """with whole as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(256*cast(x as double)) as hugeint)) v from embeddings
             where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-        scored as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1]*p[2])) as bigint) score from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
+        scored as (select q.vec_id query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1]*p[2])), 0) score from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
         ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) k from scored)
-        select query_id, cast(k as int) as rank, vec_id, score from ranked where k <= 5""",
+        select query_id, cast(k as int) as rank, vec_id, cast(greatest(-9223372036854775808, least(9223372036854775807, score)) as bigint) score from ranked where k <= 5""",
     "op11_filter_audit": r"""with docs as materialized (select doc_id, coalesce(source, '') part, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
         told as materialized (select doc_id, part, [len(w) < 200, 100*len(list_distinct(w)) < 50*len(w), 100*(len(t)-len(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2*len(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by t), false)] fails from docs),
         marks as (select doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels where doc_id is not null group by 1),
