@@ -208,6 +208,23 @@ def thresholds(counts: dict[tuple[int, int], int], false_share: float) -> list[f
     return out
 
 
+def crossed(spans: Column, s: Column) -> Column:
+    """Whether ``s`` has a character in common with one of the spans, which follow each other without overlaps.
+
+    The last of them that starts before the end of ``s`` is found by halving; those before it end earlier.
+    """
+
+    def halve(range_: Column, _: Column) -> Column:
+        middle = ((range_["low"] + range_["high"]) / 2).cast("int")
+        before = F.get(spans, middle)["start"] < s["end"]
+        go = range_["low"] < range_["high"]
+        return F.struct(F.when(go & before, middle + 1).otherwise(range_["low"]).alias("low"), F.when(go & ~before, middle).otherwise(range_["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    count = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), halve, lambda r: r["low"])
+    return F.coalesce(F.get(spans, count - 1)["end"] > s["start"], F.lit(False))
+
+
 def by_start(spans: Column) -> Column:
     return F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
 
@@ -226,10 +243,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_sh
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("id__"), *pieces(text)).select("id__", *map(located, KINDS))
     assign = F.filter("assign", lambda s: F.length(F.regexp_extract(s["matched"], ASSIGN, 2)) >= LEAST_ASSIGNED)
-    base = F.transform(by_start(F.concat(assign, "access", "hex")), lambda s: F.struct(*bare(s)))
-    free = F.filter("random", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    base = F.transform(by_start(F.concat("assigned", "access", "hex")), lambda s: F.struct(*bare(s)))
+    free = F.filter("random", lambda s: ~(crossed(F.col("assigned"), s) | crossed(F.col("access"), s) | crossed(F.col("hex"), s)))
     judged = F.transform("free", lambda s: F.struct(*bare(s), random_chance(s["matched"]).alias("p"), length_class(F.length(s["matched"])).alias("length")))
-    kept = rows.select("id__", base.alias("base"), "random").select("id__", "base", free.alias("free")).select("id__", "base", judged.alias("runs"))
+    kept = rows.select("id__", assign.alias("assigned"), "access", "hex", "random").select("id__", base.alias("base"), free.alias("free")).select("id__", "base", judged.alias("runs"))
     table = materialize(kept, "secrets")
     level = sum(((F.col("run.p") >= t).cast("int") for t in GRID), F.lit(0))
     seen = table.select(F.explode("runs").alias("run")).groupBy(F.col("run.length").alias("length"), level.alias("level")).count().collect()
