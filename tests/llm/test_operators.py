@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import string
+import time
 import zlib
 from fractions import Fraction
 
@@ -340,6 +342,23 @@ def test_mixing_comes_near_its_targets(spark, docs, empty):
     assert mixing.mix(empty, ["doc_id"]).count() == 0
 
 
+def test_repeated_rows_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 60)
+    monkeypatch.setattr(mixing, "TOGETHER", 64)
+    rows = [(5, "w " * 7, "s0")] * 3000 + [(k, "w " * (k % 9 + 1), "s1") for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(6)
+    numbered = mixing.numbered(table.select("doc_id", "source", F.lit(7).alias("size")))
+    assert numbered.where("doc_id = 5").select("repeat").distinct().count() == 3000
+    blocks = numbered.where("doc_id = 5").select(F.pmod(F.xxhash64(F.xxhash64("doc_id", "size", F.lit(1), "repeat"), F.lit(0)), F.lit(50)).alias("b")).groupBy("b").count().toPandas()
+    assert len(blocks) == 50 and blocks["count"].max() < 120
+    got = mixing.mix(table, ["doc_id"]).toPandas()
+    assert len(got) == len(rows) and (got["taken"] <= 3 * got["size"]).all()
+    by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((by["taken"] - by["target"]).abs() <= 4).all()
+    again = mixing.mix(table.repartition(3), ["doc_id"]).toPandas()
+    assert sorted(got[["doc_id", "taken"]].values.tolist()) == sorted(again[["doc_id", "taken"]].values.tolist())
+
+
 def test_secrets_find_the_patterns(docs, empty):
     got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
     kinds = [(secrets.KINDS[s["kind"]], TEXTS[8][s["start"] : s["end"]]) for s in got[8]["base"]]
@@ -424,6 +443,33 @@ def test_base_spans_equal_the_expressions(spark):
     assert len(got[-1]) == 1400
 
 
+def test_crossed_spans_equal_a_search_through_all(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(60):
+        def spans(n):
+            cuts = np.sort(rng.choice(80, 2 * n, replace=False)).tolist() if n else []
+            return [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        rows.append((k, spans(k % 9), spans(12)))
+    kind = "array<struct<start:int,end:int>>"
+    table = spark.createDataFrame(rows, f"k int, spans {kind}, runs {kind}")
+    got = table.select("k", F.transform("runs", lambda s: secrets.crossed(F.col("spans"), s)).alias("hit")).collect()
+    for r in got:
+        _, spans, runs = rows[r["k"]]
+        assert r["hit"] == [any(a < e and s < b for a, b in spans) for s, e in runs]
+
+
+def test_secrets_of_a_text_with_many_matches(spark):
+    rng = random.Random(1)
+    letters = string.ascii_letters + string.digits
+    text = " ".join(f"password=hunter{k:07d} {''.join(rng.choices(letters, k=24))}" for k in range(16_000))
+    began = time.time()
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()[0]
+    assert time.time() - began < 30  # about 4 s on a machine that does nothing else; 43 s where each run looks at all spans
+    assert [(s["start"], s["end"]) for s in row["base"]] == [m.span() for m in re.finditer(r"password=\w+", text)]
+    assert len(row["found"]) > 31_000
+
+
 def test_language_by_compression(spark, empty):
     words = {"en": "the cat and dog with house over there", "de": "der hund und katze mit haus über dort", "fr": "le chien et chat avec maison sur là"}
     rng = np.random.default_rng(3)

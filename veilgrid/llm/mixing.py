@@ -12,7 +12,8 @@ after documents of the block made good for what they can. Documents go from larg
 small, so what is left to land is small.
 
 Cases: a null text has size 0, and documents of size 0 are never taken; a null source is
-a source of its own, the last in order; repeated rows are documents of their own; an
+a source of its own, the last in order; repeated rows are documents of their own, which are counted,
+then numbered, and dealt to blocks by their numbers; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -27,6 +28,8 @@ from veilgrid.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 2000
+#: Repeated rows that are numbered together.
+TOGETHER = 4096
 LANDED = 1e-9
 
 
@@ -118,6 +121,18 @@ def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
     return best
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``repeat``: 0, 1, ... for rows that are alike.
+
+    They are counted where they lie; the counts of many are cut before the rows are made again, so no task makes more than ``TOGETHER`` of a kind.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("rows__"))
+    parts = counted.withColumn("part__", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows__") / TOGETHER).cast("long") - 1)))
+    apart = parts.repartition(*rows.columns, "part__")
+    first = F.col("part__") * TOGETHER
+    return apart.withColumn("repeat", F.explode(F.sequence(first, F.least(first + TOGETHER, F.col("rows__")) - 1))).drop("rows__", "part__")
+
+
 def mix(df: DataFrame, keys: list[str], source_col: str = "source", size: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 1) -> DataFrame:
     """Choose how often each row is taken.
 
@@ -127,7 +142,7 @@ def mix(df: DataFrame, keys: list[str], source_col: str = "source", size: Column
     """
     size = word_count(F.col("text")) if size is None else size
     names = [f"key{k}" for k in range(len(keys))]
-    sizes = materialize(df.select(*(F.col(c).alias(n) for c, n in zip(keys, names, strict=True)), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    sizes = materialize(numbered(df.select(*(F.col(c).alias(n) for c, n in zip(keys, names, strict=True)), F.col(source_col).alias("source"), size.alias("size"))), "sizes")
     targets = source_targets(sizes, weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
@@ -135,7 +150,7 @@ def mix(df: DataFrame, keys: list[str], source_col: str = "source", size: Column
         .withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
         .withColumn("base", F.floor(F.col("rate") + LANDED).cast("int"))
         .withColumn("chance", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
-        .withColumn("mark", F.xxhash64(*names, "size", F.lit(seed)))
+        .withColumn("mark", F.xxhash64(*names, "size", F.lit(seed), "repeat"))
     )
     schema = rows.schema
 
