@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilgrid.functions import views as V
-from veilgrid.operators import detect, export, issues, lookups, masks, pixels, temporal
+from veilgrid.operators import detect, export, issues, lookups, masks, pixels, rasters, temporal
 from veilgrid.plans.catalog import _ALL, _FIXED, _FOLD, _REPAIRED, DET, H, ORACLES, QUERIES, W, fixed_frames, query, sql
 from veilgrid.sources import tables
 
@@ -532,9 +532,8 @@ _RASTER = """raster as materialized (select video_id, frame_index, x, y, max(cas
 @query
 def frame_masks(spark, d):
     """The mask of every frame with faces: its pixels, the sum of alpha, and its bounds."""
-    mask = pixels.mask_raster(proxy_faces(spark, d), PW, PH)
-    sums = mask.groupBy("video_id", "frame_index").agg(F.count("*").alias("lit"), F.sum("alpha").alias("alpha"))
-    return sums.join(pixels.mask_bounds(mask), ["video_id", "frame_index"])
+    made = rasters.masks(proxy_faces(spark, d), F.lit(PW), F.lit(PH))
+    return made.select("video_id", "frame_index", "lit", F.col("sum").alias("alpha"), "x0", "y0", "x1", "y1")
 
 
 sql("frame_masks", "select video_id, frame_index, count(*) lit, cast(sum(alpha) as bigint) alpha, min(x) x0, min(y) y0, max(x)+1 x1, max(y)+1 y1 from raster group by all", *DET, recursive=_RASTER)
@@ -543,8 +542,7 @@ sql("frame_masks", "select video_id, frame_index, count(*) lit, cast(sum(alpha)
 @query
 def frame_fades(spark, d):
     """The masks of every video's frames with what is left of those before: pixels still lit, and the sum of alpha."""
-    faded = pixels.faded_masks(pixels.mask_raster(proxy_faces(spark, d), PW, PH))
-    return faded.groupBy("video_id", "frame_index").agg(F.sum((F.col("smooth") > 0).cast("bigint")).alias("lit"), F.sum("smooth").alias("alpha"))
+    return rasters.fades(proxy_faces(spark, d), F.lit(PW), F.lit(PH))
 
 
 def _fade(steps: int) -> str:
@@ -562,8 +560,7 @@ sql("frame_fades", f"select video_id, frame_index, cast(count(*) filter (smooth
 @query
 def frame_radii(spark, d):
     """The blur radii of every frame's pixels, summed by frame."""
-    radii = pixels.radius_map(proxy_faces(spark, d), PW, PH, 24)
-    return radii.groupBy("video_id", "frame_index").agg(F.count("*").alias("covered"), F.sum("radius").alias("radius"), F.max("radius").alias("most"))
+    return rasters.radii(proxy_faces(spark, d), F.lit(PW), F.lit(PH), 24).drop("radii")
 
 
 sql("frame_radii", """select video_id, frame_index, count(*) covered, cast(sum(r) as bigint) radius, max(r) most from (select video_id, frame_index, px, py, max(r) r from (select *, unnest(range(y0, y1)) py from (select *, unnest(range(x0, x1)) px from (select video_id, frame_index,
@@ -711,8 +708,8 @@ sql("stub_detection", "select video_id, frame_index, cast(frame_index*7%1000 as
 @query
 def masked_export(spark, d):
     """The test picture in every frame, faces blurred and blended: changed pixels and sums of their channels by frame."""
-    done = pixels.masked_export(tables.pattern(spark, PW, PH), proxy_faces(spark, d), PW, PH, 6)
-    return done.groupBy("video_id", "frame_index").agg(F.count("*").alias("changed"), *(F.sum(c).alias(c) for c in "bgr"))
+    done = rasters.export(proxy_faces(spark, d), F.lit(PW), F.lit(PH), 6, rasters.pattern_reader(PW, PH, moving=False), with_pixels=False)
+    return done.where("changed > 0").select("video_id", "frame_index", "changed", *"bgr")
 
 
 _RADII = """radii as materialized (select video_id, frame_index, px x, py y, max(rd) rd from (select *, unnest(range(y0, y1)) py from (select *, unnest(range(x0, x1)) px from (select video_id, frame_index,
@@ -725,3 +722,12 @@ _BLURS = ", ".join(f"""lines{k} as (select x, y, sum(b) over w b, sum(g) over w
 sql("masked_export", "select video_id, frame_index, count(*) changed, " + ", ".join(f"cast(sum(case smooth when 255 then n{c} else (n{c}*smooth+{c}*(255-smooth)+127)//255 end) as bigint) {c}" for c in "bgr") + " from (select f.*, coalesce(q.rd, 6) rd from faded f left join radii q using (video_id, frame_index, x, y) where smooth > 0) z join blurred using (x, y, rd) join shown using (x, y) group by all", *DET, recursive=_RASTER + f""",
     boxes as (select video_id, frame_index, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from raster group by all), inside as materialized (select b.video_id, b.frame_index, b.x, b.y, coalesce(r.alpha, 0) alpha from (select *, unnest(range(y0, y1+1)) y from (select *, unnest(range(x0, x1+1)) x from boxes)) b left join raster r using (video_id, frame_index, x, y)),
     faded as materialized (select video_id, frame_index, x, y, {_fade(18)} smooth from inside window w as (partition by video_id, x, y order by frame_index)), {_RADII}, {_SHOWN}, {_BLURS}, blurred as materialized (select * from box2 union all select * from box3 union all select * from box4 union all select * from box6)""")
+
+
+@query
+def masked_export_full(spark, d):
+    """Every frame with faces at 1280 x 720, a moving test picture: the box that changes, changed pixels, sums of the four channels.
+
+    No SQL: a row a pixel is too much for it at this size. ``masked_export`` is the same at a sixteenth, with SQL.
+    """
+    return rasters.export(tables.detections(spark, d), F.lit(W), F.lit(H), 24, rasters.pattern_reader(W, H), with_pixels=False)
