@@ -207,11 +207,11 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 @functools.cache
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string()}
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
     return pa.schema([pa.field(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
 
 
-MASK_SCHEMA = "video_id bigint, frame_index bigint, x0 int, y0 int, x1 int, y1 int, lit bigint, sum bigint, alpha binary"
+MASK_SCHEMA = "x0 int, y0 int, x1 int, y1 int, lit bigint, sum bigint, alpha binary"
 RADII_SCHEMA = "video_id bigint, frame_index bigint, covered bigint, radius bigint, most int, radii binary"
 STEP_SCHEMA = "video_id bigint, block bigint, strip int, value binary, steps binary"
 CARRY_SCHEMA = "video_id bigint, block bigint, strip int, value binary"
@@ -323,6 +323,18 @@ def over_faded(faces: DataFrame, width: Column, height: Column, worker: Worker,
     return ordered.mapInArrow(run, full)
 
 
+def over_frames_with_faces(faces: DataFrame, width: Column, height: Column, worker: Worker, schema: str) -> DataFrame:
+    """Like ``over_faded``, with the mask of the frame alone in place of the faded one: frames need no order here."""
+    full = f"video_id bigint, frame_index bigint, {schema}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masked = ((v, f, w, h, boxes, *face_mask(boxes, w, h)) for v, _, f, w, h, boxes in _frames(batch))
+            yield _batch([(row[0], row[1], *worker(*row)) for row in masked if row[6].size], full)
+
+    return by_block(faces, width, height).mapInArrow(run, full)
+
+
 def faded_masks(faces: DataFrame, width: Column, height: Column, block: int = BLOCK) -> DataFrame:
     """``video_id, frame_index, x0, y0, x1, y1, alpha, smooth``: each mask within its bounds, as it is and as it fades, a byte a pixel."""
 
@@ -335,12 +347,10 @@ def faded_masks(faces: DataFrame, width: Column, height: Column, block: int = BL
 def masks(faces: DataFrame, width: Column, height: Column) -> DataFrame:
     """The mask of every frame with faces: its bounds, ``lit`` pixels, the ``sum`` of alpha, and ``alpha`` within the bounds, a byte a pixel."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [(v, f, *box, int((a > 0).sum()), int(a.sum(dtype=np.int64)), a.tobytes()) for v, _, f, w, h, faces in _frames(batch) for box, a in [face_mask(faces, w, h)] if a.size]
-            yield _batch(made, MASK_SCHEMA)
+    def worker(video: int, frame: int, wide: int, high: int, boxes: np.ndarray, box: Box, alpha: np.ndarray) -> tuple:
+        return (*box, int((alpha > 0).sum()), int(alpha.sum(dtype=np.int64)), alpha.tobytes())
 
-    return by_block(faces, width, height).mapInArrow(run, MASK_SCHEMA)
+    return over_frames_with_faces(faces, width, height, worker, MASK_SCHEMA)
 
 
 def fades(faces: DataFrame, width: Column, height: Column, block: int = BLOCK) -> DataFrame:

@@ -109,18 +109,6 @@ def min_conf_per_frame(spark, d):
 sql("min_conf_per_frame", "select video_id, frame_index, min(conf) min_conf, count(*) faces from detections group by all", *DET)
 
 
-@query
-def roi_bbox(spark, d):
-    hull = tables.detections(spark, d).groupBy("video_id", "frame_index").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
-    pad = lambda a, b: F.greatest(F.greatest(F.lit(1.0), F.col(b) - F.col(a)) * 0.35, F.lit(32.0))
-    grown = hull.select("video_id", "frame_index", F.greatest(F.lit(0.0), F.col("x0") - pad("x0", "x1")).alias("x0"), F.greatest(F.lit(0.0), F.col("y0") - pad("y0", "y1")).alias("y0"), F.least(F.lit(float(W)), F.col("x1") + pad("x0", "x1")).alias("x1"), F.least(F.lit(float(H)), F.col("y1") + pad("y0", "y1")).alias("y1"))
-    return grown.select("video_id", "frame_index", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
-
-
-sql("roi_bbox", """select video_id, frame_index, a x, b y, c-a w, e-b h from (select video_id, frame_index, greatest(0, x0-greatest(greatest(1,x1-x0)*0.35,32)) a, greatest(0, y0-greatest(greatest(1,y1-y0)*0.35,32)) b,
-    least(1280, x1+greatest(greatest(1,x1-x0)*0.35,32)) c, least(720, y1+greatest(greatest(1,y1-y0)*0.35,32)) e from (select video_id, frame_index, min(x) x0, min(y) y0, max(x+w) x1, max(y+h) y1 from detections group by all))""".replace("*0.35,32)", "*cast(0.35 as double),32.0::double)"), *DET)
-
-
 @query
 def gap_fill(spark, d):
     return temporal.gap_fill(all_frames(spark, d)).where("filled").select("video_id", "frame_index", F.size("faces").cast("bigint").alias("faces"))
@@ -268,109 +256,6 @@ def padded_rect(spark, d):
 sql("padded_rect", """select video_id, frame_index, face_idx, a px, b py, c-a pw, e-b ph from (select *, greatest(0.0::double, x-greatest(6.0::double, w*0.15::double)) a, greatest(0.0::double, y-greatest(6.0::double, h*0.25::double)) b,
     least(1280.0::double, x+w+greatest(6.0::double, w*0.15::double)) c, least(720.0::double, y+h+greatest(6.0::double, h*0.25::double)) e from detections)""", *DET)
 
-_MASK = """mask as (select cast(x as int) x, cast(y as int) y, max(case when d2<=0.65*0.65::double then 255 else cast(round_even((1.0-t*t*(3.0-2.0*t))*255.0,0) as int) end) alpha from (select *, (d2-0.65*0.65::double)/(1.0-0.65*0.65::double) t from
-   (select p.x, p.y, pow(p.x-(x0+x1-1)/2.0,2)/pow(greatest(1.0,(x1-x0)/2.0),2)+pow(p.y-(y0+y1-1)/2.0,2)/pow(greatest(1.0,(y1-y0)/2.0),2) d2 from pattern p join
-    (select greatest(0,floor(x-greatest(6,w*0.15)))::int x0, greatest(0,floor(y-greatest(6,h*0.25)))::int y0, least(120,ceil(x+w+greatest(6,w*0.15)))::int x1, least(90,ceil(y+h+greatest(6,h*0.25)))::int y1 from squares) f
-    on p.x>=x0 and p.x<x1 and p.y>=y0 and p.y<y1) where d2<=1.0) group by all)"""
-
-
-def pixel_sql(name: str, body: str, extra: str = "") -> None:
-    sql(name, f"select 0 from {name}", "pattern", "squares")
-    ORACLES[name] = ORACLES[name].replace(f") select 0 from {name}", f"), {_MASK}{extra} {body}")
-
-
-@query
-def mask_raster(spark, d):
-    return pixels.mask_raster(tables.pattern_faces(spark), 120, 90)
-
-
-pixel_sql("mask_raster", "select x, y, alpha from mask where alpha > 0")
-
-
-@query
-def mask_bbox(spark, d):
-    return pixels.mask_bounds(pixels.mask_raster(tables.pattern_faces(spark), 120, 90))
-
-
-pixel_sql("mask_bbox", "select min(x) x0, min(y) y0, max(x)+1 x1, max(y)+1 y1 from mask where alpha>0")
-
-
-@query
-def radius_map(spark, d):
-    return pixels.radius_map(tables.pattern_faces(spark), 120, 90, 24)
-
-
-pixel_sql("radius_map", """select p.x, p.y, max(cast(greatest(1, least(24, round_even(24*case when w*h*100.0/10800<=1 then 0.4 when w*h*100.0/10800<=3 then 0.55 when w*h*100.0/10800<=5 then 0.7 else 1.0 end::double,0))) as int)) radius
-    from pattern p join squares s on p.x >= floor(greatest(0,s.x-greatest(6,w*0.15))) and p.x < ceil(least(120,s.x+w+greatest(6,w*0.15))) and p.y >= floor(greatest(0,s.y-greatest(6,h*0.25))) and p.y < ceil(least(90,s.y+h+greatest(6,h*0.25))) group by p.x, p.y""")
-
-_BOX = """, lines as (select x, y, sum(b) over w b, sum(g) over w g, sum(r) over w r, count(*) over w n from pattern window w as (partition by y order by x range between 6 preceding and 6 following)),
-    box as (select x, y, cast(sum(b) over v//sum(n) over v as int) b, cast(sum(g) over v//sum(n) over v as int) g, cast(sum(r) over v//sum(n) over v as int) r from lines window v as (partition by x order by y range between 6 preceding and 6 following))"""
-
-
-@query
-def box_blur_sat(spark, d):
-    return pixels.box_mean(tables.pattern(spark), 6)
-
-
-pixel_sql("box_blur_sat", "select * from box", _BOX)
-
-
-@query
-def box_blur_separable(spark, d):
-    return pixels.box_separable(tables.pattern(spark), 6, 120, 90)
-
-
-pixel_sql("box_blur_separable", "select x, y, b, g, r from down", """, off as (select unnest(range(-6,7)) o), across as (select a.x, a.y, cast(sum(p.b)//13 as int) b, cast(sum(p.g)//13 as int) g, cast(sum(p.r)//13 as int) r from pattern a cross join off
-    join pattern p on p.y=a.y and p.x=greatest(0,least(119,a.x+o)) group by a.x, a.y), down as (select a.x, a.y, cast(sum(p.b)//13 as int) b, cast(sum(p.g)//13 as int) g, cast(sum(p.r)//13 as int) r from across a cross join off
-    join across p on p.x=a.x and p.y=greatest(0,least(89,a.y+o)) group by a.x, a.y)""")
-
-
-@query
-def alpha_blend(spark, d):
-    image = tables.pattern(spark)
-    return pixels.masked_blend(image, pixels.box_mean(image, 6), pixels.mask_raster(tables.pattern_faces(spark), 120, 90))
-
-
-pixel_sql("alpha_blend", "select p.x, p.y, " + ", ".join(f"cast((n.{c}*coalesce(alpha,0)+p.{c}*(255-coalesce(alpha,0))+127)//255 as int) {c}" for c in "bgr") + " from pattern p join box n using(x,y) left join mask using(x,y)", _BOX)
-
-
-@query
-def region_stats(spark, d):
-    return pixels.region_stats(tables.pattern(spark), 20, 10, 99, 79)
-
-
-pixel_sql("region_stats", """select samples, cast(skin as bigint) skin, edges, edge_samples, round(variance,6) variance, samples>=20 and skin/samples>=0.015 and edges/edge_samples>=0.02 and variance>=200 passed from
-    (select count(*) samples, sum(sk) skin, var_samp(l) variance, count(*) filter (abs(l-rt)>20)+count(*) filter (abs(l-dn)>20) edges, count(rt)+count(dn) edge_samples from (select *, lead(l) over (partition by y order by x) rt, lead(l) over (partition by x order by y) dn from
-    (select x, y, (77*r+150*g+29*b)>>8 l, cast(128+floor((-43*r-85*g+128*b)/256.0) between 77 and 127 and 128+floor((128*r-107*g-21*b)/256.0) between 133 and 173 as int) sk from pattern where x between 20 and 99 and y between 10 and 79 and (x-20)%4=0 and (y-10)%4=0)))""")
-
-
-@query
-def downscale_nearest(spark, d):
-    return pixels.downscale_nearest(tables.pattern(spark), 0.4, 120, 90)
-
-
-pixel_sql("downscale_nearest", "select cast(tx as int) x, cast(ty as int) y, b, g, r from (select unnest(range(48)) tx) a cross join (select unnest(range(36)) ty) c join pattern p on p.x=trunc(tx*(1/0.4::double)) and p.y=trunc(ty*(1/0.4::double))")
-
-
-@query
-def mask_decay(spark, d):
-    steps = spark.createDataFrame([(0, 1.0), (1, 0.5), (2, 0.0), (3, 0.25)], "seq int, share double")
-    mask = pixels.mask_raster(tables.pattern_faces(spark), 120, 90)
-    return pixels.mask_decay(mask.join(F.broadcast(steps)).select("x", "y", "seq", F.floor(F.col("alpha") * F.col("share")).cast("int").alias("alpha")))
-
-
-pixel_sql("mask_decay", "select x, y, seq, smooth from (select x, y, unnest([{'seq': 0, 'smooth': a}, {'seq': 1, 'smooth': b}, {'seq': 2, 'smooth': c}, {'seq': 3, 'smooth': e}], recursive := true) from (select *, greatest(alpha//4, c*3//4) e from (select *, b*3//4 c from (select *, greatest(alpha//2, a*3//4) b from (select *, alpha a from mask where alpha>0)))))")
-
-
-@query
-def brush_stroke(spark, d):
-    e = tables.events(spark, d).where("event_id < 400").select(F.col("event_id").alias("seq"), (F.col("event_id") * 7 % 130).cast("int").alias("cx"), (F.col("event_id") * 5 % 97).cast("int").alias("cy"), (2 + F.col("event_id") % 4).cast("int").alias("radius"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(255).alias("value"))
-    return pixels.brush(e, 120, 90)
-
-
-pixel_sql("brush_stroke", "select p.x, p.y, arg_max(case when event_id%3=0 then 0 else 255 end, event_id) as value from events join pattern p on pow(p.x-event_id*7%130,2)+pow(p.y-event_id*5%97,2)<=pow(2+event_id%4,2) where event_id<400 and event_id*7%130<120 and event_id*5%97<90 group by p.x, p.y")
-
-
 @query
 def brush_segments(spark, d):
     """Every event is a stroke on the mask of its video."""
@@ -424,16 +309,6 @@ def recents_top5(spark, d):
 sql("recents_top5", "select arg_max(path, seq) path, max(seq) seq from opens group by lower(path) order by 2 desc limit 5", "opens")
 
 
-@query
-def workspace_upsert(spark, d):
-    o = tables.opens(spark, d).withColumn("mode", F.when(F.col("seq") % 3 == 0, "Auto").otherwise("Manual"))
-    return state.upsert(o.where("seq % 2 = 0"), o.where("seq % 10 = 1"), ["path", "mode"])
-
-
-sql("workspace_upsert", "select * from o where seq%2=0 and not exists (select 1 from o n where n.seq%10=1 and lower(n.path)=lower(o.path) and n.mode=o.mode) union all select * from o where seq%10=1", "opens")
-ORACLES["workspace_upsert"] = ORACLES["workspace_upsert"].replace(") select * from o where", "), o as (select *, case when seq%3=0 then 'Auto' else 'Manual' end mode from opens) select * from o where", 1)
-
-
 @query
 def workspace_upsert_all(spark, d):
     """Opens before the middle of all seqs are the state, those from there on the changes."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from veilgrid.functions import views as V
-from veilgrid.operators import detect, export, issues, lookups, masks, pixels, rasters, temporal
+from veilgrid.operators import detect, export, issues, lookups, masks, pictures, rasters, temporal
 from veilgrid.plans.catalog import _ALL, _FIXED, _FOLD, _REPAIRED, DET, H, ORACLES, QUERIES, W, fixed_frames, query, sql
 from veilgrid.sources import tables
 
@@ -181,17 +182,6 @@ def faces_by_area(spark, d):
 sql("faces_by_area", "select video_id, frame_index, face_idx from detections where w*h >= 0.001*1280*720 and w/h between 0.5 and 2.0", *DET)
 
 
-@query
-def faces_by_stats(spark, d):
-    """Faces by area and statistics; three faces in four have statistics, one in three of these fails."""
-    det = tables.detections(spark, d)
-    stats = det.where("(frame_index + face_idx) % 4 > 0").select("video_id", "frame_index", "face_idx", (F.col("frame_index") % 3 > 0).alias("passed"))
-    return detect.filter_faces(det, stats, W, H).select("video_id", "frame_index", "face_idx")
-
-
-sql("faces_by_stats", "select video_id, frame_index, face_idx from detections where w*h >= 0.001*1280*720 and w/h between 0.5 and 2.0 and (conf >= cast(0.85 as float) or (frame_index+face_idx)%4=0 or frame_index%3>0)", *DET)
-
-
 @query
 def search_region(spark, d):
     """The search region of every frame: the box around its faces, or all of it."""
@@ -570,50 +560,99 @@ sql("frame_radii", """select video_id, frame_index, count(*) covered, cast(sum(r
 
 @query
 def frame_face_stats(spark, d):
-    """Statistics of every face on the test picture, at an eighth of the size."""
-    s = V.scale_rect(rect(), F.lit(0.125), F.lit(0.125))
-    faces = tables.detections(spark, d).select("video_id", "frame_index", "face_idx", *(s[c].alias(c) for c in "xywh"))
-    return pixels.face_stats(tables.pattern(spark, 160, 90), faces, 160, 90)
+    """Statistics of every face on its frame's own pixels: a scene that moves under the faces."""
+    stats = pictures.face_stats(tables.detections(spark, d), pictures.scene_reader(W, H))
+    return stats.withColumn("variance", F.round("variance", 6))
 
 
-sql("frame_face_stats", """select f.video_id, f.frame_index, f.face_idx, samples, skin, edges, variance, coalesce(samples>=20 and skin/samples>=0.015 and edges/greatest(1,es)>=0.02 and v>=200, false) passed from face f left join
-    (select video_id, frame_index, face_idx, count(*) samples, cast(sum(sk) as bigint) skin, cast(count(*) filter (abs(l-rt)>20)+count(*) filter (abs(l-dn)>20) as bigint) edges, count(rt)+count(dn) es, var_samp(l) v, round(var_samp(l), 6) variance from
-    (select *, lead(l) over (partition by video_id, frame_index, face_idx, y order by x) rt, lead(l) over (partition by video_id, frame_index, face_idx, x order by y) dn from
-    (select video_id, frame_index, face_idx, p.x, p.y, (77*r+150*g+29*b)>>8 l, cast(128+floor((-43*r-85*g+128*b)/256.0) between 77 and 127 and 128+floor((128*r-107*g-21*b)/256.0) between 133 and 173 as int) sk from
-    (select *, unnest(range(y0, y1+1, st)) y from (select *, unnest(range(x0, x1+1, st)) x from sized where x1>x0 and y1>y0)) q join shown p on p.x=q.x and p.y=q.y)) group by all) t using (video_id, frame_index, face_idx)""", *DET, recursive="""shown as materialized (select x, y, case when x%12=0 or y%12=0 then 140 when (x//6+y//6)%2=0 then 120 else 90 end b, case when x%12=0 or y%12=0 then 220 when (x//6+y//6)%2=0 then 190 else 140 end g,
-    case when x%12=0 or y%12=0 then 240 when (x//6+y//6)%2=0 then 210 else 160 end r from (select unnest(range(160)) x) a cross join (select unnest(range(90)) y) c),
-    face as materialized (select video_id, frame_index, face_idx, greatest(0,least(159,floor(x/8)))::int x0, greatest(0,least(89,floor(y/8)))::int y0, greatest(0,least(159,ceil(x/8+w/8)-1))::int x1, greatest(0,least(89,ceil(y/8+h/8)-1))::int y1 from detections),
-    sized as (select *, cast(least(4, greatest(1, floor(sqrt((x1-x0+1)*(y1-y0+1)/20.0::double)))) as int) st from face)""")
+_STATS = """face as materialized (select video_id, frame_index, face_idx, greatest(0,least(1279,floor(x)))::int x0, greatest(0,least(719,floor(y)))::int y0, greatest(0,least(1279,ceil(x+w)-1))::int x1, greatest(0,least(719,ceil(y+h)-1))::int y1 from detections),
+    sized as (select *, cast(least(4, greatest(1, floor(sqrt((x1-x0+1)*(y1-y0+1)/20.0::double)))) as int) st from face),
+    points as (select *, (x-(17*video_id+5*frame_index)%1280+1280)%1280 sx, (y-3*frame_index%720+720)%720 sy from (select *, unnest(range(y0, y1+1, st)) y from (select *, unnest(range(x0, x1+1, st)) x from sized where x1>x0 and y1>y0))),
+    shades as (select video_id, frame_index, face_idx, x, y, case when flat then 90 when grid then 140 when even then 120 else 90 end b, case when flat then 90 when grid then 220 when even then 190 else 140 end g, case when flat then 90 when grid then 240 when even then 210 else 160 end r
+        from (select *, (sx//200+sy//200)%3=0 flat, sx%12=0 or sy%12=0 grid, (sx//6+sy//6)%2=0 even from points)),
+    told as materialized (select video_id, frame_index, face_idx, count(*) samples, cast(sum(sk) as bigint) skin, cast(count(*) filter (abs(l-rt)>20)+count(*) filter (abs(l-dn)>20) as bigint) edges, count(rt)+count(dn) es, var_samp(l) v from
+        (select *, lead(l) over (partition by video_id, frame_index, face_idx, y order by x) rt, lead(l) over (partition by video_id, frame_index, face_idx, x order by y) dn from
+        (select *, (77*r+150*g+29*b)>>8 l, cast(128+floor((-43*r-85*g+128*b)/256.0) between 77 and 127 and 128+floor((128*r-107*g-21*b)/256.0) between 133 and 173 as int) sk from shades)) group by all),
+    stats as materialized (select f.video_id, f.frame_index, f.face_idx, samples, skin, edges, round(v, 6) variance, coalesce(samples>=20 and skin/samples>=0.015 and edges/greatest(1,es)>=0.02 and v>=200, false) passed from face f left join told using (video_id, frame_index, face_idx))"""
+sql("frame_face_stats", "select * from stats", *DET, recursive=_STATS)
 
 
 @query
-def downscale_bilinear(spark, d):
-    """The test picture at two fifths, as shares of 255."""
-    small = pixels.downscale_bilinear(tables.pattern(spark), 0.4, 120, 90)
-    return small.select("x", "y", *(F.round(c, 9).alias(c) for c in "bgr"))
+def faces_by_stats(spark, d):
+    """Faces that pass by area, aspect and the statistics of their frame's own pixels, or by their confidence."""
+    det = tables.detections(spark, d)
+    return detect.filter_faces(det, pictures.face_stats(det, pictures.scene_reader(W, H)), W, H).select("video_id", "frame_index", "face_idx")
+
+
+sql("faces_by_stats", "select video_id, frame_index, face_idx from detections join stats using (video_id, frame_index, face_idx) where w*h >= 0.001*1280*720 and w/h between 0.5 and 2.0 and (conf >= cast(0.85 as float) or passed)", *DET, recursive=_STATS)
+
+
+# Whole pictures of all frames, at a sixteenth of the size.
 
+_PICTURES = """pics as materialized (select i, j, x, y, case when grid then 140 when even then 120 else 90 end b, case when grid then 220 when even then 190 else 140 end g, case when grid then 240 when even then 210 else 160 end r from
+    (select *, px%12=0 or py%12=0 grid, (px//6+py//6)%2=0 even from (select *, (x-i+80)%80 px, (y-j+45)%45 py from (select unnest(range(80)) x) a cross join (select unnest(range(45)) y) c cross join (select unnest(range(12)) i) s cross join (select unnest(range(12)) j) t)))"""
+_BLURRED = """across as (select i, j, x, y, """ + ", ".join(f"sum({c}) over w + greatest(0, 6-x)*first({c}) over e + greatest(0, x-73)*last({c}) over e {c}" for c in "bgr") + """ from pics window w as (partition by i, j, y order by x range between 6 preceding and 6 following), e as (partition by i, j, y order by x rows between unbounded preceding and unbounded following)),
+    lines as (select i, j, x, y, b//13 b, g//13 g, r//13 r from across),
+    blurs as materialized (select i, j, x, y, """ + ", ".join(f"cast((sum({c}) over w + greatest(0, 6-y)*first({c}) over e + greatest(0, y-38)*last({c}) over e)//13 as int) {c}" for c in "bgr") + """ from lines window w as (partition by i, j, x order by y range between 6 preceding and 6 following), e as (partition by i, j, x order by y rows between unbounded preceding and unbounded following))"""
 
-sql("downscale_bilinear", "select tx x, ty y, " + ", ".join(f"round(sum({c}*wx*wy)/255.0::double, 9) {c}" for c in "bgr") + """ from (select tx, ty, case a when 0 then lx else least(119, lx+1) end x, case o when 0 then ly else least(89, ly+1) end y, case a when 0 then 1-(qx-lx) else qx-lx end wx, case o when 0 then 1-(qy-ly) else qy-ly end wy
-    from (select cast(tx as int) tx, cast(ty as int) ty, tx*(1/0.4::double) qx, ty*(1/0.4::double) qy, least(119, cast(floor(tx*(1/0.4::double)) as int)) lx, least(89, cast(floor(ty*(1/0.4::double)) as int)) ly from (select unnest(range(48)) tx) f cross join (select unnest(range(36)) ty) g)
-    cross join (select unnest([0,1]) a) h cross join (select unnest([0,1]) o) i) q join pattern p using (x, y) group by tx, ty""", "pattern")
+
+def small_reader():
+    return rasters.pattern_reader(PW, PH)
+
+
+def channel_sums(picture):
+    return tuple(int(v) for v in picture.reshape(-1, 4).sum(axis=0, dtype="int64")[:3])
 
 
 @query
-def example_gallery(spark, d):
-    """The test picture blurred around squares of four sizes, each in a picture of its own."""
-    each = tables.pattern_faces(spark).select(F.lit(0).alias("video_id"), F.col("face_idx").alias("frame_index"), "face_idx", "x", "y", "w", "h")
-    image = tables.pattern(spark)
-    shown = image.join(F.broadcast(each.select("video_id", "frame_index")))
-    blurred = pixels.box_mean(image, 6).join(F.broadcast(each.select("video_id", "frame_index")))
-    done = pixels.masked_blend(shown, blurred, pixels.mask_raster(each, 120, 90))
-    return done.groupBy("frame_index").agg(*(F.sum(c).alias(c) for c in "bgr"))
+def box_blur_separable(spark, d):
+    """Every frame blurred across, then down: sums of its channels."""
+    worker = lambda p: channel_sums(pictures.separable_blur(p, 6))
+    return pictures.over_frames(tables.frame_spine(spark, d), small_reader(), worker, "b bigint, g bigint, r bigint")
+
+
+sql("box_blur_separable", "select video_id, frame_index, b, g, r from spine join (select i, j, cast(sum(b) as bigint) b, cast(sum(g) as bigint) g, cast(sum(r) as bigint) r from blurs group by all) on i=(video_id+frame_index)%12 and j=frame_index%12", "video_meta", "spine", recursive=f"{_PICTURES}, {_BLURRED}")
+
+
+@query
+def alpha_blend(spark, d):
+    """The preview of every frame with faces, its blurred form blended by its mask: sums of its channels."""
+    reader = small_reader()
+
+    def worker(video, frame, wide, high, boxes, box, smooth):
+        picture, mask = reader(video, frame), np.zeros((high, wide), np.uint8)
+        (x0, y0, x1, y1), alpha = rasters.face_mask(boxes, wide, high)
+        mask[y0:y1, x0:x1] = alpha
+        return channel_sums(pictures.preview(picture, pictures.separable_blur(picture, 6), mask))
+
+    return rasters.over_frames_with_faces(proxy_faces(spark, d), F.lit(PW), F.lit(PH), worker, "b bigint, g bigint, r bigint")
+
+
+sql("alpha_blend", "select f.video_id, f.frame_index, " + ", ".join(f"cast(w.{c}+f.{c} as bigint) {c}" for c in "bgr") + " from (select video_id, frame_index, " + ", ".join(f"sum((n.{c}*alpha+p.{c}*(255-alpha)+127)//255-p.{c}) {c}" for c in "bgr") + """ from raster m join pics p on p.x=m.x and p.y=m.y and p.i=(video_id+frame_index)%12 and p.j=frame_index%12
+    join blurs n on n.x=m.x and n.y=m.y and n.i=p.i and n.j=p.j group by all) f join (select i, j, sum(b) b, sum(g) g, sum(r) r from pics group by all) w on w.i=(video_id+frame_index)%12 and w.j=frame_index%12""", *DET, recursive=f"{_RASTER}, {_PICTURES}, {_BLURRED}")
+
+
+@query
+def downscale_nearest(spark, d):
+    """Every frame at two fifths, the nearest pixels: sums of its planes of shares of 255."""
+    worker = lambda p: tuple(float(round(v, 2)) for v in pictures.nearest(p, 0.4).sum(axis=(1, 2), dtype=float))
+    return pictures.over_frames(tables.frame_spine(spark, d), small_reader(), worker, "b double, g double, r double")
+
+
+_SCALED = " from spine join small on i=(video_id+frame_index)%12 and j=frame_index%12"
+sql("downscale_nearest", f"select video_id, frame_index, b, g, r{_SCALED}", "video_meta", "spine", recursive=_PICTURES + ", small as (select i, j, " + ", ".join(f"round(sum({c})/255.0::double, 2) {c}" for c in "bgr") + " from (select unnest(range(32)) tx) a cross join (select unnest(range(18)) ty) c join pics on x=trunc(tx*(1/0.4::double)) and y=trunc(ty*(1/0.4::double)) group by all)")
+
+
+@query
+def downscale_bilinear(spark, d):
+    """Every frame at two fifths, four pixels mixed: sums of its planes of shares of 255."""
+    worker = lambda p: tuple(float(round(v, 2)) for v in pictures.bilinear(p, 0.4).sum(axis=(1, 2), dtype=float))
+    return pictures.over_frames(tables.frame_spine(spark, d), small_reader(), worker, "b double, g double, r double")
 
 
-_GALLERY = """lines as (select x, y, sum(b) over w b, sum(g) over w g, sum(r) over w r, count(*) over w n from pattern window w as (partition by y order by x range between 6 preceding and 6 following)),
-    box as materialized (select x, y, cast(sum(b) over v//sum(n) over v as int) b, cast(sum(g) over v//sum(n) over v as int) g, cast(sum(r) over v//sum(n) over v as int) r from lines window v as (partition by x order by y range between 6 preceding and 6 following)),
-    lit as (select face_idx, p.x, p.y, case when d2<=0.65*0.65::double then 255 else cast(round_even((1.0-t*t*(3.0-2.0*t))*255.0,0) as int) end alpha from (select *, (d2-0.65*0.65::double)/(1.0-0.65*0.65::double) t from (select face_idx, p.x, p.y, pow(p.x-(x0+x1-1)/2.0,2)/pow(greatest(1.0,(x1-x0)/2.0),2)+pow(p.y-(y0+y1-1)/2.0,2)/pow(greatest(1.0,(y1-y0)/2.0),2) d2 from pattern p join
-    (select face_idx, greatest(0,floor(x-greatest(6,w*0.15)))::int x0, greatest(0,floor(y-greatest(6,h*0.25)))::int y0, least(120,ceil(x+w+greatest(6,w*0.15)))::int x1, least(90,ceil(y+h+greatest(6,h*0.25)))::int y1 from squares) f on p.x>=x0 and p.x<x1 and p.y>=y0 and p.y<y1) p where d2<=1.0) p)"""
-sql("example_gallery", "select frame_index, " + ", ".join(f"cast(sum((n{c}*a+{c}*(255-a)+127)//255) as bigint) {c}" for c in "bgr") + " from (select f.face_idx frame_index, p.b, p.g, p.r, o.b nb, o.g ng, o.r nr, coalesce(l.alpha, 0) a from pattern p join box o using (x, y) cross join squares f left join lit l on l.face_idx=f.face_idx and l.x=p.x and l.y=p.y) group by all", "pattern", "squares", recursive=_GALLERY)
+sql("downscale_bilinear", f"select video_id, frame_index, b, g, r{_SCALED}", "video_meta", "spine", recursive=_PICTURES + ", small as (select i, j, " + ", ".join(f"round(sum({c}*wx*wy)/255.0::double, 2) {c}" for c in "bgr") + """ from (select case a when 0 then lx else least(79, lx+1) end x, case o when 0 then ly else least(44, ly+1) end y, case a when 0 then 1-(qx-lx) else qx-lx end wx, case o when 0 then 1-(qy-ly) else qy-ly end wy
+    from (select tx*(1/0.4::double) qx, ty*(1/0.4::double) qy, least(79, cast(floor(tx*(1/0.4::double)) as int)) lx, least(44, cast(floor(ty*(1/0.4::double)) as int)) ly from (select unnest(range(32)) tx) f cross join (select unnest(range(18)) ty) g)
+    cross join (select unnest([0,1]) a) h cross join (select unnest([0,1]) o) k) q join pics p using (x, y) group by all)""")
 
 
 # Single frames, logs and state documents.
