@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -393,6 +394,16 @@ def export(faces: DataFrame, width: Column, height: Column, base: int, reader: R
     return over_faded(faces, width, height, worker, schema + (", pixels binary" if with_pixels else ""), block)
 
 
+def byte_sum(column: Column) -> Column:
+    """The sum of the bytes of a binary column; null for null."""
+
+    @F.pandas_udf("bigint")
+    def total(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: int(np.frombuffer(v, np.uint8).sum(dtype=np.int64)), na_action="ignore")
+
+    return total(column)
+
+
 @functools.cache
 def pattern(width: int, height: int) -> np.ndarray:
     """The checkered test picture, opaque."""

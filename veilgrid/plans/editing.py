@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilgrid.functions import views as V
 from veilgrid.operators import detect, export, issues, lookups, masks, pictures, rasters, temporal
 from veilgrid.plans.catalog import _ALL, _FIXED, _FOLD, _REPAIRED, DET, H, ORACLES, QUERIES, W, fixed_frames, query, sql
-from veilgrid.sources import tables
+from veilgrid.sources import frames, shared, tables, workspaces
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -735,6 +735,43 @@ def opened_texts(spark, d):
 sql("opened_texts", "select event_id, 'Last opened: ' || strftime(ts, '%Y-%m-%d %H:%M') opened from events")
 
 
+@query
+def workspace_masks(spark, d):
+    """Every frame's mask saved as a picture of its video's workspace, with the state document, and both read back: masks and their sums."""
+    made = rasters.over_frames_with_faces(proxy_faces(spark, d), F.lit(PW), F.lit(PH), whole_mask, "alpha binary")
+    mode = F.when(F.col("frame_index") % 2 == 0, "Auto").otherwise("Manual")
+    rows = made.select(F.concat(F.lit("/v/Clip"), "video_id", F.lit(".mp4")).alias("path"), mode.alias("mode"), "frame_index", F.lit(PW).alias("width"), F.lit(PH).alias("height"), "alpha", F.to_json(F.struct(F.lit(7).alias("SelectedFrameIndex"), F.lit(True).alias("AutoCompleted"))).alias("snapshot"))
+    root = shared.fresh_dir(spark, "workspaces")
+    workspaces.save(rows, root)
+    spaces, found = workspaces.load(spark, root)
+    sums = found.select("path", "mode", rasters.byte_sum(F.col("alpha")).alias("alpha")).groupBy("path", "mode").agg(F.count("*").alias("masks"), F.sum("alpha").alias("alpha"))
+    listed = spaces.select(F.col("VideoPath").alias("path"), F.col("Mode").alias("mode"), F.col("SelectedFrameIndex").alias("selected"), F.col("AutoCompleted").alias("completed"), F.size("MaskIndices").cast("bigint").alias("listed"))
+    return listed.join(sums, ["path", "mode"])
+
+
+def whole_mask(video, frame, wide, high, boxes, box, alpha):
+    """The mask of a frame in the frame's size."""
+    x0, y0, x1, y1 = box
+    out = np.zeros((high, wide), np.uint8)
+    out[y0:y1, x0:x1] = alpha
+    return (out.tobytes(),)
+
+
+sql("workspace_masks", "select '/v/Clip' || video_id || '.mp4' path, case when frame_index%2=0 then 'Auto' else 'Manual' end as mode, 7 selected, true completed, count(*) listed, count(*) masks, cast(sum(a) as bigint) alpha from (select video_id, frame_index, sum(alpha) a from raster group by all) group by 1, 2", *DET, recursive=_RASTER)
+
+
+@query
+def single_frame_detection(spark, d):
+    """Frame 17 of every video, read by the pushed condition alone, and what the detector finds there."""
+    videos = [(r["video_id"], r["total_frames"], PW, PH) for r in tables.video_meta(spark, d).toLocalIterator()]
+    one = frames.read_frames(spark, videos, "veilgrid.operators.rasters.pattern_reader").where("frame_index = 17")
+    sums = one.select("video_id", "frame_index", "made", rasters.byte_sum(F.col("picture")).alias("picture"))
+    return sums.join(detect.detect(one.select("video_id", "frame_index"), detect.stub_detector, detect.STUB_SCHEMA), ["video_id", "frame_index"], "left")
+
+
+sql("single_frame_detection", "select video_id, frame_index, cast(1 as bigint) made, cast(b+g+r+255*3600 as bigint) picture, cast(frame_index*7%1000 as double) x, cast(frame_index*3%500 as double) y, 96.0::double w, 128.0::double h, cast(cast(50+frame_index%50 as double)/100 as float) conf from spine join (select i, j, sum(b) b, sum(g) g, sum(r) r from pics group by all) on i=(video_id+frame_index)%12 and j=frame_index%12 where frame_index=17", "video_meta", "spine", recursive=_PICTURES)
+
+
 @query
 def stub_detection(spark, d):
     """Detection by a plug-in on every frame: the built-in stub, a face that wanders with the frame number."""
