@@ -6,6 +6,7 @@ each other here, so this needs no exchange beyond dealing the frames to tasks.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -141,13 +142,18 @@ def face_stats(faces: DataFrame, reader: Reader) -> DataFrame:
 TILE = 200
 
 
-def scene_reader(width: int, height: int) -> Reader:
-    """The test picture with flat grey squares, which moves with the frame: 5 pixels right and 3 down, from a place of the video's own."""
+@functools.cache
+def scene(width: int, height: int) -> np.ndarray:
+    """The test picture with flat grey squares."""
     x, y = np.arange(width)[None, :], np.arange(height)[:, None]
     flat = ((x // TILE + y // TILE) % 3 == 0)[..., None]
-    still = np.where(flat, np.array([90, 90, 90, 255], np.uint8), pattern(width, height)).astype(np.uint8)
+    return np.where(flat, np.array([90, 90, 90, 255], np.uint8), pattern(width, height)).astype(np.uint8)
+
+
+def scene_reader(width: int, height: int) -> Reader:
+    """The scene, which moves with the frame: 5 pixels right and 3 down, from a place of the video's own. It is made in each worker."""
 
     def read(video: int, frame: int) -> np.ndarray:
-        return np.roll(still, (3 * frame % height, (17 * video + 5 * frame) % width), axis=(0, 1))
+        return np.roll(scene(width, height), (3 * frame % height, (17 * video + 5 * frame) % width), axis=(0, 1))
 
     return read

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from veilgrid.functions import views as V
-from veilgrid.operators import detect, export, issues, lookups, masks, pictures, rasters, temporal
+from veilgrid.operators import detect, export, issues, lookups, masks, pictures, rasters, temporal, tracking
 from veilgrid.plans.catalog import _ALL, _FIXED, _FOLD, _REPAIRED, DET, H, ORACLES, QUERIES, W, fixed_frames, query, sql
 from veilgrid.sources import frames, shared, tables, workspaces
 
@@ -189,8 +189,11 @@ def search_region(spark, d):
 
 
 def _sides(low: str, high: str, size: int, a: str, b: str) -> str:
+    """Both ends of a side of the search region, 64 pixels apart at least."""
     pad = f"greatest(greatest(1.0::double, {high}-{low})*0.35::double, 32.0::double)"
-    return f"greatest(0.0::double, {low}-{pad}) {a}, least({size}.0::double, {high}+{pad}) {b}"
+    begin, stop = f"greatest(0.0::double, {low}-{pad})", f"least({size}.0::double, {high}+{pad})"
+    grown = f"least({size}.0::double, greatest(0.0::double, {begin}-(64.0::double-({stop}-{begin}))/2)+64.0::double)"
+    return f"case when {stop}-{begin} < 64 then greatest(0.0::double, {grown}-64.0::double) else {begin} end {a}, case when {stop}-{begin} < 64 then {grown} else {stop} end {b}"
 
 
 sql("search_region", f"""select s.video_id, s.frame_index, coalesce(a, 0) x, coalesce(e, 0) y, coalesce(c-a, 1280) w, coalesce(g-e, 720) h from spine s left join (select video_id, frame_index, {_sides('x0', 'x1', 1280, 'a', 'c')}, {_sides('y0', 'y1', 720, 'e', 'g')} from
@@ -655,6 +658,51 @@ sql("downscale_bilinear", f"select video_id, frame_index, b, g, r{_SCALED}", "vi
     cross join (select unnest([0,1]) a) h cross join (select unnest([0,1]) o) k) q join pics p using (x, y) group by all)""")
 
 
+# Detection over videos in order.
+
+
+def loop_frames(spark, d):
+    det = tables.detections(spark, d)
+    stored = det.where("stored").select("video_id", "frame_index").distinct().withColumn("stored", F.lit(True))
+    spine = tables.frame_spine(spark, d).select("video_id", "frame_index")
+    return spine.join(faces_by_frame(det), ["video_id", "frame_index"], "left").join(stored, ["video_id", "frame_index"], "left")
+
+
+def looped(spark, d):
+    return tracking.detection_loop(loop_frames(spark, d), W, H, 4, tracking.sometimes_blind, pictures.scene_reader(W, H))
+
+
+@query
+def detection_loop(spark, d):
+    """Every frame's detection: looked at or not, the region tried, calls of the detector, the faces that are held and where they are from."""
+    faces = F.aggregate("faces", F.lit(0.0), lambda total, f: total + f["x"] + 3 * f["y"])
+    return looped(spark, d).select("video_id", "frame_index", "detected", "attempt", "hit", "calls", F.rint("area").cast("bigint").alias("area"), "held_from", F.size("faces").alias("faces"), faces.alias("places"))
+
+
+_FACE_LIST = "list({'x': x, 'y': y, 'w': w, 'h': h, 'ok': ok} order by face_idx)"
+_LOOP = _STATS + f""", known as materialized (select s.video_id, s.frame_index, bool_or(coalesce(stored, false)) held_mask, coalesce({_FACE_LIST} filter (x is not null), []) known from spine s left join
+    (select *, w*h >= 0.001*1280*720 and w/h between 0.5 and 2.0 and (conf >= cast(0.85 as float) or passed) ok from detections join stats using (video_id, frame_index, face_idx)) using (video_id, frame_index) group by all),
+    looped as (select video_id, cast(-1 as bigint) frame_index, false detected, false attempt, false hit, cast(null as double) area, cast(null as bigint) held, cast(null as bigint) held_from, cast(null as struct(x double, y double, w double, h double, ok boolean)[]) as last, cast([] as struct(x double, y double, w double, h double, ok boolean)[]) faces from video_meta union all
+    select video_id, frame_index, look, coalesce(usable, false), coalesce(hit, false), case when usable then (c-a)*(g-e) end, case when look then case when len(kept)>0 then frame_index end else held end,
+        case when held_mask then null when look then case when len(kept)>0 then frame_index end else held end, case when look then case when len(kept)>0 then kept end else last end, case when held_mask then [] when look then kept else coalesce(last, []) end from
+    (select *, list_filter(case when hit then inside else known end, lambda f: f.ok) kept from (select *, usable and len(inside)>0 hit from
+    (select *, case when not usable or (frame_index%7=3 and (floor(a)>0 or floor(e)>0)) then [] else list_filter(known, lambda f: f.x+f.w/2>=floor(a) and f.x+f.w/2<least(1280, floor(a)+ceil(c-a)) and f.y+f.h/2>=floor(e) and f.y+f.h/2<least(720, floor(e)+ceil(g-e))) end inside from
+    (select *, coalesce(look and last is not null and c-a>=64 and g-e>=64 and not (c-a>=1280*0.9::double and g-e>=720*0.9::double), false) usable from (select *, {_sides('x0', 'x1', 1280, 'a', 'c')}, {_sides('y0', 'y1', 720, 'e', 'g')} from
+    (select *, list_min(list_transform(last, lambda f: f.x)) x0, list_max(list_transform(last, lambda f: f.x+f.w)) x1, list_min(list_transform(last, lambda f: f.y)) y0, list_max(list_transform(last, lambda f: f.y+f.h)) y1 from
+    (select k.*, h.last, h.held, not k.held_mask and (k.frame_index%4=0 or h.last is null) look from looped h join known k on k.video_id=h.video_id and k.frame_index=h.frame_index+1)))))))),
+    steps as (select *, cast(case when not detected then 0 when attempt and not hit then 2 else 1 end as int) calls from looped where frame_index >= 0)"""
+sql("detection_loop", "select video_id, frame_index, detected, attempt, hit, calls, cast(round_even(area, 0) as bigint) area, held_from, cast(len(faces) as int) faces, coalesce(list_sum(list_transform(faces, lambda f: f.x+3*f.y)), 0.0::double) places from steps", *DET, "video_meta", "spine", recursive=_LOOP)
+
+
+@query
+def detector_calls(spark, d):
+    """By video: calls of the detector, regions tried, hits, searches of whole frames, mean area tried."""
+    return tracking.call_summary(looped(spark, d))
+
+
+sql("detector_calls", "select video_id, cast(sum(calls) as bigint) calls, count(*) filter (attempt) attempts, count(*) filter (hit) hits, count(*) filter (detected and not hit) fallbacks, case when count(*) filter (attempt)>0 then round_even(sum(round_even(area, 0))/count(*) filter (attempt), 0) else 0.0::double end avg_area from steps group by video_id", *DET, "video_meta", "spine", recursive=_LOOP)
+
+
 # Single frames, logs and state documents.
 
 
