@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from veilgrid.functions import views as V
-from veilgrid.operators import detect, export, issues, lookups, masks, pictures, rasters, temporal, tracking
+from veilgrid.operators import detect, export, issues, lookups, masks, pictures, rasters, temporal, tilestore, tracking
 from veilgrid.plans.catalog import _ALL, _FIXED, _FOLD, _REPAIRED, DET, H, ORACLES, QUERIES, W, fixed_frames, query, sql
 from veilgrid.sources import frames, shared, tables, workspaces
 
@@ -658,6 +658,76 @@ sql("downscale_bilinear", f"select video_id, frame_index, b, g, r{_SCALED}", "vi
     cross join (select unnest([0,1]) a) h cross join (select unnest([0,1]) o) k) q join pics p using (x, y) group by all)""")
 
 
+# Edited masks and their previews, in tiles.
+
+TW, TH = 120, 90
+
+
+def edit_log(spark, d):
+    """Every event is a stroke, or an undo, on a mask of twenty frames."""
+    e = tables.video_of(tables.events(spark, d).select("event_id", "user_id")).withColumn("frame_index", F.expr("frame_index div 20"))
+    at = e.select("video_id", "frame_index", F.col("event_id").alias("seq"), (F.col("event_id") * 11 % 7 > 3).alias("undo"), (F.col("event_id") * 7 % 130).cast("int").alias("cx"), (F.col("event_id") * 5 % 97).cast("int").alias("cy"), (2 + F.col("event_id") % 4).cast("int").alias("radius"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(255).alias("value"), "user_id")
+    return at.withColumns({"tx": (F.col("cx") + F.col("seq") % 23 - 11).cast("int"), "ty": (F.col("cy") + F.col("user_id") % 17 - 8).cast("int")}).drop("user_id")
+
+
+_STROKES = """acts as materialized (select event_id%8 video_id, event_id//8//20 frame_index, event_id seq, event_id*11%7>3 undo, row_number() over w i, lead(event_id) over w is null last from events window w as (partition by event_id%8, event_id//8//20 order by event_id)),
+    st as (select video_id, frame_index, i, last, case when undo then [] else [seq] end s from acts where i=1 union all select a.video_id, a.frame_index, a.i, a.last, case when undo then st.s[1:len(st.s)-1] else list_append(st.s, a.seq) end from st join acts a on a.video_id=st.video_id and a.frame_index=st.frame_index and a.i=st.i+1),
+    live as materialized (select video_id, frame_index, unnest(s) seq from st where last),
+    stroke as materialized (select event_id%8 video_id, event_id//8//20 frame_index, event_id seq, event_id*7%130 fx, event_id*5%97 fy, event_id*7%130+event_id%23-11 ex, event_id*5%97+user_id%17-8 ey, 2+event_id%4 r, case when event_id%3=0 then 0 else 255 end v from events where event_id*11%7<=3),
+    sized as materialized (select *, greatest(1, ceil(sqrt(cast((ex-fx)*(ex-fx)+(ey-fy)*(ey-fy) as double))/greatest(1.0::double, r*0.5::double)))::int steps from stroke),
+    stamp as (select video_id, frame_index, seq, r, v, 0 i, steps, cast(fx as double) x, cast(fy as double) y, cast(ex-fx as double)/steps sx, cast(ey-fy as double)/steps sy from sized
+        union all select video_id, frame_index, seq, r, v, i+1, steps, x+sx, y+sy, sx, sy from stamp where i<steps),
+    drawn as materialized (select video_id, frame_index, x, y, seq, v from (select *, cx+ox x, cy+oy y from (select *, unnest(range(-r, r+1)) oy from (select *, unnest(range(-r, r+1)) ox from
+        (select distinct video_id, frame_index, seq, r, v, cast(round_even(x,0) as bigint) cx, cast(round_even(y,0) as bigint) cy from stamp) where cx between 0 and 119 and cy between 0 and 89)))
+        where ox*ox+oy*oy<=r*r and x between 0 and 119 and y between 0 and 89),
+    lit as materialized (select video_id, frame_index, x, y from (select video_id, frame_index, x, y, arg_max(v, seq) v from drawn semi join live using (video_id, frame_index, seq) group by all) where v=255)"""
+
+
+@query
+def undo_masks(spark, d):
+    """Masks after all strokes and undos, from the versions of their tiles: lit pixels and where they are."""
+
+    def places(tx, ty, alpha):
+        shown = np.frombuffer(alpha, np.uint8).reshape(min(tilestore.TILE, TH - ty * tilestore.TILE), -1)
+        ys, xs = np.nonzero(shown == 255)
+        return int(len(xs)), int(xs.sum() + len(xs) * tx * tilestore.TILE), int(ys.sum() + len(ys) * ty * tilestore.TILE)
+
+    def run(batches):
+        for batch in batches:
+            rows = [(v, f, *places(tx, ty, a)) for v, f, tx, ty, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield rasters._batch(rows, "video_id bigint, frame_index bigint, lit bigint, x bigint, y bigint")
+
+    stored = tilestore.versions(tilestore.tiled(tilestore.ended(edit_log(spark, d)), TW, TH), TW, TH)
+    told = tilestore.current(stored).mapInArrow(run, "video_id bigint, frame_index bigint, lit bigint, x bigint, y bigint")
+    return told.groupBy("video_id", "frame_index").agg(*(F.sum(c).alias(c) for c in ("lit", "x", "y"))).where("lit > 0")
+
+
+sql("undo_masks", "select video_id, frame_index, count(*) lit, cast(sum(x) as bigint) x, cast(sum(y) as bigint) y from lit group by all", recursive=_STROKES)
+
+
+@query
+def preview_tiles(spark, d):
+    """Previews of the masks after three quarters of all events, brought up to date by the rest: composed anew only where tiles have changed."""
+    log = edit_log(spark, d)
+    border = (log.agg(F.max("seq")).first()[0] or 0) * 3 // 4
+    folder, reader = shared.fresh_dir(spark, "previews"), rasters.pattern_reader(TW, TH)
+    # The store is a table: what is drawn once is read from then on.
+    tilestore.versions(tilestore.tiled(tilestore.ended(log.where(F.col("seq") <= border)), TW, TH), TW, TH).write.parquet(f"{folder}/store")
+    first = spark.read.schema(tilestore.VERSIONS).parquet(f"{folder}/store")
+    touched = first.select(*tilestore.TILES).distinct()
+    tilestore.write_previews(f"{folder}/previews", tilestore.composed(touched.join(tilestore.current(first), list(tilestore.TILES), "left"), TW, TH, reader, 6))
+    second, changed = tilestore.extended(first, log, TW, TH)
+    tilestore.refresh_previews(spark, f"{folder}/previews", tilestore.current(second), changed, TW, TH, reader, 6)
+    shown = tilestore.read_previews(spark, f"{folder}/previews").select("video_id", "frame_index", rasters.byte_sum(F.col("pixels")).alias("sum"))
+    return shown.groupBy("video_id", "frame_index").agg(F.count("*").alias("tiles"), F.sum("sum").alias("sum"))
+
+
+sql("preview_tiles", """select t.video_id, t.frame_index, tiles, cast(plain+coalesce(more, 0) as bigint) sum from
+    (select video_id, frame_index, count(distinct (tx, ty)) tiles, sum(b+g+r+255) plain from (select distinct video_id, frame_index, x//30 tx, y//30 ty from drawn) q join pics p on p.i=(q.video_id+q.frame_index)%12 and p.j=q.frame_index%12 and p.x//30=tx and p.y//30=ty group by all) t left join
+    (select video_id, frame_index, sum(n.b+n.g+n.r-p.b-p.g-p.r) more from lit l join pics p on p.x=l.x and p.y=l.y and p.i=(video_id+frame_index)%12 and p.j=frame_index%12 join blurs n on n.x=p.x and n.y=p.y and n.i=p.i and n.j=p.j group by all) m using (video_id, frame_index)""",
+    recursive=f"{_STROKES}, " + f"{_PICTURES}, {_BLURRED}".replace("x-i+80)%80", "x-i+120)%120").replace("y-j+45)%45", "y-j+90)%90").replace("range(80)", "range(120)").replace("range(45)", "range(90)").replace("x-73", "x-113").replace("y-38", "y-83"))
+
+
 # Detection over videos in order.
 
 
