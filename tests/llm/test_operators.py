@@ -536,3 +536,18 @@ def test_toxicity_learns_words(spark, empty):
     assert ((got["score"] >= 0.3) == (got["toxic"] == 1)).all()
     none = toxicity.fit(table.limit(0), F.col("toxic"), F.col("doc_id"))
     assert 0 <= toxicity.score(empty.select("doc_id", "text").union(table.limit(1).select("doc_id", "text")), none, [F.col("doc_id")], "doc_id bigint").first()["score"] <= 1e-6
+
+
+def test_workers_remember_for_one_operator_at_a_time(monkeypatch):
+    from veilgrid.llm import common
+
+    monkeypatch.setattr(common, "_left", [])
+    gone = []
+    common.working_for("a", lambda: gone.append("a"))
+    common.working_for("a")
+    common.working_for("a", lambda: gone.append("again"))
+    assert gone == []
+    common.working_for("b")
+    common.working_for("c", lambda: gone.append("c"))
+    common.working_for("a", lambda: gone.append("a"))
+    assert gone == ["a", "c"]

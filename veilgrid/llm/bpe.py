@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import bound_batches, map_rows
+from veilgrid.llm.common import bound_batches, map_rows, working_for
 
 #: Fixed value: how byte-level tokenizers split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -285,6 +285,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     bound_batches(df.sparkSession)
 
     def run(batch: pa.RecordBatch) -> dict:
+        working_for("veilgrid.llm.bpe", codec.cache_clear)
         c = codec(path)
         chunks = c.encode_batch([t or "" for t in batch.column(1).to_pylist()])
         texts = c.decode_batch(chunks)

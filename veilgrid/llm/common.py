@@ -64,6 +64,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Who has left memories in this worker process, and how they go.
+_left: list[tuple[str, Callable[[], None]]] = []
+
+
+def working_for(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Called in tasks: workers outlive tasks, and what another operator remembers in this process goes before ``owner`` works.
+
+    ``forget`` drops what ``owner`` itself will leave.
+    """
+    if _left and _left[0][0] != owner:
+        _left.pop()[1]()
+    if forget and not _left:
+        _left.append((owner, forget))
+
+
 def map_rows(df: DataFrame, columns: list[Column], batch_fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Run ``batch_fn`` on every Arrow batch of ``columns``; it returns the lists of the output columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -72,6 +87,7 @@ def map_rows(df: DataFrame, columns: list[Column], batch_fn: Callable[[pa.Record
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for(batch_fn.__module__)
         for batch in batches:
             out = batch_fn(batch)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)

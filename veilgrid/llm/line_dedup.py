@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import bound_batches, discard, map_rows, materialize
+from veilgrid.llm.common import bound_batches, discard, map_rows, materialize, working_for
 
 #: Documents that a task remembers, so as not to emit repeated rows again.
 REMEMBERED = 1_000_000
@@ -76,6 +76,7 @@ def _lines(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("veilgrid.llm.line_dedup")
         seen: set[tuple] = set()
         for batch in batches:
             rows, places, prints, sizes, values = [], [], [], [], []

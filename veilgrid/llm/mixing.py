@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import materialize
+from veilgrid.llm.common import materialize, working_for
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 2000
@@ -155,6 +155,7 @@ def mix(df: DataFrame, keys: list[str], source_col: str = "source", size: Column
     schema = rows.schema
 
     def work(block: pd.DataFrame) -> pd.DataFrame:
+        working_for("veilgrid.llm.mixing")
         block = block.sort_values(["size", "mark"], ascending=[False, True], kind="stable")
         first = block["mark"].iloc[0]
         rng = np.random.default_rng([seed, int(first) & 0xFFFFFFFF, int(first) >> 32 & 0xFFFFFFFF, len(block)])

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import bound_batches, discard, map_rows, materialize
+from veilgrid.llm.common import bound_batches, discard, map_rows, materialize, working_for
 from veilgrid.llm.components import components
 from veilgrid.llm.shingles import sets_of
 
@@ -146,6 +146,7 @@ def _describe(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("veilgrid.llm.ngram_join")
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             sets = sets_of(batch.column(2).to_pylist(), words)
@@ -192,6 +193,7 @@ def _prefixes(df: DataFrame, text_col: str, words: int, num: int, den: int, clas
     """``node, check``, the set's size ``n``, its ``bits`` and those ``members``, in order, one of which any linking set shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("veilgrid.llm.ngram_join")
         seen: set[int] = set()
         for batch in batches:
             rows: list[tuple] = []
@@ -279,6 +281,7 @@ def _joined(tiles: DataFrame, key: list[str], num: int, den: int, exact: bool) -
         return node[np.array(pairs, np.int64).reshape(-1, 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("veilgrid.llm.ngram_join")
         ints, payload = np.zeros((0, wide + 4), np.int64), []
 
         def finish(pairs: list[np.ndarray]) -> pa.RecordBatch:

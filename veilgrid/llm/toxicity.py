@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import bound_batches, map_rows, materialize
+from veilgrid.llm.common import bound_batches, map_rows, materialize, working_for
 
 OTHER, INSULT, AIMED, THREAT, TARGET, NEGATION, REPORT, BREAK = b"oiatynr."
 #: Fixed word lists in English, French, German and Spanish: threats as their plain verbs, then the endings that these take.
@@ -194,6 +194,7 @@ _readers: dict[int, tuple[ToxicityModel, Reader]] = {}
 
 def reader(model: ToxicityModel) -> Reader:
     """Kept over the tasks of a worker, with the kinds of words that it has met."""
+    working_for("veilgrid.llm.toxicity", _readers.clear)
     held = _readers.get(0)
     if held is None or held[0] is not model and (held[0].words != model.words or held[0].stems != model.stems):
         _readers[0] = held = (model, Reader(model.words, model.stems))
