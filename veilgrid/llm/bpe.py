@@ -19,6 +19,7 @@ import functools
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 NEVER = 1 << 62
 #: Entries that a worker's memory of encoded pieces may hold before it is emptied.
 REMEMBERED, REMEMBERED_PIECES = 300_000, 100_000
+#: Characters that are encoded together.
+TOGETHER = 1 << 18
 #: Pieces of up to so many bytes are merged side by side.
 SIDE_BY_SIDE = 64
 
@@ -270,6 +273,19 @@ class Codec:
         return self.decode_batch([[ids]])[0] if ids else ""
 
 
+def together(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in lists of ``TOGETHER`` characters, or of one text that has more: the chunks of a list lie in memory at once."""
+    out, size = [], 0
+    for t in texts:
+        if out and size + len(t) > TOGETHER:
+            yield out
+            out, size = [], 0
+        out.append(t)
+        size += len(t)
+    if out:
+        yield out
+
+
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """One codec for each worker process and file."""
@@ -287,9 +303,11 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def run(batch: pa.RecordBatch) -> dict:
         working_for("veilgrid.llm.bpe", codec.cache_clear)
         c = codec(path)
-        chunks = c.encode_batch([t or "" for t in batch.column(1).to_pylist()])
-        texts = c.decode_batch(chunks)
-        ids = [",".join(x) for x in chunks]
+        ids, texts = [], []
+        for some in together([t or "" for t in batch.column(1).to_pylist()]):
+            chunks = c.encode_batch(some)
+            texts += c.decode_batch(chunks)
+            ids += [",".join(x) for x in chunks]
         return {
             id_col: batch.column(0),
             "n_tokens": [x.count(",") + 1 if x else 0 for x in ids],
