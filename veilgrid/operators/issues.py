@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgrid.functions.geometry import frame_time_text
+from veilgrid.operators.lookups import asof_forward
 
 KEYS = ["video_id", "frame_index"]
 KINDS = ("noface", "lowconf", "flicker")
@@ -42,7 +43,7 @@ def shown(issues: DataFrame, kinds: list[str]) -> DataFrame:
 
 def first_at_or_after(issues: DataFrame, targets: DataFrame) -> DataFrame:
     """For each ``video_id, target`` the first problem frame not before it (null if none) and the very first one of the video."""
-    frames = issues.groupBy("video_id").agg(F.array_sort(F.collect_set("frame_index")).alias("all"))
-    joined = targets.join(frames, "video_id", "left")
-    later = F.array_min(F.filter("all", lambda f: f >= F.col("target")))
-    return joined.select("video_id", "target", later.alias("first_after"), F.array_min("all").alias("first"))
+    marks = issues.select("video_id", "frame_index").distinct()
+    found = asof_forward(targets.select("video_id", "target"), marks, "video_id", "target", "frame_index")
+    first = marks.groupBy("video_id").agg(F.min("frame_index").alias("first"))
+    return found.join(first, "video_id", "left").select("video_id", "target", F.col("frame_index").alias("first_after"), "first")

@@ -9,20 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgrid.functions.geometry import centre_distance, f32, floored_area, iou
+from veilgrid.operators.blocked import BLOCK_COLUMN, cut, neighbours, running_sum
 
 WEAK, STRONG, LEAST_IOU, MOST_AREA, MOST_SHIFT = 0.5, 0.7, 0.2, 3.0, 0.5
 LEAST_FRAMES = 3
 FACE = "struct<face_idx:int,x:double,y:double,w:double,h:double,conf:float>"
 
 
-def by_frame() -> WindowSpec:
-    return Window.partitionBy("video_id").orderBy("frame_index")
-
-
 def frames(spine: DataFrame, detections: DataFrame) -> DataFrame:
     """The spine with its faces; masks stored by hand take a frame's faces away."""
     face = F.struct("face_idx", "x", "y", "w", "h", "conf")
@@ -35,9 +32,14 @@ def frames(spine: DataFrame, detections: DataFrame) -> DataFrame:
 
 def gap_fill(frames: DataFrame) -> DataFrame:
     """Single empty frames between two with faces take the faces before them (``filled``); other columns pass through."""
-    before, after = F.lag("faces").over(by_frame()), F.lead("faces").over(by_frame())
-    empty = ~F.col("stored") & (F.size("faces") == 0) & (F.size(F.coalesce(before, F.array())) > 0) & (F.size(F.coalesce(after, F.array())) > 0)
-    return frames.withColumn("filled", empty).withColumn("faces", F.when(F.col("filled"), before).otherwise(F.col("faces")))
+    return _gap_fill(cut(frames, "video_id", "frame_index")).drop(BLOCK_COLUMN)
+
+
+def _gap_fill(rows: DataFrame) -> DataFrame:
+    seen = neighbours(rows, "video_id", "frame_index", F.col("faces"))
+    empty = ~F.col("stored") & (F.size("faces") == 0) & (F.size(F.coalesce("before", F.array())) > 0) & (F.size(F.coalesce("after", F.array())) > 0)
+    filled = seen.withColumn("filled", empty).withColumn("faces", F.when(F.col("filled"), F.col("before")).otherwise(F.col("faces")))
+    return filled.drop("before", "after")
 
 
 def _overlaps(others: str) -> Column:
@@ -86,21 +88,35 @@ def consistency_filter(frames: DataFrame) -> DataFrame:
     confidence, so a video falls into short segments. What two faces are to each other is
     computed beforehand; the pass over a segment only carries which faces of the frame before survived.
     """
+    return _consistency_filter(cut(frames, "video_id", "frame_index")).drop(BLOCK_COLUMN)
+
+
+def _consistency_filter(frames: DataFrame) -> DataFrame:
     exempt = F.col("exempt") if "exempt" in frames.columns else F.lit(False)
     rank = lambda f: F.when(exempt | (f["conf"] >= f32(STRONG)), 2).when(f["conf"] >= f32(WEAK), 1).otherwise(0)
-    others = [c for c in frames.columns if c not in ("video_id", "frame_index", "faces")]
-    seen = frames.withColumn("ranks", F.transform("faces", rank)).withColumn("before", F.lag("faces").over(by_frame())).withColumn("after", F.lead("faces").over(by_frame()))
-    first = ~F.array_contains("ranks", 1) | (F.size(F.coalesce("before", F.array())) == 0)
-    cut = seen.withColumn("segment", F.sum(first.cast("int")).over(by_frame()))
-    rows = cut.select("video_id", "segment", "ranks", _overlaps("before").alias("before"), _overlaps("after").alias("after"), "frame_index", F.struct(*others).alias("row"), "faces")
+    others = [c for c in frames.columns if c not in ("video_id", "frame_index", "faces", BLOCK_COLUMN)]
+    seen = neighbours(frames.withColumn("ranks", F.transform("faces", rank)), "video_id", "frame_index", F.col("faces"))
+    middling = F.array_contains("ranks", 1)
+    first = ~middling | (F.size(F.coalesce("before", F.array())) == 0)
+    segments = running_sum(seen, "video_id", "frame_index", first.cast("int"), "segment")
+    # A frame without middling faces is a segment of its own or begins one: only those that another frame continues need the pass.
+    continued = neighbours(segments.withColumn("first", first), "video_id", "frame_index", F.col("first"), before=None, after="next_first")
+    alone = first & F.coalesce("next_first", F.lit(True))
+    settled = continued.withColumn("alone", alone & ~middling)
+    plain = settled.where("alone").select("video_id", "frame_index", *others, F.filter("faces", lambda _, k: F.get("ranks", k) == 2).alias("faces"))
+    cut_rows = settled.where("not alone")
+    rows = cut_rows.select("video_id", "segment", "ranks", _overlaps("before").alias("before"), _overlaps("after").alias("after"), "frame_index", F.struct(*others).alias("row"), "faces")
     kind = rows.schema
     schema = f"video_id {kind['video_id'].dataType.simpleString()}, frame_index {kind['frame_index'].dataType.simpleString()}, row {kind['row'].dataType.simpleString()}, faces array<{FACE}>, kept array<boolean>"
     done = rows.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_index").mapInArrow(_survivors, schema)
-    return done.select("video_id", "frame_index", *(F.col(f"row.{c}").alias(c) for c in others), F.filter("faces", lambda _, k: F.get("kept", k)).alias("faces"))
+    passed = done.select("video_id", "frame_index", *(F.col(f"row.{c}").alias(c) for c in others), F.filter("faces", lambda _, k: F.get("kept", k)).alias("faces"))
+    return cut(plain.unionByName(passed), "video_id", "frame_index")
 
 
 def run_filter(frames: DataFrame, least: int = 2) -> DataFrame:
     """Runs of frames with faces shorter than ``least`` lose them; frames marked ``exempt`` keep theirs."""
+    if least == 2:
+        return _run_filter(cut(frames, "video_id", "frame_index")).drop(BLOCK_COLUMN)
     has = F.size("faces") > 0
     order = F.row_number().over(Window.partitionBy("video_id", "has").orderBy("frame_index"))
     island = frames.withColumn("has", has).withColumn("island", F.col("frame_index") - order)
@@ -111,6 +127,17 @@ def run_filter(frames: DataFrame, least: int = 2) -> DataFrame:
     return island.withColumn("faces", F.when(short, F.array().cast(f"array<{FACE}>")).otherwise(F.col("faces"))).select(*frames.columns)
 
 
+def _run_filter(rows: DataFrame) -> DataFrame:
+    """Frames with faces that stand alone lose them: a run of two is a frame with such a neighbour (the number before or after)."""
+    has = F.when(F.size("faces") > 0, F.col("frame_index"))
+    seen = neighbours(rows, "video_id", "frame_index", has, "has_before", "has_after")
+    is_next = lambda c, n: F.coalesce(F.col(c) == F.col("frame_index") + n, F.lit(False))
+    short = (F.size("faces") > 0) & ~(is_next("has_before", -1) | is_next("has_after", 1))
+    if "exempt" in rows.columns:
+        short &= ~F.col("exempt")
+    return seen.withColumn("faces", F.when(short, F.array().cast(f"array<{FACE}>")).otherwise(F.col("faces"))).select(*rows.columns)
+
+
 def temporal_fix(frames: DataFrame, every: int = 1, tracking: bool = True) -> DataFrame:
     """Gap filling, consistency and run filters, for videos of three frames or more; shorter ones stay as they are.
 
@@ -118,9 +145,9 @@ def temporal_fix(frames: DataFrame, every: int = 1, tracking: bool = True) -> Da
     """
     if every > 1 and not tracking:
         return frames
-    total = F.count("*").over(Window.partitionBy("video_id"))
-    fixed = run_filter(consistency_filter(gap_fill(frames.withColumn("exempt", total < LEAST_FRAMES))))
-    return fixed.select(*frames.columns)
+    totals = frames.groupBy("video_id").agg((F.count("*") < LEAST_FRAMES).alias("exempt"))
+    rows = cut(frames.join(totals, "video_id"), "video_id", "frame_index")
+    return _run_filter(_consistency_filter(_gap_fill(rows))).select(*frames.columns)
 
 
 def write_back(frames: DataFrame) -> DataFrame:
@@ -139,7 +166,8 @@ def low_cutoff(threshold: float) -> Column:
 def issues(frames: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per frame and kind of issue a row: noface, lowconf, flicker."""
     has = F.size("faces") > 0
-    around = F.coalesce(F.lag(has).over(by_frame()), F.lit(False)) & F.coalesce(F.lead(has).over(by_frame()), F.lit(False))
-    seen = frames.select("video_id", "frame_index", has.alias("has"), F.array_min(F.transform("faces", lambda f: f["conf"])).alias("least"), around.alias("around"))
+    rows = neighbours(cut(frames, "video_id", "frame_index"), "video_id", "frame_index", has, "has_before", "has_after")
+    around = F.coalesce("has_before", F.lit(False)) & F.coalesce("has_after", F.lit(False))
+    seen = rows.select("video_id", "frame_index", has.alias("has"), F.array_min(F.transform("faces", lambda f: f["conf"])).alias("least"), around.alias("around"))
     kinds = F.array(F.when(~F.col("has"), "noface"), F.when(F.col("has") & (F.col("least") < low_cutoff(threshold)), "lowconf"), F.when(~F.col("has") & F.col("around"), "flicker"))
     return seen.select("video_id", "frame_index", F.explode(F.array_compact(kinds)).alias("issue"))

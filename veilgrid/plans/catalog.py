@@ -276,7 +276,7 @@ sql("brush_segments", """select video_id, x, y, arg_max(v, seq) as value from (s
 @query
 def asof_frame(spark, d):
     asks = tables.frame_spine(spark, d).select("video_id", "frame_index", F.floor(F.col("frame_index") / F.col("fps") * 90000).alias("at"))
-    return lookups.asof_forward(asks, tables.frame_pts(spark, d), "video_id", "at", "pts").select("video_id", "frame_index", "pts")
+    return lookups.asof_forward(asks, tables.frame_pts(spark, d), "video_id", "at", "pts", 3000 * 4096).select("video_id", "frame_index", "pts")
 
 
 sql("asof_frame", "select s.video_id, s.frame_index, p.pts from (select *, cast(floor(frame_index/fps*90000) as bigint) due from spine) s asof left join frame_pts p on s.video_id=p.video_id and s.due<=p.pts", "video_meta", "spine", "frame_pts")
