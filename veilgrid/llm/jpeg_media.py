@@ -260,7 +260,10 @@ def _intervals(scan: bytes) -> list[bytes]:
 
 
 def read_media(media: bytes) -> tuple[np.ndarray, int, int, int]:
-    """The stacked thumbnails of a stream of pictures, width, total height, number of pictures."""
+    """The stacked thumbnails of a stream of pictures, width, total height, number of pictures.
+
+    Pictures of different width cannot be stacked: ``ValueError``.
+    """
     thumbs, at, width, height = [], 0, 0, 0
     while at < len(media):
         thumb, w, h, at = read_frame(media, at)
@@ -268,7 +271,9 @@ def read_media(media: bytes) -> tuple[np.ndarray, int, int, int]:
         width, height = max(width, w), height + h
     if not thumbs:
         raise ValueError("no picture")
-    return np.concatenate(thumbs) if len({t.shape[1] for t in thumbs}) == 1 else thumbs[0], width, height, len(thumbs)
+    if len({t.shape[1] for t in thumbs}) > 1:
+        raise ValueError("pictures of different width")
+    return np.concatenate(thumbs), width, height, len(thumbs)
 
 
 def thumbnail_hash(thumb: np.ndarray) -> str:
@@ -281,6 +286,31 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
+def describe(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
+    """What a column of media holds: the id, ``width``, ``height``, ``pictures``, ``feature``, the ``thumbnail`` (a byte for
+    each 8 x 8 pixels) and ``error``.
+
+    Null media have nulls; of damaged media, or of others than baseline JPEG, ``error`` tells what is wrong.
+    """
+    bound_batches(df.sparkSession)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {k: [] for k in ("width", "height", "pictures", "feature", "thumbnail", "error")}
+        for media in batch.column(1).to_pylist():
+            row = (None,) * 6
+            if media is not None:
+                try:
+                    thumb, width, height, pictures = read_media(media)
+                    row = (width, height, pictures, f"{width}x{height}x{pictures}:{thumbnail_hash(thumb)}", thumb.tobytes(), None)
+                except (ValueError, KeyError, IndexError, struct.error) as e:
+                    row = (*[None] * 5, str(e) or type(e).__name__)
+            for k, v in zip(out, row, strict=True):
+                out[k].append(v)
+        return out | {id_col: batch.column(0)}
+
+    return map_rows(df, [F.col(id_col), F.col(media_col)], run, f"`{id_col}` {dict(df.dtypes)[id_col]}, width int, height int, pictures int, feature string, thumbnail binary, error string")
+
+
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
     """Store every whole text as media, read it back and compute the features.
 
