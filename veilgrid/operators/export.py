@@ -32,7 +32,7 @@ def probed(streams: DataFrame) -> DataFrame:
 
 def read_from(frames: DataFrame, starts: DataFrame) -> DataFrame:
     """Frames of a sequential read: those whose time stamp is not before the wanted one of ``starts`` (``video_id, at``)."""
-    return frames.join(F.broadcast(starts), "video_id").where("pts >= at").drop("at")
+    return frames.join(starts, "video_id").where("pts >= at").drop("at")
 
 
 def encoder_choice(asked: DataFrame, containers: DataFrame, encoders: DataFrame, fallback: str = "h264", common: str = "yuv420p") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions import views as V
 from veilgrid.operators import detect, export, issues, lookups, masks, pictures, rasters, temporal, tilestore, tracking
-from veilgrid.plans.catalog import _ALL, _FIXED, _FOLD, _REPAIRED, DET, H, ORACLES, QUERIES, W, fixed_frames, query, sql
+from veilgrid.plans.catalog import _ALL, _FIXED, _FOLD, _PARTS, _REPAIRED, _TIME, DET, H, ORACLES, QUERIES, W, fixed_frames, query, sql
 from veilgrid.sources import frames, shared, tables, workspaces
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -258,11 +258,11 @@ repaired_sql("issues_resolved", "select distinct video_id, frame_index from issu
 @query
 def issue_list(spark, d):
     found = temporal.issues(fixed_frames(spark, d))
-    listed = issues.entries(issues.shown(found, ["noface", "flicker"]), tables.video_meta(spark, d), edited_frames(spark, d), hide_resolved=True)
-    return listed.drop("time_text")
+    return issues.entries(issues.shown(found, ["noface", "flicker"]), tables.video_meta(spark, d), edited_frames(spark, d), hide_resolved=True)
 
 
-repaired_sql("issue_list", "select i.video_id, i.frame_index, issue, case issue when 'noface' then '얼굴 없음' else '연속 끊김' end label, e.video_id is not null resolved, e.video_id is null visible from issues i left join edited e on e.video_id=i.video_id and e.frame_index=i.frame_index where issue <> 'lowconf'")
+_LISTED = "(select i.*, m.fps, e.video_id is not null resolved from issues i join video_meta m on m.video_id=i.video_id left join edited e on e.video_id=i.video_id and e.frame_index=i.frame_index where issue <> 'lowconf')"
+repaired_sql("issue_list", f"select video_id, frame_index, issue, case issue when 'noface' then '얼굴 없음' else '연속 끊김' end label, {_TIME} time_text, resolved, not resolved visible from {_PARTS.format(_LISTED)}")
 
 
 @query
