@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veilgrid.operators import blocked, issues, lookups, temporal
+from veilgrid.operators import blocked, issues, lookups
 
 
 @pytest.fixture(scope="module")
@@ -43,20 +43,6 @@ def test_lookups_do_not_depend_on_blocks(spark, rows):
     assert lookups.circular_neighbours(frames, marks.limit(0)).where("next_mark is not null or prev_mark is not null").count() == 0
 
 
-def test_the_repair_does_not_depend_on_blocks(spark, monkeypatch):
-    rng = np.random.default_rng(8)
-    data = []
-    for f in range(600):
-        faces = [(k, float(100 + 3 * f % 40 + 200 * k), 50.0, 60.0, 60.0, float(np.float32(rng.choice([0.45, 0.6, 0.65, 0.9])))) for k in range(int(rng.choice([0, 1, 1, 2])))]
-        data.append((1, f, bool(rng.random() < 0.05), faces))
-    frames = spark.createDataFrame(data, f"video_id bigint, frame_index bigint, stored boolean, faces array<{temporal.FACE}>")
-    frames = frames.withColumn("faces", F.when(F.col("stored"), F.array().cast(f"array<{temporal.FACE}>")).otherwise(F.col("faces")))
-    outcome = lambda: (sorted(map(str, temporal.temporal_fix(frames).collect())), sorted(map(str, temporal.issues(frames).collect())))
-    whole = outcome()
-    monkeypatch.setattr(temporal, "cut", lambda df, key, order: blocked.cut(df, key, order, 5))
-    assert outcome() == whole
-
-
 def test_one_long_video_is_many_tasks(spark):
     frames = spark.range(400_000).select(F.lit(1).cast("bigint").alias("video_id"), F.col("id").alias("frame_index"))
     marks = frames.where("frame_index % 1000 = 7")
