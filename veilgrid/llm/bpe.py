@@ -29,8 +29,24 @@ from pyspark.sql import functions as F
 
 from veilgrid.llm.common import bound_batches, map_rows, working_for
 
-#: Fixed value: how byte-level tokenizers split a text before merging.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Letters and numbers of the regex module that the tokenizer library's older Unicode table does not have.
+NEWER_LETTERS = """0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7
+    10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191
+    191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED
+    1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"""
+NEWER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
+
+def members(ranges: str) -> str:
+    """The ranges as they stand in a set of a pattern."""
+    return "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in ranges.split())
+
+
+LETTERS, NUMBERS = rf"[\p{{L}}--[{members(NEWER_LETTERS)}]]", rf"[\p{{N}}--[{members(NEWER_NUMBERS)}]]"
+NEWER = f"[{members(NEWER_LETTERS)}{members(NEWER_NUMBERS)}]"
+#: How byte-level tokenizers split a text before merging; ``PLAIN_PATTERN`` is for texts without the newer characters.
+PATTERN = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{LETTERS}+| ?{NUMBERS}+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+PLAIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 62
 #: Entries that a worker's memory of encoded pieces may hold before it is emptied.
 REMEMBERED, REMEMBERED_PIECES = 300_000, 100_000
@@ -184,13 +200,22 @@ class Codec:
         byte_of = {x: b for b, x in enumerate(letters)}
         self.bytes_of = {str(i): bytes(byte_of[x] for x in token) for token, i in vocab.items()}
         self.bytes_of |= {str(i): token.encode() for token, i in self.added.items()}
-        self.pieces = regex.compile(PATTERN)
+        self.pinned, self.plain, self.newer = regex.compile(PATTERN), regex.compile(PLAIN_PATTERN), regex.compile(NEWER)
         self.table = PairTable(self.ranks, self.results, self.width)
         self.by_piece: dict[str, str] = {}
         self.by_chunk: dict[str, str] = {}
         self.by_ids: dict[str, bytes] = {}
         self.rare_space = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+    def pieces(self, chunk: str) -> list[str]:
+        """The pieces of a chunk, within which characters merge.
+
+        A word of letters alone, with a space before it or not, is one piece; Python's letters are those of an older table than the library's.
+        """
+        if chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha():
+            return [chunk]
+        return (self.plain if chunk.isascii() or not self.newer.search(chunk) else self.pinned).findall(chunk)
+
     def _encoded(self, pieces: set[str]) -> dict[str, str]:
         """Ids of pieces, in decimal; those of like length together."""
         groups: dict[int, list[str]] = {}
@@ -239,7 +264,7 @@ class Codec:
                 memory.clear()
         known, by_piece = self.by_chunk, self.by_piece
         known |= {x: str(i) for x, i in self.added.items()}
-        new = {x: self.pieces.findall(x) for x in set().union(*cut).difference(known)}
+        new = {x: self.pieces(x) for x in set().union(*cut).difference(known)}
         whole = {pieces[0] for pieces in new.values() if len(pieces) == 1}
         parts = {p for pieces in new.values() if len(pieces) > 1 for p in pieces}
         met = self._encoded((whole | parts).difference(by_piece))
