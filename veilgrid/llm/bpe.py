@@ -49,9 +49,9 @@ PATTERN = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{LETTERS}+| ?{NUMBERS}+| ?[^\s{LETTE
 PLAIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 62
 #: Entries that a worker's memory of encoded pieces may hold before it is emptied.
-REMEMBERED, REMEMBERED_PIECES = 300_000, 100_000
+REMEMBERED, REMEMBERED_PIECES = 400_000, 130_000
 #: Characters that are encoded together.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 17
 #: Pieces of up to so many bytes are merged side by side.
 SIDE_BY_SIDE = 64
 
