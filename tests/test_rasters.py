@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilgrid.operators import rasters
+from veilgrid.operators import pictures, rasters
 
 
 def some_faces(seed=3, frames=90):
@@ -113,3 +113,17 @@ def test_radii_and_masks_of_a_frame(spark):
     r = rasters.radii(table(spark, rows), F.lit(48), F.lit(36), 24).collect()[0]
     whole = rasters.face_radii(np.array([x[2:6] for x in rows]), 48, 36, 24, (0, 0, 48, 36))
     assert (r["covered"], r["radius"], r["most"]) == (int((whole > 0).sum()), int(whole.sum()), int(whole.max()))
+
+
+def test_face_statistics_read_no_whole_picture(spark, monkeypatch):
+    """Boxes of one shape are worked together, with the figures of each alone; a reader that knows parts is not asked for pictures."""
+    reader = pictures.scene_reader(640, 360)
+    rows = [(k % 3, k // 2, k % 2, float(k * 7 % 700 - 20), float(k * 5 % 380 - 10), float(1 + k % 4 * 40), float(k % 5 * 30)) for k in range(600)]
+    want = {r[:3]: pictures.face_statistics(reader(r[0], r[1]), *r[3:]) for r in rows}
+    assert len({w[0] for w in want.values()}) > 9
+    table = spark.createDataFrame(rows, "video_id bigint, frame_index bigint, face_idx int, x double, y double, w double, h double")
+    asked = lambda v, f: reader(v, f)
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in pictures.face_stats(table, asked).collect()} == want
+    whole = rasters.Rolled(reader.made, 640, 360, reader.shift)
+    whole.__class__ = type("Parts", (rasters.Rolled,), {"__call__": lambda *_: 1 / 0})
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in pictures.face_stats(table, whole).collect()} == want
