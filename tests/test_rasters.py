@@ -127,3 +127,24 @@ def test_face_statistics_read_no_whole_picture(spark, monkeypatch):
     whole = rasters.Rolled(reader.made, 640, 360, reader.shift)
     whole.__class__ = type("Parts", (rasters.Rolled,), {"__call__": lambda *_: 1 / 0})
     assert {tuple(r)[:3]: tuple(r)[3:] for r in pictures.face_stats(table, whole).collect()} == want
+
+
+def test_an_export_reads_only_what_lies_around_lit_pixels(spark):
+    """Two faces far apart: their boxes are worked each, with what the whole picture gives."""
+    reader = rasters.pattern_reader(900, 120)
+    faces = np.array([[40.0, 30.0, 40.0, 50.0], [760.0, 20.0, 60.0, 70.0]])
+    box, alpha = rasters.face_mask(faces, 900, 120)
+    radii, taken = rasters.face_radii(faces, 900, 120, 9, box), []
+
+    def read(part):
+        taken.append((part[2] - part[0]) * (part[3] - part[1]))
+        return reader.part(3, 5, part)
+
+    got = rasters.blurred_box(read, (900, 120), box, alpha, radii, 9)
+    assert (got == rasters.blurred(reader(3, 5), box, alpha, radii, 9)).all()
+    assert (got[:, 200:600] == reader(3, 5)[box[1] : box[3], box[0] + 200 : box[0] + 600]).all() and sum(taken[1:]) < 900 * 120 // 3
+    plain = reader(3, 5).astype(int)
+    for y, x in ((60, 60), (55, 790), (40, 70)):
+        r, a = int(radii[y - box[1], x - box[0]]), int(alpha[y - box[1], x - box[0]])
+        mean = plain[y - r : y + r + 1, x - r : x + r + 1].sum(axis=(0, 1)) // (2 * r + 1) ** 2
+        assert a and ((mean * a + plain[y, x] * (255 - a) + 127) // 255 == got[y - box[1], x - box[0]]).all()
