@@ -148,3 +148,28 @@ def test_an_export_reads_only_what_lies_around_lit_pixels(spark):
         r, a = int(radii[y - box[1], x - box[0]]), int(alpha[y - box[1], x - box[0]])
         mean = plain[y - r : y + r + 1, x - r : x + r + 1].sum(axis=(0, 1)) // (2 * r + 1) ** 2
         assert a and ((mean * a + plain[y, x] * (255 - a) + 127) // 255 == got[y - box[1], x - box[0]]).all()
+
+
+@pytest.mark.parametrize("radius", [0, 3, 9])
+def test_blurs_and_previews_of_many_pictures_are_those_of_each(spark, radius):
+    rng = np.random.default_rng(6)
+    some, masks = rng.integers(0, 256, (5, 21, 34, 4), dtype=np.uint8), rng.integers(0, 256, (5, 21, 34), dtype=np.uint8)
+    whole = pictures.separable_blurs(some, radius)
+    shown = pictures.preview(some, whole, masks)
+    for k in range(5):
+        assert (whole[k] == pictures.separable_blur(some[k], radius)).all()
+        assert (shown[k] == pictures.preview(some[k], whole[k], masks[k])).all()
+    reader = rasters.pattern_reader(64, 40)
+    rows = [(k % 2, k // 2, float(k * 7 % 70 - 9), float(k * 5 % 44 - 6), float(2 + k % 9), float(3 + k % 7)) for k in range(60)]
+    table = spark.createDataFrame(rows, "video_id bigint, frame_index bigint, x double, y double, w double, h double")
+    got = {(r["video_id"], r["frame_index"]): (r["b"], r["g"], r["r"]) for r in pictures.blended_sums(table, F.lit(64), F.lit(40), reader, radius).collect()}
+    assert len(got) > 40
+    for v, f, *box in rows:
+        (x0, y0, x1, y1), alpha = rasters.face_mask(np.array([box]), 64, 40)
+        assert ((v, f) in got) == bool(alpha.size)
+        if not alpha.size:
+            continue
+        mask = np.zeros((40, 64), np.uint8)
+        mask[y0:y1, x0:x1] = alpha
+        want = pictures.preview(reader(v, f), pictures.separable_blur(reader(v, f), radius), mask)
+        assert got[v, f] == tuple(want[..., c].sum() for c in range(3))

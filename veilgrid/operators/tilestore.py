@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilgrid.operators.pictures import preview, separable_blur
+from veilgrid.operators.pictures import PIXELS, preview, separable_blurs
 from veilgrid.operators.pixels import stamps
-from veilgrid.operators.rasters import Reader, _batch, tasks
+from veilgrid.operators.rasters import Reader, _batch, picture_size, tasks
 
 TILE, PART = 30, 64
 KEYS = ("video_id", "frame_index")
@@ -117,30 +117,37 @@ def extended(stored: DataFrame, log: DataFrame, width: int, height: int, tile: i
     return kept.unionByName(versions(later, width, height, tile, kept)), changed
 
 
-def blurred_part(picture: np.ndarray, x0: int, y0: int, x1: int, y1: int, radius: int) -> np.ndarray:
-    """A box of the blurred picture, from the box and what lies within the radius around it."""
-    height, width = picture.shape[:2]
-    left, top = max(0, x0 - radius), max(0, y0 - radius)
-    part = separable_blur(picture[top : min(height, y1 + radius), left : min(width, x1 + radius)], radius)
-    return part[y0 - top : y1 - top, x0 - left : x1 - left]
+def composed(masks: DataFrame, width: int, height: int, reader: Reader, radius: int, tile: int = TILE) -> DataFrame:
+    """PREVIEWS of mask tiles (``alpha``; null is empty): the picture, blurred where the mask says so.
 
+    A tile's blur comes from the tile and what lies within the radius around it; tiles that lie alike in their pictures are worked together.
+    """
 
-def composed(masks: DataFrame, width: int, height: int, reader: Reader, radius: int, tile: int = TILE) -> DataFrame:
-    """PREVIEWS of mask tiles (``alpha``; null is empty): the picture, blurred where the mask says so."""
+    def done(place: tuple, held: list[tuple]) -> list[tuple]:
+        x0, y0, x1, y1, left, top = place
+        around = np.stack([part for _, part, _ in held])
+        inner = (slice(None), slice(y0 - top, y1 - top), slice(x0 - left, x1 - left))
+        mask = np.stack([np.zeros((y1 - y0, x1 - x0), np.uint8) if a is None else np.frombuffer(a, np.uint8).reshape(y1 - y0, x1 - x0) for _, _, a in held])
+        shown = preview(around[inner], separable_blurs(around, radius)[inner], mask)
+        return [(*own, x1 - x0, y1 - y0, one.tobytes()) for (own, _, _), one in zip(held, shown, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, picture = None, None
+        key, part = None, None
         for batch in batches:
-            out = []
+            out, waiting = [], {}
             for video, frame, tx, ty, alpha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (video, frame) != key:
-                    key, picture = (video, frame), reader(video, frame)
+                    key, part = (video, frame), picture_size(reader, video, frame)[2]
                 x0, y0 = tx * tile, ty * tile
                 x1, y1 = min(width, x0 + tile), min(height, y0 + tile)
-                mask = np.zeros((y1 - y0, x1 - x0), np.uint8) if alpha is None else np.frombuffer(alpha, np.uint8).reshape(y1 - y0, x1 - x0)
-                shown = preview(picture[y0:y1, x0:x1], blurred_part(picture, x0, y0, x1, y1, radius), mask)
-                out.append((video, frame, tx, ty, x1 - x0, y1 - y0, shown.tobytes()))
-            yield _batch(out, PREVIEWS)
+                box = (max(0, x0 - radius), max(0, y0 - radius), min(width, x1 + radius), min(height, y1 + radius))
+                place = (x0, y0, x1, y1, *box[:2])
+                same = waiting.setdefault(place, [])
+                same.append(((video, frame, tx, ty), part(video, frame, box), alpha))
+                if len(same) * tile * tile >= PIXELS:
+                    out += done(place, same)
+                    same.clear()
+            yield _batch(out + [row for place, same in waiting.items() if same for row in done(place, same)], PREVIEWS)
 
     dealt = masks.select(*TILES, "alpha").repartition(tasks(masks), *KEYS).sortWithinPartitions(*KEYS)
     return dealt.mapInArrow(run, PREVIEWS)
