@@ -173,3 +173,28 @@ def test_blurs_and_previews_of_many_pictures_are_those_of_each(spark, radius):
         mask[y0:y1, x0:x1] = alpha
         want = pictures.preview(reader(v, f), pictures.separable_blur(reader(v, f), radius), mask)
         assert got[v, f] == tuple(want[..., c].sum() for c in range(3))
+
+
+def test_steps_of_blocks_are_worked_once(spark):
+    """Sums of blocks, the pass over them and the frames: three works; which strips were touched is not asked of a second one."""
+    faded = rasters.fades(table(spark, some_faces()), F.col("width"), F.col("height"))
+    assert faded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 3
+
+
+@pytest.mark.parametrize("base", [1, 4, 24, 150])
+def test_sums_of_an_export_are_those_of_its_pixels(spark, base):
+    """Random pictures with random alpha, faces at all edges and one upon the other, radii as a map and as boxes, windows beyond the picture and of many pixels."""
+    rng = np.random.default_rng(base)
+    for width, height in ((90, 70), (31, 160)):
+        picture = rng.integers(0, 256, (height, width, 4), dtype=np.uint8)
+        for faces in ([[-9.0, -9.0, 30.0, 30.0], [60.0, 40.0, 50.0, 60.0]], [[20.0, 10.0, 25.0, 30.0], [24.0, 14.0, 4.0, 4.0]], [[12.0, 30.0, 9.0, 9.0]]):
+            boxes = np.array(faces)
+            box, alpha = rasters.face_mask(boxes, width, height)
+            smooth = np.maximum(alpha, np.where(rng.random(alpha.shape) < 0.2, rng.integers(0, 256, alpha.shape), 0).astype(np.uint8))
+            smooth[:, smooth.shape[1] // 2] = 0
+            radii = rasters.face_radii(boxes, width, height, base, box)
+            what = (lambda b: picture[b[1] : b[3], b[0] : b[2]], (width, height), box, smooth)  # noqa: B023
+            want = plain_blur(picture, box, smooth, radii, base)
+            for r in (radii, rasters.padded_radii(boxes, width, height, base)):
+                assert (rasters.blurred_box(*what, r, base) == want).all()
+                assert rasters.blurred_sums(*what, r, base) == want[smooth > 0].sum(axis=0).tolist()
